@@ -1,0 +1,45 @@
+"""Equi-join that splits hot keys.
+
+A frequent-items sketch names the keys that hold many rows on the large side
+(one small aggregate, no shuffle of the data). Rows with such a key get a salt
+from their own columns; the matching rows of the other side are repeated once
+per salt. Every other key has salt 0. The result is the plain join whatever the
+sketch returns, so its estimates affect speed only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 64
+TRACKED = 4096
+MIN_ROWS = 2_000_000
+SALTS = 64
+
+
+def salted_join(
+    large: DataFrame,
+    other: DataFrame,
+    key: str,
+    how: str = "inner",
+    min_rows: int = MIN_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``how`` is inner or left, with ``large`` as the left side.
+
+    ``other`` should be unique on the key, or nearly so: its hot rows are
+    repeated ``salts`` times.
+    """
+    sketch = large.select(F.expr(f"approx_top_k({key}, {HOT_KEYS}, {TRACKED})").alias("top"))
+    hot = sketch.select(
+        F.transform(
+            F.filter("top", lambda e: e["count"] >= F.lit(min_rows)), lambda e: e["item"]
+        )
+    ).scalar()
+    is_hot = F.coalesce(F.array_contains(hot, F.col(key)), F.lit(False))
+    spread = F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int")
+    left = large.withColumn("_salt", F.when(is_hot, spread).otherwise(F.lit(0)))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    right = other.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
