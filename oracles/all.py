@@ -1,3 +1,3 @@
-from oracles import marts, questions
+from oracles import explore, marts, questions
 
-ORACLES = {**marts.ORACLES, **questions.ORACLES}
+ORACLES = {**marts.ORACLES, **questions.ORACLES, **explore.ORACLES}

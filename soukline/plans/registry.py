@@ -112,4 +112,38 @@ QUESTIONS: dict[str, Query] = {
     "r15_seller_scorecard": growth.seller_scorecard,
 }
 
-QUERIES: dict[str, Query] = {**CLEANING, **MARTS, **QUESTIONS}
+ANALYTICS: dict[str, Query] = {
+    "e1_headline_metrics": explore.headline_metrics,
+    "e2_top_states": explore.top_states,
+    "e3_payment_shares": explore.payment_shares,
+    "e4_monthly_series": explore.monthly_series,
+    "e5_state_revenue": explore.state_revenue,
+    "e6_review_scores": explore.review_score_distribution,
+    "e7_top_seller_revenue": explore.top_seller_revenue,
+    "e8_top_category_revenue": explore.top_category_revenue,
+    "e9_cohort_matrix_12x8": lambda t: explore.cohort_wide(t, periods=8, cohorts=12),
+    "e10_recency_segments": explore.recency_segments,
+    "e11_late_and_repeat": explore.late_and_repeat_rates,
+    "g1_review_by_order": lifecycle.review_by_order,
+    "g1_customer_reviews": lifecycle.customer_reviews,
+    "g2_segment_profiles": lifecycle.recency_band_profiles,
+    "g3_cohort_matrix": lambda t: explore.cohort_wide(t, periods=80),
+    "g3_cohort_averages": lifecycle.cohort_averages,
+    "g4_clv_table": lifecycle.clv_table,
+    "g5_category_pairs": lifecycle.category_pairs,
+    "g6_geo_summary": lifecycle.geo_summary,
+    "g7_seller_summary": lifecycle.seller_summary,
+    "g7_seller_summary_value_once": lambda t: lifecycle.seller_summary(t, per_review=False),
+    "g8_product_summary": lifecycle.product_summary,
+    "g9_delivery_summary": lifecycle.delivery_summary,
+    "g10_first_orders": lifecycle.first_orders,
+    "g11_repeat_features": lifecycle.repeat_features,
+    "g12_delivery_risk_features": lifecycle.delivery_risk_features,
+    "g13_phase_summary": lifecycle.phase_summary,
+    "g14_peak_month": lifecycle.peak_month,
+    "g15_top_decile_customers": lifecycle.top_decile_customers,
+    "g16_preferred_sellers": lifecycle.preferred_sellers,
+    "g17_winback_audience": lifecycle.winback_audience,
+}
+
+QUERIES: dict[str, Query] = {**CLEANING, **MARTS, **QUESTIONS, **ANALYTICS}

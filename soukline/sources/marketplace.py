@@ -6,6 +6,8 @@ column selection still reach the Parquet scans.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ PAYMENT_TYPE = {
     "1": "credit_card", "2": "credit_card", "3": "boleto", "4": "voucher", "5": "debit_card",
 }
 UNTRANSLATED = "promo"
+SOURCES = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 
 
 def _lookup(key: Column, mapping: dict) -> Column:
@@ -37,138 +51,171 @@ def _rows(*candidates: Column) -> Column:
     return F.explode(F.filter(F.array(*candidates), lambda row: row.isNotNull()))
 
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    def scan(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _key() -> Column:
+    return F.col("o_orderkey").cast("string")
 
-    orders, lines, parts = scan("orders"), scan("lineitem"), scan("part")
-    customer, nation, supplier = scan("customer"), scan("nation"), scan("supplier")
 
-    key, text_key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
-    priority = F.substring("o_orderpriority", 1, 1)
-    shipped = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.max("l_shipdate").alias("last_ship"), F.min("l_shipdate").alias("first_ship")
-    )
+def _priority() -> Column:
+    return F.substring("o_orderpriority", 1, 1)
 
-    header = [
-        text_key.alias("order_id"),
-        text_key.alias("customer_id"),
-        _lookup(F.col("o_orderstatus"), STATUS).alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        (F.col("o_orderdate") + _days(key % 3)).alias("order_approved_at"),
-    ]
-    promised = (F.col("o_orderdate") + _days(_lookup(priority, PROMISED_DAYS))).alias(
-        "order_estimated_delivery_date"
-    )
-    lean_orders = orders.select(*header, promised)
-    full_orders = orders.join(shipped, "o_orderkey", "left").select(
-        *header,
-        F.col("first_ship").alias("order_delivered_carrier_date"),
-        F.col("last_ship").alias("order_delivered_customer_date"),
-        promised,
-    )
 
-    people = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    customers = orders.join(people, orders.o_custkey == people.c_custkey).select(
-        text_key.alias("customer_id"),
-        F.col("o_custkey").cast("string").alias("customer_unique_id"),
-        (F.col("c_nationkey") * 37).cast("string").alias("customer_zip_code_prefix"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.col("n_name").alias("customer_state"),
-    )
+class Marketplace(Tables):
+    """Each relation is built when first asked for, over a typed scan."""
 
-    gross = F.col("l_extendedprice").cast("decimal(12,2)")
-    items = lines.select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").cast("string").alias("product_id"),
-        F.col("l_suppkey").cast("string").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        F.round(gross * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2).cast(MONEY).alias("price"),
-        F.round(gross * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY).alias("freight_value"),
-    )
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root
+
+    def scan(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SOURCES[name]).parquet(f"{self.root}/{name}.parquet")
 
-    def payment(kind: Column, installments: Column, value: Column) -> Column:
-        return F.struct(
-            kind.alias("payment_type"),
-            installments.cast("int").alias("payment_installments"),
-            value.cast(MONEY).alias("payment_value"),
+    def _header(self) -> list[Column]:
+        return [
+            _key().alias("order_id"),
+            _key().alias("customer_id"),
+            _lookup(F.col("o_orderstatus"), STATUS).alias("order_status"),
+            F.col("o_orderdate").alias("order_purchase_timestamp"),
+            (F.col("o_orderdate") + _days(F.col("o_orderkey") % 3)).alias("order_approved_at"),
+            (F.col("o_orderdate") + _days(_lookup(_priority(), PROMISED_DAYS))).alias("order_estimated_delivery_date"),
+        ]
+
+    def _with_ship_dates(self, orders: DataFrame) -> DataFrame:
+        spans = self.scan("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+            F.max("l_shipdate").alias("last_ship"), F.min("l_shipdate").alias("first_ship")
+        )
+        return orders.join(spans, "o_orderkey", "left")
+
+    @property
+    def headers(self) -> DataFrame:
+        return self.scan("orders").select(*self._header())
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return order_rows(self._with_ship_dates(self.scan("orders")), self._header())
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        places = self.scan("customer").join(self.scan("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        return self.scan("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select(
+            _key().alias("customer_id"),
+            F.col("o_custkey").cast("string").alias("customer_unique_id"),
+            (F.col("c_nationkey") * 37).cast("string").alias("customer_zip_code_prefix"),
+            F.col("c_mktsegment").alias("customer_city"),
+            F.col("n_name").alias("customer_state"),
         )
 
-    payments = orders.select(
-        text_key.alias("order_id"),
-        _rows(
-            payment(_lookup(priority, PAYMENT_TYPE), 1 + key % 10, F.col("o_totalprice")),
-            F.when(key % 17 == 0, payment(F.lit("voucher"), F.lit(1), F.lit(10))),
-        ).alias("p"),
-    ).select("order_id", "p.*")
+    @cached_property
+    def items(self) -> DataFrame:
+        gross = F.col("l_extendedprice").cast("decimal(12,2)")
+        kept = F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
+        return self.scan("lineitem").select(
+            F.col("l_orderkey").cast("string").alias("order_id"),
+            F.col("l_linenumber").alias("order_item_id"),
+            F.col("l_partkey").cast("string").alias("product_id"),
+            F.col("l_suppkey").cast("string").alias("seller_id"),
+            F.col("l_shipdate").alias("shipping_limit_date"),
+            F.round(gross * kept, 2).cast(MONEY).alias("price"),
+            F.round(gross * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY).alias("freight_value"),
+        )
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        key = F.col("o_orderkey")
+
+        def payment(kind: Column, installments: Column, value: Column) -> Column:
+            return F.struct(
+                kind.alias("payment_type"),
+                installments.cast("int").alias("payment_installments"),
+                value.cast(MONEY).alias("payment_value"),
+            )
+
+        main = payment(_lookup(_priority(), PAYMENT_TYPE), 1 + key % 10, F.col("o_totalprice"))
+        extra = F.when(key % 17 == 0, payment(F.lit("voucher"), F.lit(1), F.lit(10)))
+        return self.scan("orders").select(_key().alias("order_id"), _rows(main, extra).alias("p")).select(
+            "order_id", "p.*"
+        )
+
+    def _reviews(self, source: DataFrame, dates: list[Column]) -> DataFrame:
+        key = F.col("o_orderkey")
 
-    def score_rows(source: DataFrame, extra: list[Column]) -> DataFrame:
         def review(number: int, score: Column) -> Column:
             return F.struct(
-                F.concat(text_key, F.lit(f"-{number}")).alias("review_id"),
-                score.cast("int").alias("review_score"),
+                F.concat(_key(), F.lit(f"-{number}")).alias("review_id"), score.cast("int").alias("review_score")
             )
 
+        first = F.when(key % 11 != 3, review(1, 1 + key % 5))
+        second = F.when(key % 53 == 0, review(2, 1 + F.floor(key / 5) % 5))
         return source.select(
-            text_key.alias("order_id"),
+            _key().alias("order_id"),
             F.when(key % 3 == 0, F.lit("title")).alias("review_comment_title"),
             F.when(key % 2 != 0, F.lit("message")).alias("review_comment_message"),
-            *extra,
-            _rows(
-                F.when(key % 11 != 3, review(1, 1 + key % 5)),
-                F.when(key % 53 == 0, review(2, 1 + F.floor(key / 5) % 5)),
-            ).alias("r"),
+            *dates,
+            _rows(first, second).alias("r"),
+        ).select(
+            "r.review_id", "order_id", "r.review_score", "review_comment_title", "review_comment_message",
+            *[d for d in ("review_creation_date", "review_answer_timestamp") if dates],
         )
 
-    columns = ["r.review_id", "order_id", "r.review_score", "review_comment_title", "review_comment_message"]
-    created = F.col("last_ship") + _days(key % 15)
-    lean_reviews = score_rows(orders, []).select(*columns)
-    reviews = score_rows(
-        orders.join(shipped, "o_orderkey", "left"), [created.alias("review_creation_date")]
-    ).select(
-        *columns,
-        "review_creation_date",
-        (F.col("review_creation_date") + _days(F.lit(1))).alias("review_answer_timestamp"),
-    )
+    @property
+    def scores(self) -> DataFrame:
+        return self._reviews(self.scan("orders"), [])
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        created = F.col("last_ship") + _days(F.col("o_orderkey") % 15)
+        dates = [created.alias("review_creation_date"), (created + _days(F.lit(1))).alias("review_answer_timestamp")]
+        return self._reviews(self._with_ship_dates(self.scan("orders")), dates)
+
+    @cached_property
+    def products(self) -> DataFrame:
+        size = F.col("p_size")
+        same = ["product_name_lenght", "product_description_lenght", "product_photos_qty"]
+        sides = ["product_length_cm", "product_height_cm", "product_width_cm"]
+        return self.scan("part").select(
+            F.col("p_partkey").cast("string").alias("product_id"),
+            F.when(F.col("p_partkey") % 50 != 0, F.lower("p_type")).alias("product_category_name"),
+            *[size.alias(name) for name in same],
+            (size * 100).alias("product_weight_g"),
+            *[size.alias(name) for name in sides],
+        )
 
-    size = F.col("p_size")
-    kind = F.lower("p_type")
-    products = parts.select(
-        F.col("p_partkey").cast("string").alias("product_id"),
-        F.when(F.col("p_partkey") % 50 != 0, kind).alias("product_category_name"),
-        size.alias("product_name_lenght"),
-        size.alias("product_description_lenght"),
-        size.alias("product_photos_qty"),
-        (size * 100).alias("product_weight_g"),
-        size.alias("product_length_cm"),
-        size.alias("product_height_cm"),
-        size.alias("product_width_cm"),
-    )
-    translation = (
-        parts.select(kind.alias("product_category_name"))
-        .distinct()
-        .filter(F.col("product_category_name") != UNTRANSLATED)
-        .withColumn("product_category_name_english", F.concat(F.lit("type_"), "product_category_name"))
-    )
-    sellers = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-        F.col("s_suppkey").cast("string").alias("seller_id"),
-        (F.col("s_nationkey") * 37).cast("string").alias("seller_zip_code_prefix"),
-        F.concat(F.lit("  "), F.upper("n_name"), F.lit(" ")).alias("seller_city"),
-        F.col("n_name").alias("seller_state"),
-    )
-    geolocation = parts.select(
-        F.regexp_extract("p_brand", r"(\d+)", 1).alias("geolocation_zip_code_prefix"),
-        (F.col("p_retailprice") / 100).alias("geolocation_lat"),
-        size.cast("double").alias("geolocation_lng"),
-        F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name"))
-        .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("  "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit(" ")))
-        .otherwise(F.col("p_name"))
-        .alias("geolocation_city"),
-        F.substring("p_type", 1, 2).alias("geolocation_state"),
-    )
-    return Tables(
-        customers=customers, orders=full_orders, items=items, payments=payments, reviews=reviews,
-        products=products, sellers=sellers, geolocation=geolocation, translation=translation,
-        lean_orders=lean_orders, lean_reviews=lean_reviews,
+    @cached_property
+    def translation(self) -> DataFrame:
+        names = self.scan("part").select(F.lower("p_type").alias("product_category_name")).distinct()
+        return names.filter(F.col("product_category_name") != UNTRANSLATED).withColumn(
+            "product_category_name_english", F.concat(F.lit("type_"), "product_category_name")
+        )
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return self.scan("supplier").join(self.scan("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+            F.col("s_suppkey").cast("string").alias("seller_id"),
+            (F.col("s_nationkey") * 37).cast("string").alias("seller_zip_code_prefix"),
+            F.concat(F.lit("  "), F.upper("n_name"), F.lit(" ")).alias("seller_city"),
+            F.col("n_name").alias("seller_state"),
+        )
+
+    @cached_property
+    def geolocation(self) -> DataFrame:
+        name, part = F.col("p_name"), F.col("p_partkey")
+        spaced = F.concat(F.lit("  "), F.replace(name, F.lit(" "), F.lit("  ")), F.lit(" "))
+        return self.scan("part").select(
+            F.regexp_extract("p_brand", r"(\d+)", 1).alias("geolocation_zip_code_prefix"),
+            (F.col("p_retailprice") / 100).alias("geolocation_lat"),
+            F.col("p_size").cast("double").alias("geolocation_lng"),
+            F.when(part % 3 == 0, F.upper(name)).when(part % 3 == 1, spaced).otherwise(name).alias("geolocation_city"),
+            F.substring("p_type", 1, 2).alias("geolocation_state"),
+        )
+
+
+def order_rows(orders: DataFrame, header: list[Column]) -> DataFrame:
+    """Orders with their shipping span; also applied to a stream of orders."""
+    return orders.select(
+        *header[:5],
+        F.col("first_ship").alias("order_delivered_carrier_date"),
+        F.col("last_ship").alias("order_delivered_customer_date"),
+        header[5],
     )
+
+
+def load(spark: SparkSession, root: str) -> Marketplace:
+    return Marketplace(spark, root)

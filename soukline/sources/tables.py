@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 
 ORDER_TIMES = [
@@ -62,35 +60,24 @@ SCHEMAS: dict[str, str] = {
 }
 
 
-@dataclass(frozen=True)
 class Tables:
-    """Lazy base relations.
+    """Lazy base relations, one attribute per name in ``SCHEMAS``.
 
     ``headers`` is ``orders`` without the fulfilment times and ``scores`` is
     ``reviews`` without its dates. They only matter where those columns cost a
-    join; by default they are plain projections.
+    join; here they are plain projections.
     """
 
-    customers: DataFrame
-    orders: DataFrame
-    items: DataFrame
-    payments: DataFrame
-    reviews: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    geolocation: DataFrame
-    translation: DataFrame
-    lean_orders: DataFrame | None = None
-    lean_reviews: DataFrame | None = None
+    def __init__(self, **frames: DataFrame) -> None:
+        for name in SCHEMAS:
+            setattr(self, name, frames[name])
 
     @property
     def headers(self) -> DataFrame:
-        return self.lean_orders if self.lean_orders is not None else self.orders.drop(*FULFILMENT_TIMES)
+        return self.orders.drop(*FULFILMENT_TIMES)
 
     @property
     def scores(self) -> DataFrame:
-        if self.lean_reviews is not None:
-            return self.lean_reviews
         return self.reviews.drop("review_creation_date", "review_answer_timestamp")
 
     def named(self) -> dict[str, DataFrame]:
