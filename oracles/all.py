@@ -1,3 +1,3 @@
-from oracles import explore, marts, questions
+from oracles import checks, explore, marts, models, questions
 
-ORACLES = {**marts.ORACLES, **questions.ORACLES, **explore.ORACLES}
+ORACLES = {**marts.ORACLES, **questions.ORACLES, **explore.ORACLES, **checks.ORACLES, **models.ORACLES}

@@ -22,57 +22,57 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low bit
 
 
 def range_blocks(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Adds _block (ordered partition number) and _pos (row number inside it)."""
+    """Adds __block (ordered partition number) and __pos (row number inside it)."""
     shared_dir(df.sparkSession)
     at = F.monotonically_increasing_id()
     return (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", at)
-        .withColumn("_block", F.shiftright("_at", _ROW_BITS))
-        .withColumn("_pos", F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("_at")
+        .withColumn("__at", at)
+        .withColumn("__block", F.shiftright("__at", _ROW_BITS))
+        .withColumn("__pos", F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
+        .drop("__at")
         .checkpoint()
     )
 
 
 def _before(totals: DataFrame, column: str) -> Column:
     """Sum of ``column`` over the earlier blocks; totals has one row per block."""
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
 
 def _numbered(blocks: DataFrame) -> DataFrame:
-    """Adds _row (1-based position in the whole order) and _rows (row count)."""
-    totals = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    """Adds __row (1-based position in the whole order) and __rows (row count)."""
+    totals = blocks.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     offsets = totals.select(
-        "_block",
-        _before(totals, "_n").alias("_start"),
-        F.sum("_n").over(Window.partitionBy()).alias("_rows"),
+        "__block",
+        _before(totals, "__n").alias("__start"),
+        F.sum("__n").over(Window.partitionBy()).alias("__rows"),
     )
     # Bound: one row per shuffle partition.
     return (
-        blocks.join(F.broadcast(offsets), "_block")
-        .withColumn("_row", F.col("_start") + F.col("_pos") + 1)
-        .drop("_start")
+        blocks.join(F.broadcast(offsets), "__block")
+        .withColumn("__row", F.col("__start") + F.col("__pos") + 1)
+        .drop("__start")
     )
 
 
 def row_numbers(df: DataFrame, order: list, out: str) -> DataFrame:
     numbered = _numbered(range_blocks(df, *order))
-    return numbered.withColumn(out, F.col("_row")).drop("_block", "_pos", "_row", "_rows")
+    return numbered.withColumn(out, F.col("__row")).drop("__block", "__pos", "__row", "__rows")
 
 
 def ntile(df: DataFrame, tiles: int, order: list, out: str) -> DataFrame:
     """NTILE over the whole relation: the first rows % tiles tiles get one more row."""
     numbered = _numbered(range_blocks(df, *order))
-    size = F.floor(F.col("_rows") / tiles)
-    larger = F.col("_rows") % tiles
+    size = F.floor(F.col("__rows") / tiles)
+    larger = F.col("__rows") % tiles
     edge = larger * (size + 1)
-    in_larger = F.floor((F.col("_row") - 1) / (size + 1)) + 1
-    in_rest = larger + F.floor(F.try_divide(F.col("_row") - edge - 1, size)) + 1
-    tile = F.when(F.col("_row") <= edge, in_larger).otherwise(in_rest)
-    return numbered.withColumn(out, tile.cast("int")).drop("_block", "_pos", "_row", "_rows")
+    in_larger = F.floor((F.col("__row") - 1) / (size + 1)) + 1
+    in_rest = larger + F.floor(F.try_divide(F.col("__row") - edge - 1, size)) + 1
+    tile = F.when(F.col("__row") <= edge, in_larger).otherwise(in_rest)
+    return numbered.withColumn(out, tile.cast("int")).drop("__block", "__pos", "__row", "__rows")
 
 
 def running_totals(df: DataFrame, order: list, sums: dict[str, str], ranks: dict[str, str] | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def running_totals(df: DataFrame, order: list, sums: dict[str, str], ranks: dict
     column whose distinct values are counted.
     """
     blocks = range_blocks(df, *order)
-    inside = Window.partitionBy("_block").orderBy("_pos")
+    inside = Window.partitionBy("__block").orderBy("__pos")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = ranks or {}
 
@@ -92,39 +92,39 @@ def running_totals(df: DataFrame, order: list, sums: dict[str, str], ranks: dict
         changed = F.when(F.lag(column).over(inside).isNull(), 0).otherwise(
             (F.lag(column).over(inside) != F.col(column)).cast("int")
         )
-        step = step.withColumn(f"_new_{out}", changed)
+        step = step.withColumn(f"__new_{out}", changed)
 
-    per_block = [F.sum(column).alias(f"_s_{out}") for out, column in sums.items()]
+    per_block = [F.sum(column).alias(f"__s_{out}") for out, column in sums.items()]
     for out, column in ranks.items():
         per_block += [
-            F.sum(f"_new_{out}").alias(f"_s_{out}"),
-            F.min_by(column, "_pos").alias(f"_first_{out}"),
-            F.max_by(column, "_pos").alias(f"_last_{out}"),
+            F.sum(f"__new_{out}").alias(f"__s_{out}"),
+            F.min_by(column, "__pos").alias(f"__first_{out}"),
+            F.max_by(column, "__pos").alias(f"__last_{out}"),
         ]
-    totals = step.groupBy("_block").agg(*per_block)
-    by_block = Window.orderBy("_block")
+    totals = step.groupBy("__block").agg(*per_block)
+    by_block = Window.orderBy("__block")
     for out in ranks:
-        previous = F.lag(f"_last_{out}").over(by_block)
+        previous = F.lag(f"__last_{out}").over(by_block)
         starts_new = F.when(previous.isNull(), 1).otherwise(
-            (previous != F.col(f"_first_{out}")).cast("int")
+            (previous != F.col(f"__first_{out}")).cast("int")
         )
-        totals = totals.withColumn(f"_edge_{out}", starts_new)
+        totals = totals.withColumn(f"__edge_{out}", starts_new)
     for out in ranks:
-        totals = totals.withColumn(f"_s_{out}", F.col(f"_s_{out}") + F.col(f"_edge_{out}"))
+        totals = totals.withColumn(f"__s_{out}", F.col(f"__s_{out}") + F.col(f"__edge_{out}"))
     offsets = totals.select(
-        "_block",
-        *[_before(totals, f"_s_{out}").alias(f"_b_{out}") for out in [*sums, *ranks]],
-        *[F.sum(f"_s_{out}").over(Window.partitionBy()).alias(f"{out}_total") for out in sums],
-        *[f"_edge_{out}" for out in ranks],
+        "__block",
+        *[_before(totals, f"__s_{out}").alias(f"__b_{out}") for out in [*sums, *ranks]],
+        *[F.sum(f"__s_{out}").over(Window.partitionBy()).alias(f"{out}_total") for out in sums],
+        *[f"__edge_{out}" for out in ranks],
     )
     # Bound: one row per shuffle partition.
-    joined = step.join(F.broadcast(offsets), "_block")
+    joined = step.join(F.broadcast(offsets), "__block")
     for out, column in sums.items():
-        joined = joined.withColumn(out, F.sum(column).over(upto) + F.col(f"_b_{out}"))
+        joined = joined.withColumn(out, F.sum(column).over(upto) + F.col(f"__b_{out}"))
     for out in ranks:
         joined = joined.withColumn(
             out,
-            (F.sum(f"_new_{out}").over(upto) + F.col(f"_b_{out}") + F.col(f"_edge_{out}")).cast("int"),
+            (F.sum(f"__new_{out}").over(upto) + F.col(f"__b_{out}") + F.col(f"__edge_{out}")).cast("int"),
         )
     return joined.select(*df.columns, *sums, *[f"{out}_total" for out in sums], *ranks)
 

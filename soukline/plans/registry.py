@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soukline.operators import cleaning, marts, rollups, star
-from soukline.plans import explore, growth, lifecycle, trading
+from soukline.operators import cleaning, marts, measures, quality, rollups, star
+from soukline.plans import explore, growth, lifecycle, modelling, storage, trading
 from soukline.sources.tables import Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -146,4 +146,90 @@ ANALYTICS: dict[str, Query] = {
     "g17_winback_audience": lifecycle.winback_audience,
 }
 
-QUERIES: dict[str, Query] = {**CLEANING, **MARTS, **QUESTIONS, **ANALYTICS}
+
+
+def _measure(measure, *by: str, slicer: measures.Slicer = measures.Slicer()) -> Query:
+    return lambda t: measure(measures.Context(t, slicer), list(by))
+
+
+def _sliced_report(t: Tables) -> DataFrame:
+    """All six report filters at once."""
+    inactive = F.when(F.col("recency_days") > 180, "inactive").otherwise("active")
+    segment_of = marts.customer_lifecycle(t).select("customer_unique_id", inactive.alias("segment"))
+    slicer = measures.Slicer(
+        first_day="1996-01-01", last_day="2000-12-31",
+        states=("NATION_1", "NATION_2", "NATION_3", "NATION_5", "NATION_8"),
+        statuses=("delivered", "shipped"),
+        categories=("type_small", "type_large", "unknown"),
+        seller_states=tuple(f"NATION_{k}" for k in range(1, 25)),
+        segments=("inactive",),
+    )
+    return measures.sliced_report(measures.Context(t, slicer, segment_of), ["purchase_month"])
+
+
+MEASURES: dict[str, Query] = {
+    "b1_gmv_by_state": _measure(measures.gmv, "customer_state"),
+    "b1_gmv_of_all_items_by_status": _measure(measures.gmv_of_items, "order_status"),
+    "b2_b5_orders_and_success": _measure(measures.order_success, "purchase_month"),
+    "b3_aov_by_category": _measure(measures.average_order_value, "category_english"),
+    "b4_median_order_value_by_state": _measure(measures.median_order_value, "customer_state"),
+    "b6_unique_customers_by_category": _measure(measures.unique_customers, "category_english"),
+    "b7_repeat_rate_by_month": _measure(measures.repeat_rate, "purchase_month"),
+    "b8_clv_by_state": _measure(measures.lifetime_value, "state"),
+    "b9_on_time_rate_by_state": _measure(measures.on_time_rate, "customer_state"),
+    "b9_sla_rate_of_all_orders": _measure(measures.sla_rate_of_all_orders, "order_status"),
+    "b10_service_averages_by_state": _measure(measures.service_averages, "customer_state"),
+    "b11_leading_seller_share": lambda t: measures.leading_seller_share(measures.Context(t)),
+    "b12_category_share": lambda t: measures.category_share(
+        measures.Context(t, measures.Slicer(categories=("type_small", "type_large")))
+    ),
+    "b13_cohort_retention": lambda t: measures.cohort_retention_share(measures.Context(t)),
+    "b14_kpi_status": lambda t: measures.kpi_status(measures.Context(t)),
+    "b15_detractor_relative_risk": lambda t: measures.detractor_relative_risk(measures.Context(t)),
+    "b16_price_bands": lambda t: measures.price_bands(measures.Context(t)),
+    "b16_basket_by_month": _measure(measures.basket_measures, "purchase_month"),
+    "p17_sliced_report": _sliced_report,
+}
+
+QUALITY: dict[str, Query] = {
+    "z1_profile_tables": quality.profile_tables,
+    "z2_profile_columns": quality.profile_all_columns,
+    "z3_orphan_counts": quality.orphan_counts,
+    "z4_duplicates": quality.duplicate_report,
+    "z5_missing_values": quality.missing_values,
+    "z6_date_quarantine": quality.date_quarantine,
+    "z7_order_outliers": quality.order_outliers,
+    "z8_schema_tests": quality.schema_tests,
+    "z9_freshness": quality.order_freshness,
+}
+
+STORAGE: dict[str, Query] = {
+    "s1_csv_scan": storage.csv_scan,
+    "s2_stage_rescan": storage.stage_rescan,
+    "s4_metrics_document": storage.metrics_document,
+    "s6_named_views": storage.named_views,
+    "s8_monthly_refresh": storage.monthly_refresh,
+    "s9_daily_landing": lambda t: storage.daily_landing(t.scan("events")),
+}
+
+MODELS: dict[str, Query] = {
+    "k1_standardised_features": modelling.standardised_features,
+    "k2_kmeans_elbow": modelling.kmeans_elbow,
+    "k3_customer_segments": modelling.customer_segments,
+    "k3_kmeans_profiles": modelling.kmeans_profiles,
+    "k4_encoded_features": modelling.encoded_features,
+    "k5_stratified_split": modelling.stratified_split,
+    "k5_plain_split": modelling.plain_split,
+    "k6_k8_repeat_model": modelling.repeat_model,
+    "k6_k8_delay_model": modelling.delay_model,
+    "k7_k8_lifetime_value_model": modelling.lifetime_value_model,
+    "k9_value_as_late_score_auc": modelling.value_as_late_score_auc,
+    "k10_first_late_as_repeat_report": modelling.first_late_as_repeat_report,
+    "k11_first_value_as_clv_report": modelling.first_value_as_clv_report,
+    "k12_propensity_audience": modelling.propensity_audience,
+    "k13_campaign": modelling.campaign,
+}
+
+QUERIES: dict[str, Query] = {
+    **CLEANING, **MARTS, **QUESTIONS, **ANALYTICS, **MEASURES, **QUALITY, **STORAGE, **MODELS,
+}

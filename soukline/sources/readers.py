@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from soukline.sources.tables import SCHEMAS, Tables
-
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+from soukline.sources.tables import SCHEMAS, TIMESTAMP_FORMAT, Tables
 
 
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
