@@ -1,3 +1,5 @@
-from oracles import checks, explore, marts, models, questions
+from oracles import checks, explore, live, marts, models, questions
 
-ORACLES = {**marts.ORACLES, **questions.ORACLES, **explore.ORACLES, **checks.ORACLES, **models.ORACLES}
+ORACLES = {
+    **marts.ORACLES, **questions.ORACLES, **explore.ORACLES, **checks.ORACLES, **models.ORACLES, **live.ORACLES,
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from soukline.operators import cleaning, marts, measures, quality, rollups, star
-from soukline.plans import explore, growth, lifecycle, modelling, storage, trading
+from soukline.plans import explore, growth, lifecycle, live, modelling, storage, trading
 from soukline.sources.tables import Tables
 
 Query = Callable[[Tables], DataFrame]
@@ -230,6 +230,13 @@ MODELS: dict[str, Query] = {
     "k13_campaign": modelling.campaign,
 }
 
+LIVE: dict[str, Query] = {
+    "st1_ingested_state": live.ingested_state,
+    "st2_daily_purchases": live.daily_purchases,
+    "st2_late_delivery_alerts": live.late_alerts,
+    "st3_winback_triggers": live.winback_triggers,
+}
+
 QUERIES: dict[str, Query] = {
-    **CLEANING, **MARTS, **QUESTIONS, **ANALYTICS, **MEASURES, **QUALITY, **STORAGE, **MODELS,
+    **CLEANING, **MARTS, **QUESTIONS, **ANALYTICS, **MEASURES, **QUALITY, **STORAGE, **MODELS, **LIVE,
 }

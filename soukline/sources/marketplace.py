@@ -68,7 +68,7 @@ class Marketplace(Tables):
     def scan(self, name: str) -> DataFrame:
         return self.spark.read.schema(SOURCES[name]).parquet(f"{self.root}/{name}.parquet")
 
-    def _header(self) -> list[Column]:
+    def header(self) -> list[Column]:
         return [
             _key().alias("order_id"),
             _key().alias("customer_id"),
@@ -86,11 +86,11 @@ class Marketplace(Tables):
 
     @property
     def headers(self) -> DataFrame:
-        return self.scan("orders").select(*self._header())
+        return self.scan("orders").select(*self.header())
 
     @cached_property
     def orders(self) -> DataFrame:
-        return order_rows(self._with_ship_dates(self.scan("orders")), self._header())
+        return order_rows(self._with_ship_dates(self.scan("orders")), self.header())
 
     @cached_property
     def customers(self) -> DataFrame:
