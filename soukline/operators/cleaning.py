@@ -148,10 +148,6 @@ def clean_payments(payments: DataFrame) -> DataFrame:
     )
 
 
-def delivered_only(orders: DataFrame) -> DataFrame:
-    return clean_orders(orders).filter(F.col("is_delivered") == 1)
-
-
 def cleaning_audit(tables: Tables, lifecycle: DataFrame) -> DataFrame:
     """One row per measure: table sizes, delivered orders, late share."""
     def size(name: str, df: DataFrame) -> DataFrame:

@@ -120,16 +120,17 @@ def split_rows(df: DataFrame, key: str, stratify: str | None = None, test_share:
     # One row per class of the target.
     classes = numbered.groupBy("_class").agg(F.min("_place").alias("_first"), _rows().alias("_n"))
     is_test = (F.col("_place") - F.col("_first")) < F.ceil(F.col("_n") * F.lit(test_share))
-    return numbered.join(classes, "_class").withColumn("is_test", is_test.cast("int")).drop(
+    return numbered.join(F.broadcast(classes), "_class").withColumn("is_test", is_test.cast("int")).drop(
         "_class", "_hash", "_place", "_first", "_n"
     )
 
 
 def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     """Weight rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(_rows().alias("_n"))
+    # One row per class of the target.
+    counts = F.broadcast(df.groupBy(label).agg(_rows().alias("_n")))
     total = df.select(_rows()).scalar()
-    classes = counts.select(_rows()).scalar()
+    classes = df.select(F.countDistinct(label)).scalar()
     return df.join(counts, label).withColumn("weight", ratio(total, classes * F.col("_n"))).drop("_n")
 
 

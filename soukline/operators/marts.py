@@ -9,7 +9,7 @@ from soukline.functions import clock, numbers
 from soukline.operators import ranking, rollups
 from soukline.operators.cleaning import (
     clean_customers, clean_items, clean_orders, clean_payments, clean_products, clean_reviews,
-    delivered_only, enrich_orders,
+    enrich_orders,
 )
 from soukline.operators.skew import salted_join
 from soukline.sources.tables import Tables
@@ -89,7 +89,7 @@ def last_purchase(tables: Tables, delivered: bool) -> Column:
 
 def customer_lifecycle(tables: Tables) -> DataFrame:
     """Per person: dates, orders, spend, delivery, first-seen place, churn flags."""
-    orders = enrich_orders(clean_orders(tables.orders)).filter(F.col("delivered_flag") == 1)
+    orders = enrich_orders(clean_orders(tables.orders_in("delivered")))
     place = clean_customers(tables.customers).select(
         "customer_id", "customer_unique_id", "customer_state", "customer_city_clean"
     )
@@ -218,7 +218,7 @@ def delivery_features(tables: Tables) -> DataFrame:
     bought, approved = F.col("order_purchase_timestamp"), F.col("order_approved_at")
     handed, arrived = F.col("order_delivered_carrier_date"), F.col("order_delivered_customer_date")
     promised = F.col("order_estimated_delivery_date")
-    orders = delivered_only(tables.orders).filter(arrived.isNotNull())
+    orders = clean_orders(tables.orders_in("delivered")).filter(arrived.isNotNull())
     return rollups.person_orders(tables, orders).select(
         "order_id",
         "customer_unique_id",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from soukline.functions import clock, numbers, text
 from soukline.operators.cleaning import (
-    clean_customers, clean_items, clean_orders, clean_products, clean_reviews, delivered_only,
+    clean_customers, clean_items, clean_orders, clean_products, clean_reviews,
 )
 from soukline.sources.tables import Tables
 
@@ -48,13 +48,13 @@ def people(tables: Tables) -> DataFrame:
 
 
 def delivered_headers(tables: Tables) -> DataFrame:
-    return delivered_only(tables.headers)
+    return clean_orders(tables.headers_in("delivered"))
 
 
 def delivered_orders(tables: Tables) -> DataFrame:
     """Delivered orders with lateness and delivery time in whole days."""
     arrived = F.col("order_delivered_customer_date")
-    return delivered_only(tables.orders).select(
+    return clean_orders(tables.orders_in("delivered")).select(
         "*",
         numbers.flag(arrived > F.col("order_estimated_delivery_date")).alias("is_late_delivery"),
         clock.whole_days(arrived, F.col("order_purchase_timestamp")).alias("delivery_days"),

@@ -99,7 +99,7 @@ def fact_sales(tables: Tables) -> DataFrame:
         numbers.ratio(F.sum("review_score"), F.count("review_score")).alias("review_score")
     )
     orders = (
-        tables.orders.filter(F.col("order_status") == "delivered")
+        tables.orders_in("delivered")
         .join(tables.customers.select("customer_id", "customer_unique_id"), "customer_id")
         .join(score, "order_id", "left")
         .select(

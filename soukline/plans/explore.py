@@ -24,7 +24,7 @@ def delivered_values(t: Tables) -> DataFrame:
 
 def headline_metrics(t: Tables) -> DataFrame:
     values = delivered_values(t).select("order_total_value")
-    late = enrich_orders(clean_orders(t.orders)).filter(F.col("delivered_flag") == 1).agg(
+    late = enrich_orders(clean_orders(t.orders_in("delivered"))).agg(
         rounded(percent(F.sum("late_delivery_flag"), _rows()))
     )
     per_person = rollups.person_orders(t, rollups.delivered_headers(t)).groupBy("customer_unique_id").agg(
@@ -132,7 +132,7 @@ def recency_segments(t: Tables) -> DataFrame:
 
 
 def late_and_repeat_rates(t: Tables) -> DataFrame:
-    late = enrich_orders(clean_orders(t.orders)).filter(F.col("delivered_flag") == 1)
+    late = enrich_orders(clean_orders(t.orders_in("delivered")))
     people = rollups.person_orders(t, rollups.delivered_headers(t)).groupBy("customer_unique_id").agg(_rows().alias("n"))
     single = F.sum(numbers.flag(F.col("n") == 1))
     split = people.agg(

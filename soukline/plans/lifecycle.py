@@ -9,7 +9,7 @@ from soukline.functions import clock, numbers
 from soukline.functions.numbers import percent, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
 from soukline.operators.cleaning import (
-    clean_customers, clean_items, clean_orders, clean_payments, clean_products, clean_reviews, enrich_orders,
+    clean_customers, clean_items, clean_orders, clean_payments, clean_products, enrich_orders,
 )
 from soukline.operators.skew import salted_join
 from soukline.plans.explore import delivered_values
@@ -139,7 +139,7 @@ def category_pairs(t: Tables, k: int | None = 15) -> DataFrame:
 
 
 def _delivered_enriched(t: Tables) -> DataFrame:
-    return enrich_orders(clean_orders(t.orders)).filter(F.col("delivered_flag") == 1)
+    return enrich_orders(clean_orders(t.orders_in("delivered")))
 
 
 def geo_summary(t: Tables) -> DataFrame:
@@ -227,7 +227,7 @@ def order_profile(t: Tables) -> DataFrame:
 def first_orders(t: Tables) -> DataFrame:
     """The first delivered order of each person, as a whole row."""
     place = clean_customers(t.customers).select("customer_id", "customer_unique_id", "customer_state")
-    orders = clean_orders(t.orders).filter(F.col("is_delivered") == 1).join(place, "customer_id")
+    orders = clean_orders(t.orders_in("delivered")).join(place, "customer_id")
     columns = [
         "order_id", "customer_state", "order_purchase_timestamp",
         "order_delivered_customer_date", "order_estimated_delivery_date",
@@ -290,8 +290,7 @@ def delivery_risk_features(t: Tables) -> DataFrame:
         ratio(F.sum("freight_value"), _rows()).alias("avg_freight"),
     )
     orders = (
-        clean_orders(t.orders)
-        .filter(F.col("is_delivered") == 1)
+        clean_orders(t.orders_in("delivered"))
         .join(place, "customer_id")
         .withColumn("is_late", numbers.flag(F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")))
         .select("order_id", "customer_unique_id", "customer_state", "is_late")

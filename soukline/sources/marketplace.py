@@ -92,6 +92,17 @@ class Marketplace(Tables):
     def orders(self) -> DataFrame:
         return order_rows(self._with_ship_dates(self.scan("orders")), self.header())
 
+    def _coded(self, status: str) -> DataFrame:
+        """The stored code is compared, so the filter reaches the scan."""
+        codes = [code for code, name in STATUS.items() if name == status]
+        return self.scan("orders").filter(F.col("o_orderstatus").isin(*codes))
+
+    def orders_in(self, status: str) -> DataFrame:
+        return order_rows(self._with_ship_dates(self._coded(status)), self.header())
+
+    def headers_in(self, status: str) -> DataFrame:
+        return self._coded(status).select(*self.header())
+
     @cached_property
     def customers(self) -> DataFrame:
         places = self.scan("customer").join(self.scan("nation"), F.col("c_nationkey") == F.col("n_nationkey"))

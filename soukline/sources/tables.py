@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ORDER_TIMES = [
     "order_purchase_timestamp",
@@ -81,5 +82,12 @@ class Tables:
     def scores(self) -> DataFrame:
         return self.reviews.drop("review_creation_date", "review_answer_timestamp")
 
+    def orders_in(self, status: str) -> DataFrame:
+        """Orders of one status; sources with other codes filter their scan."""
+        return self.orders.filter(F.col("order_status") == status)
+
+    def headers_in(self, status: str) -> DataFrame:
+        return self.headers.filter(F.col("order_status") == status)
+
     def named(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in SCHEMAS}
