@@ -94,7 +94,7 @@ def customer_lifecycle(tables: Tables) -> DataFrame:
         "customer_id", "customer_unique_id", "customer_state", "customer_city_clean"
     )
     rows = orders.join(place, "customer_id", "left").join(
-        rollups.order_totals(tables.items), "order_id", "left"
+        rollups.order_totals(tables), "order_id", "left"
     )
     bought = F.col("order_purchase_timestamp")
     seen = F.struct("order_id")

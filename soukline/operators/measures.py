@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from soukline.functions import numbers
 from soukline.functions.numbers import divide_or, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
-from soukline.operators.cleaning import clean_items, clean_orders, clean_products, enrich_orders
+from soukline.operators.cleaning import clean_orders, clean_products, enrich_orders
 from soukline.sources.tables import Tables
 
 # Targets of the executive page and price band edges.
@@ -73,14 +73,10 @@ class Context:
         return lines
 
     def _lines(self) -> DataFrame:
-        """Order x product x seller sums with category and seller state."""
+        """Order x product x seller sums in cents, with category and seller state."""
         t = self.tables
         catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
-        sums = (
-            clean_items(t.items)
-            .groupBy("order_id", "product_id", "seller_id")
-            .agg(_rows().alias("n_items"), F.sum("total_value").alias("total_value"))
-        )
+        sums = rollups.item_sums(t, "order_id", "product_id", "seller_id")
         joined = sums.join(catalog, "product_id").join(t.sellers.select("seller_id", "seller_state"), "seller_id")
         return self._line_filter(joined)
 
@@ -103,19 +99,23 @@ class Context:
         return self._line_filter(self._order_filter(rollups.sales_lines(self.tables)))
 
 
+def _value(column: Column | str) -> Column:
+    return numbers.amount(F.sum(column))
+
+
 def _fact_value(ctx: Context, by: list[str]) -> DataFrame:
     return ctx.fact().groupBy(*by).agg(
-        F.sum(F.col("total_value") * F.col("fan_out")).alias("gmv"), F.countDistinct("order_id").alias("delivered_orders")
+        _value(F.col("total_value") * F.col("fan_out")).alias("gmv"), F.countDistinct("order_id").alias("delivered_orders")
     )
 
 
 def gmv(ctx: Context, by: list[str]) -> DataFrame:
-    return _fact_value(ctx, by).select(*by, F.col("gmv").cast("double").alias("gmv"))
+    return _fact_value(ctx, by).select(*by, "gmv")
 
 
 def gmv_of_items(ctx: Context, by: list[str]) -> DataFrame:
     """Price plus freight of all items, whatever the order status."""
-    return ctx.lines().groupBy(*by).agg(F.sum("total_value").cast("double").alias("gmv"))
+    return ctx.lines().groupBy(*by).agg(_value("total_value").alias("gmv"))
 
 
 def order_success(ctx: Context, by: list[str]) -> DataFrame:
@@ -135,7 +135,7 @@ def average_order_value(ctx: Context, by: list[str]) -> DataFrame:
 
 def median_order_value(ctx: Context, by: list[str]) -> DataFrame:
     delivered = Context(ctx.tables, replace(ctx.slicer, statuses=("delivered",)), ctx.segment_of)
-    per_order = delivered.lines().groupBy(*by, "order_id").agg(F.sum("total_value").alias("v"))
+    per_order = delivered.lines().groupBy(*by, "order_id").agg(_value("total_value").alias("v"))
     medians = ranking.percentiles(per_order, "v", {"m": 0.5}, by=by)
     return medians.select(*by, rounded(F.col("m"), 4).alias("median_order_value"))
 
@@ -212,7 +212,7 @@ def category_share(ctx: Context) -> DataFrame:
     whole = _fact_value(everything, []).select("gmv").scalar()
     return _fact_value(ctx, ["category_english"]).select(
         "category_english",
-        F.col("gmv").cast("double").alias("gmv"),
+        "gmv",
         rounded(divide_or(F.col("gmv"), whole), 4).alias("category_share"),
     )
 
@@ -265,16 +265,16 @@ def detractor_relative_risk(ctx: Context) -> DataFrame:
 
 
 def price_bands(ctx: Context, edges: list = PRICE_EDGES, labels: list[str] = PRICE_LABELS) -> DataFrame:
-    items = clean_items(ctx.tables.items)
-    band = right_closed_band(F.col("price"), [-1, *edges[1:]], labels)
-    return items.groupBy(band.alias("price_band")).agg(
-        _rows().alias("items"), F.sum("total_value").cast("double").alias("value")
+    in_cents = [None if edge is None else edge * 100 for edge in edges]
+    band = right_closed_band(F.col("price"), [-1, *in_cents[1:]], labels)
+    return ctx.tables.item_cents.groupBy(band.alias("price_band")).agg(
+        _rows().alias("items"), _value("total_value").alias("value")
     )
 
 
 def basket_measures(ctx: Context, by: list[str]) -> DataFrame:
     """Share of orders with several items, and mean freight per item."""
-    orders = ctx.orders().join(rollups.order_totals(ctx.tables.items), "order_id")
+    orders = ctx.orders().join(rollups.order_totals(ctx.tables), "order_id")
     several = F.sum(numbers.flag(F.col("order_item_count") > 1))
     return orders.groupBy(*by).agg(
         rounded(divide_or(several, _rows()), 4).alias("multi_item_order_rate"),
@@ -288,10 +288,10 @@ def sliced_report(ctx: Context, by: list[str]) -> DataFrame:
         F.sum("total_value").alias("value"), F.max("customer_unique_id").alias("person")
     )
     return per_order.groupBy(*by).agg(
-        F.sum("value").cast("double").alias("gmv"),
+        _value("value").alias("gmv"),
         _rows().alias("orders"),
         F.countDistinct("person").alias("customers"),
-        rounded(divide_or(F.sum("value"), _rows())).alias("aov"),
+        rounded(divide_or(_value("value"), _rows())).alias("aov"),
     )
 
 

@@ -14,18 +14,26 @@ from pyspark.sql import functions as F
 
 from soukline.functions import clock, numbers, text
 from soukline.operators.cleaning import (
-    clean_customers, clean_items, clean_orders, clean_products, clean_reviews,
+    clean_customers, clean_orders, clean_products, clean_reviews,
 )
 from soukline.sources.tables import Tables
 
 
-def order_totals(items: DataFrame) -> DataFrame:
-    total = numbers.money(F.col("price")) + numbers.money(F.col("freight_value"))
-    return items.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("order_item_count"),
-        F.sum("price").cast(numbers.WIDE_MONEY).alias("order_price"),
-        F.sum("freight_value").cast(numbers.WIDE_MONEY).alias("order_freight"),
-        F.sum(total).cast(numbers.WIDE_MONEY).alias("order_total_value"),
+def item_sums(tables: Tables, *keys: str) -> DataFrame:
+    """Item count and money per key, the money in whole cents."""
+    return tables.item_cents.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_items"), *[F.sum(c).alias(c) for c in ("price", "freight_value", "total_value")]
+    )
+
+
+def order_totals(tables: Tables) -> DataFrame:
+    """Per order: item count, price, freight and total as DECIMAL."""
+    return item_sums(tables, "order_id").select(
+        "order_id",
+        F.col("n_items").alias("order_item_count"),
+        numbers.from_cents(F.col("price")).alias("order_price"),
+        numbers.from_cents(F.col("freight_value")).alias("order_freight"),
+        numbers.from_cents(F.col("total_value")).alias("order_total_value"),
     )
 
 
@@ -63,7 +71,7 @@ def delivered_orders(tables: Tables) -> DataFrame:
 
 def delivered_amounts(tables: Tables) -> DataFrame:
     """Delivered orders that have items, with their totals: one row per order."""
-    return delivered_headers(tables).join(order_totals(tables.items), "order_id")
+    return delivered_headers(tables).join(order_totals(tables), "order_id")
 
 
 def person_orders(tables: Tables, headers: DataFrame) -> DataFrame:
@@ -74,18 +82,10 @@ def person_orders(tables: Tables, headers: DataFrame) -> DataFrame:
 def sales_lines(tables: Tables) -> DataFrame:
     """One row per order, product and seller of a delivered order.
 
-    ``fan_out`` is the number of item x review rows one item stands for.
+    Money is in cents. ``fan_out`` is the number of item x review rows one item
+    stands for.
     """
-    lines = (
-        clean_items(tables.items)
-        .groupBy("order_id", "product_id", "seller_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_items"),
-            F.sum("price").alias("price"),
-            F.sum("freight_value").alias("freight_value"),
-            F.sum("total_value").alias("total_value"),
-        )
-    )
+    lines = item_sums(tables, "order_id", "product_id", "seller_id")
     orders = person_orders(tables, delivered_orders(tables)).join(
         order_reviews(tables.scores), "order_id", "left"
     )

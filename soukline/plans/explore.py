@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from soukline.functions import numbers
 from soukline.functions.numbers import percent, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
-from soukline.operators.cleaning import clean_items, clean_orders, clean_payments, clean_products, enrich_orders
-from soukline.plans.trading import _amount, _rows, _with_share
+from soukline.operators.cleaning import clean_orders, clean_payments, clean_products, enrich_orders
+from soukline.plans.trading import _amount, _cents, _rows, _with_share
 from soukline.sources.tables import Tables
 
 # Recency bands, closed on the right.
@@ -19,7 +19,7 @@ RECENCY_LABELS = ["Recent", "Warm", "At Risk", "Lost"]
 
 def delivered_values(t: Tables) -> DataFrame:
     """Delivered orders with their value; orders without items keep null."""
-    return rollups.delivered_headers(t).join(rollups.order_totals(t.items), "order_id", "left")
+    return rollups.delivered_headers(t).join(rollups.order_totals(t), "order_id", "left")
 
 
 def headline_metrics(t: Tables) -> DataFrame:
@@ -91,12 +91,12 @@ def review_score_distribution(t: Tables) -> DataFrame:
 
 
 def _delivered_lines(t: Tables, key: str) -> DataFrame:
-    lines = clean_items(t.items).groupBy("order_id", key).agg(F.sum("total_value").alias("v"))
+    lines = rollups.item_sums(t, "order_id", key)
     return lines.join(rollups.delivered_headers(t).select("order_id"), "order_id")
 
 
 def top_seller_revenue(t: Tables, k: int = 15) -> DataFrame:
-    return _delivered_lines(t, "seller_id").groupBy("seller_id").agg(_amount("v").alias("revenue")).orderBy(
+    return _delivered_lines(t, "seller_id").groupBy("seller_id").agg(_cents("total_value").alias("revenue")).orderBy(
         F.desc("revenue"), "seller_id"
     ).limit(k)
 
@@ -107,7 +107,7 @@ def top_category_revenue(t: Tables, k: int = 10) -> DataFrame:
         _delivered_lines(t, "product_id")
         .join(catalog, "product_id")
         .groupBy("category_english")
-        .agg(_amount("v").alias("revenue"))
+        .agg(_cents("total_value").alias("revenue"))
         .orderBy(F.desc("revenue"), "category_english")
         .limit(k)
     )

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from soukline.functions import clock, numbers
 from soukline.functions.numbers import percent, ratio, rounded
 from soukline.operators import marts, ranking, rollups
-from soukline.operators.cleaning import clean_items, clean_orders, clean_products
-from soukline.plans.trading import _amount, _review_stats, _rows, _state_orders, _with_share
+from soukline.operators.cleaning import clean_orders, clean_products
+from soukline.plans.trading import _amount, _cents, _review_stats, _rows, _state_orders, _with_share
 from soukline.sources.tables import Tables
 
 
@@ -28,12 +28,10 @@ def monthly_growth(t: Tables) -> DataFrame:
 
 
 def _category_orders(t: Tables) -> DataFrame:
-    """Delivered order x category with its value, no review involved."""
+    """Delivered order x category with its value in cents, no review involved."""
     catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
     lines = (
-        clean_items(t.items)
-        .groupBy("order_id", "product_id")
-        .agg(F.sum("total_value").alias("total_value"))
+        rollups.item_sums(t, "order_id", "product_id")
         .join(catalog, "product_id")
         .groupBy("order_id", "category_english")
         .agg(F.sum("total_value").alias("value"))
@@ -51,8 +49,8 @@ def category_month_value(t: Tables, min_orders: int = 25) -> DataFrame:
     best = Window.partitionBy("purchase_month").orderBy(F.desc("v"), "category_english")
     return cells.select(
         "purchase_month", "category_english", "delivered_orders",
-        F.col("v").cast("double").alias("gmv"),
-        rounded(ratio(F.col("v"), F.col("delivered_orders"))).alias("aov"),
+        numbers.amount(F.col("v")).alias("gmv"),
+        rounded(ratio(numbers.amount(F.col("v")), F.col("delivered_orders"))).alias("aov"),
         F.row_number().over(best).alias("category_rank_in_month"),
     ).orderBy("purchase_month", "category_rank_in_month")
 
@@ -68,7 +66,7 @@ def category_concentration(t: Tables) -> DataFrame:
     return cats.select(
         "category_english",
         "delivered_orders",
-        F.col("revenue").cast("double").alias("revenue"),
+        numbers.amount(F.col("revenue")).alias("revenue"),
         rounded(percent(F.col("revenue"), whole)).alias("revenue_share_pct"),
         rounded(percent(upto, whole)).alias("cumulative_share_pct"),
         F.dense_rank().over(Window.orderBy(F.desc("revenue"))).alias("revenue_rank"),
@@ -237,7 +235,7 @@ def category_demand(t: Tables) -> DataFrame:
     cats = _state_orders(t).groupBy("category_english").agg(
         F.countDistinct("order_id").alias("delivered_orders"),
         F.sum(F.col("n_items") * F.col("fan_out")).alias("item_lines"),
-        _amount("value").alias("revenue"),
+        _cents("value").alias("revenue"),
     )
     best = Window.orderBy(F.desc("revenue"))
     return _with_share(cats, "revenue", "revenue_share_pct").withColumn(
@@ -263,7 +261,7 @@ def state_demand(t: Tables) -> DataFrame:
     best = Window.orderBy(F.desc("revenue"), "customer_state")
     ranked = states.withColumn("state_rank_by_revenue", F.row_number().over(best))
     return _with_share(
-        ranked.withColumn("revenue", F.col("revenue").cast("double")), "revenue", "revenue_share_pct"
+        ranked.withColumn("revenue", numbers.amount(F.col("revenue"))), "revenue", "revenue_share_pct"
     ).orderBy("state_rank_by_revenue")
 
 
@@ -278,7 +276,7 @@ def seller_concentration(t: Tables) -> DataFrame:
     return ranked.select(
         "seller_id",
         "delivered_orders",
-        F.col("revenue").cast("double").alias("revenue"),
+        numbers.amount(F.col("revenue")).alias("revenue"),
         rounded(percent(F.col("revenue"), F.col("upto_total"))).alias("revenue_share_pct"),
         rounded(percent(F.col("upto"), F.col("upto_total"))).alias("cumulative_revenue_share_pct"),
         "revenue_rank",
@@ -290,5 +288,5 @@ def seller_scorecard(t: Tables, k: int = 50) -> DataFrame:
     best = [F.desc("revenue"), F.asc("seller_id")]
     top = _weighted_delivery(_state_orders(t), "seller_id").orderBy(*best).limit(k)
     return top.withColumn("seller_rank_by_revenue", F.row_number().over(Window.orderBy(*best))).withColumn(
-        "revenue", F.col("revenue").cast("double")
+        "revenue", numbers.amount(F.col("revenue"))
     ).orderBy("seller_rank_by_revenue")

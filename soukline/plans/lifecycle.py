@@ -9,11 +9,11 @@ from soukline.functions import clock, numbers
 from soukline.functions.numbers import percent, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
 from soukline.operators.cleaning import (
-    clean_customers, clean_items, clean_orders, clean_payments, clean_products, enrich_orders,
+    clean_customers, clean_orders, clean_payments, clean_products, enrich_orders,
 )
 from soukline.operators.skew import salted_join
 from soukline.plans.explore import delivered_values
-from soukline.plans.trading import _amount, _rows
+from soukline.plans.trading import _amount, _cents, _rows
 from soukline.sources.tables import Tables
 
 # Fixed values.
@@ -144,7 +144,7 @@ def _delivered_enriched(t: Tables) -> DataFrame:
 
 def geo_summary(t: Tables) -> DataFrame:
     """Per state; delivery days and lateness averaged over item rows."""
-    orders = rollups.person_orders(t, _delivered_enriched(t)).join(rollups.order_totals(t.items), "order_id", "left")
+    orders = rollups.person_orders(t, _delivered_enriched(t)).join(rollups.order_totals(t), "order_id", "left")
     rows = F.greatest(F.coalesce("order_item_count", F.lit(0)), F.lit(1))
     timed = F.when(F.col("delivery_days").isNotNull(), rows)
     return orders.groupBy("customer_state").agg(
@@ -158,9 +158,7 @@ def geo_summary(t: Tables) -> DataFrame:
 
 def seller_summary(t: Tables, per_review: bool = True) -> DataFrame:
     """Per seller; as written every review repeats the order's item rows."""
-    lines = clean_items(t.items).groupBy("order_id", "seller_id").agg(
-        _rows().alias("n_items"), F.sum("total_value").alias("value")
-    )
+    lines = rollups.item_sums(t, "order_id", "seller_id")
     orders = _delivered_enriched(t).join(rollups.order_reviews(t.scores, valid_only=False), "order_id", "left")
     rows = lines.join(orders, "order_id").withColumn("n_reviews", F.coalesce("n_reviews", F.lit(0)))
     copies = F.greatest(F.col("n_reviews"), F.lit(1)) if per_review else F.lit(1)
@@ -169,7 +167,7 @@ def seller_summary(t: Tables, per_review: bool = True) -> DataFrame:
     scored = F.col("n_items")
     return rows.groupBy("seller_id").agg(
         F.countDistinct("order_id").alias("orders"),
-        _amount(F.col("value") * copies.cast("decimal(8,0)")).alias("revenue"),
+        _cents(F.col("total_value") * copies).alias("revenue"),
         rounded(ratio(F.sum(F.col("score_sum") * scored), F.sum(F.col("n_reviews") * scored))).alias("avg_review"),
         rounded(ratio(F.sum(F.col("delivery_days") * timed), F.sum(timed))).alias("avg_delivery_days"),
         rounded(ratio(F.sum(F.col("late_delivery_flag") * w), F.sum(w))).alias("late_delivery_rate"),
@@ -178,22 +176,20 @@ def seller_summary(t: Tables, per_review: bool = True) -> DataFrame:
 
 def product_summary(t: Tables) -> DataFrame:
     catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
-    lines = clean_items(t.items).groupBy("order_id", "product_id").agg(
-        _rows().alias("n"), F.sum("price").alias("price"), F.sum("freight_value").alias("freight"),
-        F.sum("total_value").alias("value"),
-    )
+    sums = ("n_items", "price", "freight_value", "total_value")
     per_order = (
-        lines.join(catalog, "product_id")
+        rollups.item_sums(t, "order_id", "product_id")
+        .join(catalog, "product_id")
         .groupBy("order_id", "category_english")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "price", "freight", "value")])
+        .agg(*[F.sum(c).alias(c) for c in sums])
         .join(rollups.delivered_headers(t).select("order_id"), "order_id")
     )
     return per_order.groupBy("category_english").agg(
         _rows().alias("orders"),
-        F.sum("n").alias("items"),
-        _amount("value").alias("revenue"),
-        rounded(ratio(F.sum("price"), F.sum("n"))).alias("avg_price"),
-        rounded(ratio(F.sum("freight"), F.sum("n"))).alias("avg_freight"),
+        F.sum("n_items").alias("items"),
+        _cents("total_value").alias("revenue"),
+        rounded(ratio(_cents("price"), F.sum("n_items"))).alias("avg_price"),
+        rounded(ratio(_cents("freight_value"), F.sum("n_items"))).alias("avg_freight"),
     ).orderBy(F.desc("revenue"))
 
 
@@ -212,13 +208,13 @@ def order_profile(t: Tables) -> DataFrame:
     """Per order: value, items, mean price and freight, modal category and seller state."""
     catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
     sellers = t.sellers.select("seller_id", F.upper("seller_state").alias("seller_state"))
-    lines = clean_items(t.items).join(catalog, "product_id", "left").join(sellers, "seller_id", "left")
+    lines = t.item_cents.join(catalog, "product_id", "left").join(sellers, "seller_id", "left")
     # The mode keeps one counter per distinct category or state: catalogue-sized.
     return lines.groupBy("order_id").agg(
-        F.sum("total_value").cast("double").alias("first_order_value"),
+        _cents("total_value").alias("first_order_value"),
         _rows().alias("first_order_item_count"),
-        ratio(F.sum("price"), _rows()).alias("first_avg_item_price"),
-        ratio(F.sum("freight_value"), _rows()).alias("first_avg_freight"),
+        ratio(_cents("price"), _rows()).alias("first_avg_item_price"),
+        ratio(_cents("freight_value"), _rows()).alias("first_avg_freight"),
         F.mode("category_english", deterministic=True).alias("product_category_name_english"),
         F.mode("seller_state", deterministic=True).alias("seller_state"),
     )
@@ -283,11 +279,13 @@ def repeat_features(t: Tables) -> DataFrame:
 def delivery_risk_features(t: Tables) -> DataFrame:
     """Per delivered order: its totals, payment, places, first-order traits, late flag."""
     place = clean_customers(t.customers).select("customer_id", "customer_unique_id", "customer_state")
-    totals = clean_items(t.items).groupBy("order_id").agg(
-        F.sum("total_value").cast("double").alias("order_total_value"),
-        _rows().alias("order_item_count"),
-        ratio(F.sum("price"), _rows()).alias("avg_item_price"),
-        ratio(F.sum("freight_value"), _rows()).alias("avg_freight"),
+    sums = rollups.item_sums(t, "order_id")
+    totals = sums.select(
+        "order_id",
+        numbers.amount(F.col("total_value")).alias("order_total_value"),
+        F.col("n_items").alias("order_item_count"),
+        ratio(numbers.amount(F.col("price")), F.col("n_items")).alias("avg_item_price"),
+        ratio(numbers.amount(F.col("freight_value")), F.col("n_items")).alias("avg_freight"),
     )
     orders = (
         clean_orders(t.orders_in("delivered"))
@@ -356,10 +354,10 @@ def top_decile_customers(t: Tables) -> DataFrame:
 
 def preferred_sellers(t: Tables, fraction: float = 0.01, max_late: float = 0.03, min_review: float = 4.2) -> DataFrame:
     """Top sellers by value, with the service test that keeps them qualified."""
-    lines = clean_items(t.items).groupBy("order_id", "seller_id").agg(F.sum("total_value").alias("value"))
+    lines = rollups.item_sums(t, "order_id", "seller_id")
     orders = _delivered_enriched(t).join(rollups.order_reviews(t.scores), "order_id", "left")
     sellers = lines.join(orders, "order_id").groupBy("seller_id").agg(
-        F.sum("value").alias("gmv"),
+        F.sum("total_value").alias("gmv"),
         ratio(F.sum("late_delivery_flag"), _rows()).alias("late"),
         ratio(F.sum("score_sum"), F.sum("n_reviews")).alias("review"),
     )
@@ -367,7 +365,7 @@ def preferred_sellers(t: Tables, fraction: float = 0.01, max_late: float = 0.03,
     qualified = (F.col("late") < max_late) | (F.col("review") > min_review)
     return sellers.filter(F.col("gmv") >= cutoff).select(
         "seller_id",
-        F.col("gmv").cast("double").alias("gmv"),
+        numbers.amount(F.col("gmv")).alias("gmv"),
         rounded(F.col("late"), 4).alias("late_delivery_rate"),
         rounded(F.col("review"), 4).alias("avg_review"),
         numbers.flag(qualified).alias("is_qualified"),

@@ -42,7 +42,7 @@ CLEANING: dict[str, Query] = {
 MARTS: dict[str, Query] = {
     "m10_order_fact": marts.order_fact,
     "m10_order_fact_one_row_per_item": lambda t: marts.order_fact(t, per_review=False),
-    "m11_order_totals": lambda t: rollups.order_totals(t.items),
+    "m11_order_totals": rollups.order_totals,
     "m12_customer_summary": marts.customer_summary,
     "m12_customer_summary_per_person": lambda t: marts.customer_summary(t, per_address=False, per_review=False),
     "m13_customer_lifecycle": marts.customer_lifecycle,

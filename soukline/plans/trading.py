@@ -23,6 +23,10 @@ def _amount(column: Column) -> Column:
     return F.sum(column).cast("double")
 
 
+def _cents(column: Column | str) -> Column:
+    return numbers.amount(F.sum(column))
+
+
 def _rows() -> Column:
     return F.count(F.lit(1))
 
@@ -54,7 +58,7 @@ def repeat_share(t: Tables, per_address: bool = True) -> DataFrame:
 
 
 def _state_orders(t: Tables) -> DataFrame:
-    """Order-level sales with the review fan-out applied to value."""
+    """Sales lines with the review fan-out applied to the value, in cents."""
     return rollups.sales_lines(t).withColumn("value", F.col("total_value") * F.col("fan_out"))
 
 
@@ -66,7 +70,7 @@ def revenue_by_state(t: Tables) -> DataFrame:
         _rows().alias("orders"), F.sum("value").alias("value")
     )
     states = per_person.groupBy("customer_state").agg(
-        _rows().alias("customers"), F.sum("orders").alias("orders"), _amount("value").alias("revenue")
+        _rows().alias("customers"), F.sum("orders").alias("orders"), _cents("value").alias("revenue")
     )
     return _with_share(states, "revenue", "revenue_pct").orderBy(F.desc("revenue"))
 
@@ -78,9 +82,9 @@ def top_categories(t: Tables, k: int = 10) -> DataFrame:
         .agg(
             F.countDistinct("order_id").alias("orders"),
             F.countDistinct("product_id").alias("products"),
-            _amount("value").alias("revenue"),
+            _cents("value").alias("revenue"),
             rounded(
-                ratio(F.sum(F.col("price") * F.col("fan_out")), F.sum(F.col("n_items") * F.col("fan_out")))
+                ratio(_cents(F.col("price") * F.col("fan_out")), F.sum(F.col("n_items") * F.col("fan_out")))
             ).alias("avg_item_price"),
         )
         .orderBy(F.desc("revenue"), "category_english")
@@ -204,7 +208,7 @@ def top_sellers(t: Tables, k: int = 20, per_review: bool = True) -> DataFrame:
         lines.groupBy("seller_id", "seller_state")
         .agg(
             F.countDistinct("order_id").alias("orders"),
-            _amount(F.col("total_value") * twice.cast("decimal(8,0)")).alias("revenue"),
+            _cents(F.col("total_value") * twice).alias("revenue"),
             rounded(ratio(F.sum(F.col("score_sum") * scored), F.sum(F.col("n_reviews") * scored))).alias("avg_review"),
             rounded(ratio(F.sum(F.col("delivery_days") * timed), F.sum(timed)), 1).alias("avg_delivery_days"),
         )
@@ -236,8 +240,8 @@ def freight_share_by_category(t: Tables, min_items: int = 50, k: int = 15) -> Da
     w = F.col("fan_out")
     sums = rollups.sales_lines(t).groupBy("category_english").agg(
         F.sum(F.col("n_items") * w).alias("items"),
-        F.sum(F.col("price") * w).alias("price"),
-        F.sum(F.col("freight_value") * w).alias("freight"),
+        _cents(F.col("price") * w).alias("price"),
+        _cents(F.col("freight_value") * w).alias("freight"),
     )
     price, freight = ratio(F.col("price"), F.col("items")), ratio(F.col("freight"), F.col("items"))
     return (
@@ -326,7 +330,7 @@ def top_sellers_per_state(t: Tables, k: int = 5) -> DataFrame:
     return (
         revenue.withColumn("state_rank", F.rank().over(best))
         .filter(F.col("state_rank") <= k)
-        .withColumn("revenue", F.col("revenue").cast("double"))
+        .withColumn("revenue", numbers.amount(F.col("revenue")))
         .orderBy("seller_state", "state_rank")
     )
 

@@ -51,6 +51,10 @@ def _rows(*candidates: Column) -> Column:
     return F.explode(F.filter(F.array(*candidates), lambda row: row.isNotNull()))
 
 
+def _hundredths(column: str) -> Column:
+    return F.floor(F.col(column) * 100 + F.lit(0.5))
+
+
 def _key() -> Column:
     return F.col("o_orderkey").cast("string")
 
@@ -64,9 +68,12 @@ class Marketplace(Tables):
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
+        self._scans: dict[str, DataFrame] = {}
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SOURCES[name]).parquet(f"{self.root}/{name}.parquet")
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.schema(SOURCES[name]).parquet(f"{self.root}/{name}.parquet")
+        return self._scans[name]
 
     def header(self) -> list[Column]:
         return [
@@ -114,18 +121,35 @@ class Marketplace(Tables):
             F.col("n_name").alias("customer_state"),
         )
 
+    def _item_ids(self) -> list[Column]:
+        return [
+            F.col("l_orderkey").cast("string").alias("order_id"),
+            F.col("l_partkey").cast("string").alias("product_id"),
+            F.col("l_suppkey").cast("string").alias("seller_id"),
+        ]
+
+    def _item_money(self) -> tuple[Column, Column]:
+        """Discounted price and tax of a line, rounded half up to whole cents."""
+        gross = _hundredths("l_extendedprice")
+        price = F.floor((gross * (100 - _hundredths("l_discount")) + 50) / 100)
+        return price, F.floor((gross * _hundredths("l_tax") + 50) / 100)
+
+    @property
+    def item_cents(self) -> DataFrame:
+        price, freight = self._item_money()
+        return self.scan("lineitem").select(
+            *self._item_ids(), price.alias("price"), freight.alias("freight_value"), (price + freight).alias("total_value")
+        )
+
     @cached_property
     def items(self) -> DataFrame:
-        gross = F.col("l_extendedprice").cast("decimal(12,2)")
-        kept = F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
+        price, freight = self._item_money()
         return self.scan("lineitem").select(
-            F.col("l_orderkey").cast("string").alias("order_id"),
+            *self._item_ids(),
             F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            F.col("l_suppkey").cast("string").alias("seller_id"),
             F.col("l_shipdate").alias("shipping_limit_date"),
-            F.round(gross * kept, 2).cast(MONEY).alias("price"),
-            F.round(gross * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY).alias("freight_value"),
+            (price / F.lit(100.0)).cast(MONEY).alias("price"),
+            (freight / F.lit(100.0)).cast(MONEY).alias("freight_value"),
         )
 
     @cached_property

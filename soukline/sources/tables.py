@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soukline.functions.numbers import to_cents
+
 ORDER_TIMES = [
     "order_purchase_timestamp",
     "order_approved_at",
@@ -82,6 +84,15 @@ class Tables:
     def scores(self) -> DataFrame:
         return self.reviews.drop("review_creation_date", "review_answer_timestamp")
 
+    @property
+    def item_cents(self) -> DataFrame:
+        """Items with price, freight and their sum in whole cents."""
+        price, freight = to_cents(F.col("price")), to_cents(F.col("freight_value"))
+        return self.items.select(
+            "order_id", "product_id", "seller_id", price.alias("price"), freight.alias("freight_value"),
+            (price + freight).alias("total_value"),
+        )
+
     def orders_in(self, status: str) -> DataFrame:
         """Orders of one status; sources with other codes filter their scan."""
         return self.orders.filter(F.col("order_status") == status)
