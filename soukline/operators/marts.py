@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from soukline.functions import clock, numbers
 from soukline.operators import ranking, rollups
 from soukline.operators.cleaning import (
-    clean_customers, clean_items, clean_orders, clean_payments, clean_products, clean_reviews,
+    clean_customers, clean_items, clean_orders, clean_payments, clean_reviews,
     enrich_orders,
 )
 from soukline.operators.skew import salted_join
@@ -32,7 +32,6 @@ def order_fact(tables: Tables, per_review: bool = True) -> DataFrame:
     ``False`` keeps one row per item with the mean score.
     """
     orders = rollups.person_orders(tables, rollups.delivered_orders(tables))
-    catalog = clean_products(tables.products, tables.translation)
     if per_review:
         score = clean_reviews(tables.scores).select("order_id", "review_score", "is_detractor", "is_promoter")
     else:
@@ -41,8 +40,7 @@ def order_fact(tables: Tables, per_review: bool = True) -> DataFrame:
     scored = orders.join(score, "order_id", "left")
     flags = ["is_detractor", "is_promoter"] if per_review else []
     fact = (
-        salted_join(clean_items(tables.items), scored, "order_id")
-        .join(catalog.select("product_id", "product_category_name", "category_english"), "product_id")
+        rollups.with_category(salted_join(clean_items(tables.items), scored, "order_id"), tables)
         .join(tables.sellers.select("seller_id", "seller_state"), "seller_id")
     )
     return fact.select(

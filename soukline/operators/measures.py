@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from soukline.functions import numbers
 from soukline.functions.numbers import divide_or, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
-from soukline.operators.cleaning import clean_orders, clean_products, enrich_orders
+from soukline.operators.cleaning import clean_orders, enrich_orders
 from soukline.sources.tables import Tables
 
 # Targets of the executive page and price band edges.
@@ -72,13 +72,21 @@ class Context:
             lines = lines.filter(F.col("seller_state").isin(*s.seller_states))
         return lines
 
-    def _lines(self) -> DataFrame:
-        """Order x product x seller sums in cents, with category and seller state."""
+    def _lines(self, by: list[str] = ()) -> DataFrame:
+        """Item sums in cents per order, with product and seller only where used.
+
+        An item whose product or seller is missing stays, under a null name.
+        """
         t = self.tables
-        catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
-        sums = rollups.item_sums(t, "order_id", "product_id", "seller_id")
-        joined = sums.join(catalog, "product_id").join(t.sellers.select("seller_id", "seller_state"), "seller_id")
-        return self._line_filter(joined)
+        sold = {"category_english", "product_id"} & set(by) or self.slicer.categories
+        by_seller = {"seller_state", "seller_id"} & set(by) or self.slicer.seller_states
+        keys = ["order_id", *(["product_id"] if sold else []), *(["seller_id"] if by_seller else [])]
+        lines = rollups.item_sums(t, *keys)
+        if sold:
+            lines = rollups.with_category(lines, t, "left")
+        if by_seller:
+            lines = lines.join(t.sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        return self._line_filter(lines)
 
     def orders(self, delivery: bool = False) -> DataFrame:
         """Orders of every status; line filters keep orders with such a line."""
@@ -89,10 +97,10 @@ class Context:
             orders = orders.join(self._lines().select("order_id"), "order_id", "left_semi")
         return orders
 
-    def lines(self) -> DataFrame:
+    def lines(self, by: list[str] = ()) -> DataFrame:
         """Lines of every status with the attributes of their order."""
         orders = self._order_filter(rollups.person_orders(self.tables, clean_orders(self.tables.headers)))
-        return self._lines().join(orders, "order_id")
+        return self._lines(by).join(orders, "order_id")
 
     def fact(self) -> DataFrame:
         """Delivered lines; ``fan_out`` counts the item x review rows."""
@@ -115,7 +123,7 @@ def gmv(ctx: Context, by: list[str]) -> DataFrame:
 
 def gmv_of_items(ctx: Context, by: list[str]) -> DataFrame:
     """Price plus freight of all items, whatever the order status."""
-    return ctx.lines().groupBy(*by).agg(_value("total_value").alias("gmv"))
+    return ctx.lines(by).groupBy(*by).agg(_value("total_value").alias("gmv"))
 
 
 def order_success(ctx: Context, by: list[str]) -> DataFrame:
@@ -135,19 +143,19 @@ def average_order_value(ctx: Context, by: list[str]) -> DataFrame:
 
 def median_order_value(ctx: Context, by: list[str]) -> DataFrame:
     delivered = Context(ctx.tables, replace(ctx.slicer, statuses=("delivered",)), ctx.segment_of)
-    per_order = delivered.lines().groupBy(*by, "order_id").agg(_value("total_value").alias("v"))
+    per_order = delivered.lines(by).groupBy(*by, "order_id").agg(_value("total_value").alias("v"))
     medians = ranking.percentiles(per_order, "v", {"m": 0.5}, by=by)
     return medians.select(*by, rounded(F.col("m"), 4).alias("median_order_value"))
 
 
 def unique_customers(ctx: Context, by: list[str]) -> DataFrame:
     """People behind the orders that have a line in context."""
-    return ctx.lines().groupBy(*by).agg(F.countDistinct("customer_unique_id").alias("unique_customers"))
+    return ctx.lines(by).groupBy(*by).agg(F.countDistinct("customer_unique_id").alias("unique_customers"))
 
 
 def repeat_rate(ctx: Context, by: list[str]) -> DataFrame:
     """Share of the people in context whose whole history has a second order."""
-    active = ctx.lines().select(*by, "customer_unique_id").distinct()
+    active = ctx.lines(by).select(*by, "customer_unique_id").distinct()
     history = marts.customer_lifecycle(ctx.tables).select("customer_unique_id", "repeat_customer_flag")
     repeat = F.coalesce(F.sum("repeat_customer_flag"), F.lit(0))
     return active.join(history, "customer_unique_id", "left").groupBy(*by).agg(
@@ -197,12 +205,10 @@ def service_averages(ctx: Context, by: list[str]) -> DataFrame:
 def leading_seller_share(ctx: Context, fraction: float = 0.01) -> DataFrame:
     """Share of value held by the top sellers; ties at the cut are kept."""
     sellers = ctx.fact().groupBy("seller_id").agg(F.sum(F.col("total_value") * F.col("fan_out")).alias("gmv"))
-    cutoff = ranking.leading_share_cutoff(sellers, "gmv", fraction).scalar()
-    top = F.col("gmv") >= F.col("_cut")
-    return sellers.withColumn("_cut", cutoff).agg(
-        _rows().alias("sellers"),
-        F.sum(numbers.flag(top)).alias("leading_sellers"),
-        rounded(divide_or(F.sum(F.when(top, F.col("gmv"))), F.sum("gmv")), 4).alias("leading_share"),
+    return ranking.leading_share(sellers, "gmv", fraction).select(
+        F.col("members").alias("sellers"),
+        F.col("leading").alias("leading_sellers"),
+        rounded(divide_or(F.col("leading_value"), F.col("whole_value")), 4).alias("leading_share"),
     )
 
 
@@ -284,7 +290,7 @@ def basket_measures(ctx: Context, by: list[str]) -> DataFrame:
 
 def sliced_report(ctx: Context, by: list[str]) -> DataFrame:
     """Value, orders, customers and order value under all slicers."""
-    per_order = ctx.lines().groupBy(*by, "order_id").agg(
+    per_order = ctx.lines(by).groupBy(*by, "order_id").agg(
         F.sum("total_value").alias("value"), F.max("customer_unique_id").alias("person")
     )
     return per_order.groupBy(*by).agg(

@@ -169,17 +169,23 @@ def percentiles(
     return picked.select(*by, *outputs)
 
 
-def leading_share_cutoff(df: DataFrame, value: str, fraction: float) -> DataFrame:
-    """One row: the value of the last member of the top ``fraction`` of rows.
+def leading_share(df: DataFrame, value: str, fraction: float) -> DataFrame:
+    """One row about the top ``fraction`` of rows by value.
 
-    The member count is max(1, round(rows * fraction)); rows equal to the
-    cutoff all belong, so ties are kept.
+    The member count is max(1, round(rows * fraction)); rows equal to the last
+    member all belong, so ties are kept. ``cutoff`` is the last member's value.
     """
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     ranked = running_totals(counts, [F.col("_v").desc()], {"_upto": "_c"})
     wanted = F.greatest(F.lit(1), F.floor(F.col("_upto_total") * F.lit(fraction) + F.lit(0.5)))
     inside = (F.col("_upto") - F.col("_c")) < wanted
-    return ranked.agg(F.min(F.when(inside, F.col("_v"))).alias("cutoff"))
+    return ranked.agg(
+        F.sum("_c").alias("members"),
+        F.sum(F.when(inside, F.col("_c"))).alias("leading"),
+        F.sum(F.when(inside, F.col("_v") * F.col("_c"))).alias("leading_value"),
+        F.sum(F.col("_v") * F.col("_c")).alias("whole_value"),
+        F.min(F.when(inside, F.col("_v"))).alias("cutoff"),
+    )
 
 
 def share_of_total(df: DataFrame, column: str) -> Column:

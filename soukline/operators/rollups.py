@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from soukline.functions import clock, numbers, text
 from soukline.operators.cleaning import (
-    clean_customers, clean_orders, clean_products, clean_reviews,
+    clean_customers, clean_orders, clean_reviews,
 )
 from soukline.sources.tables import Tables
 
@@ -79,6 +79,28 @@ def person_orders(tables: Tables, headers: DataFrame) -> DataFrame:
     return headers.join(people(tables), "customer_id")
 
 
+def with_category(lines: DataFrame, tables: Tables, how: str = "inner") -> DataFrame:
+    """Adds the native and English category of each product.
+
+    Products and translation are joined one after the other rather than with
+    each other first: the planner sees the true size of each and can broadcast
+    whichever is under its threshold.
+    """
+    native = tables.products.select(
+        "product_id", F.lower("product_category_name").alias("_native"), F.lit(True).alias("_known")
+    )
+    english = tables.translation.select(
+        F.lower("product_category_name").alias("_native"), F.lower("product_category_name_english").alias("_english")
+    )
+    named = lines.join(native, "product_id", how).join(english, "_native", "left")
+    unknown = F.when(F.col("_known"), F.lit("unknown"))
+    return named.select(
+        *lines.columns,
+        F.coalesce("_native", unknown).alias("product_category_name"),
+        F.coalesce("_english", unknown).alias("category_english"),
+    )
+
+
 def sales_lines(tables: Tables) -> DataFrame:
     """One row per order, product and seller of a delivered order.
 
@@ -89,13 +111,9 @@ def sales_lines(tables: Tables) -> DataFrame:
     orders = person_orders(tables, delivered_orders(tables)).join(
         order_reviews(tables.scores), "order_id", "left"
     )
-    catalog = clean_products(tables.products, tables.translation).select(
-        "product_id", "product_category_name", "category_english"
-    )
     sellers = tables.sellers.select("seller_id", "seller_state")
     return (
-        lines.join(orders, "order_id")
-        .join(catalog, "product_id")
+        with_category(lines.join(orders, "order_id"), tables)
         .join(sellers, "seller_id")
         .withColumn("n_reviews", F.coalesce("n_reviews", F.lit(0)))
         .withColumn("fan_out", F.greatest(F.col("n_reviews"), F.lit(1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from soukline.functions import numbers
 from soukline.functions.numbers import percent, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
-from soukline.operators.cleaning import clean_orders, clean_payments, clean_products, enrich_orders
+from soukline.operators.cleaning import clean_orders, clean_payments, enrich_orders
 from soukline.plans.trading import _amount, _cents, _rows, _with_share
 from soukline.sources.tables import Tables
 
@@ -102,10 +102,8 @@ def top_seller_revenue(t: Tables, k: int = 15) -> DataFrame:
 
 
 def top_category_revenue(t: Tables, k: int = 10) -> DataFrame:
-    catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
     return (
-        _delivered_lines(t, "product_id")
-        .join(catalog, "product_id")
+        rollups.with_category(_delivered_lines(t, "product_id"), t)
         .groupBy("category_english")
         .agg(_cents("total_value").alias("revenue"))
         .orderBy(F.desc("revenue"), "category_english")

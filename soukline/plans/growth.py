@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from soukline.functions import clock, numbers
 from soukline.functions.numbers import percent, ratio, rounded
 from soukline.operators import marts, ranking, rollups
-from soukline.operators.cleaning import clean_orders, clean_products
+from soukline.operators.cleaning import clean_orders
 from soukline.plans.trading import _amount, _cents, _review_stats, _rows, _state_orders, _with_share
 from soukline.sources.tables import Tables
 
@@ -29,10 +29,8 @@ def monthly_growth(t: Tables) -> DataFrame:
 
 def _category_orders(t: Tables) -> DataFrame:
     """Delivered order x category with its value in cents, no review involved."""
-    catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
     lines = (
-        rollups.item_sums(t, "order_id", "product_id")
-        .join(catalog, "product_id")
+        rollups.with_category(rollups.item_sums(t, "order_id", "product_id"), t)
         .groupBy("order_id", "category_english")
         .agg(F.sum("total_value").alias("value"))
     )

@@ -9,7 +9,7 @@ from soukline.functions import clock, numbers
 from soukline.functions.numbers import percent, ratio, right_closed_band, rounded
 from soukline.operators import marts, ranking, rollups
 from soukline.operators.cleaning import (
-    clean_customers, clean_orders, clean_payments, clean_products, enrich_orders,
+    clean_customers, clean_orders, clean_payments, enrich_orders,
 )
 from soukline.operators.skew import salted_join
 from soukline.plans.explore import delivered_values
@@ -118,8 +118,7 @@ def category_pairs(t: Tables, k: int | None = 15) -> DataFrame:
     pairs are formed once per distinct set. A set is no larger than the
     catalogue, whatever the order holds.
     """
-    catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
-    bought = t.items.select("order_id", "product_id").distinct().join(catalog, "product_id")
+    bought = rollups.with_category(t.items.select("order_id", "product_id").distinct(), t)
     sets = (
         bought.join(rollups.delivered_headers(t).select("order_id"), "order_id", "left_semi")
         .groupBy("order_id")
@@ -175,11 +174,9 @@ def seller_summary(t: Tables, per_review: bool = True) -> DataFrame:
 
 
 def product_summary(t: Tables) -> DataFrame:
-    catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
     sums = ("n_items", "price", "freight_value", "total_value")
     per_order = (
-        rollups.item_sums(t, "order_id", "product_id")
-        .join(catalog, "product_id")
+        rollups.with_category(rollups.item_sums(t, "order_id", "product_id"), t)
         .groupBy("order_id", "category_english")
         .agg(*[F.sum(c).alias(c) for c in sums])
         .join(rollups.delivered_headers(t).select("order_id"), "order_id")
@@ -206,9 +203,8 @@ def delivery_summary(t: Tables) -> DataFrame:
 
 def order_profile(t: Tables) -> DataFrame:
     """Per order: value, items, mean price and freight, modal category and seller state."""
-    catalog = clean_products(t.products, t.translation).select("product_id", "category_english")
     sellers = t.sellers.select("seller_id", F.upper("seller_state").alias("seller_state"))
-    lines = t.item_cents.join(catalog, "product_id", "left").join(sellers, "seller_id", "left")
+    lines = rollups.with_category(t.item_cents, t, "left").join(sellers, "seller_id", "left")
     # The mode keeps one counter per distinct category or state: catalogue-sized.
     return lines.groupBy("order_id").agg(
         _cents("total_value").alias("first_order_value"),
@@ -360,8 +356,8 @@ def preferred_sellers(t: Tables, fraction: float = 0.01, max_late: float = 0.03,
         F.sum("total_value").alias("gmv"),
         ratio(F.sum("late_delivery_flag"), _rows()).alias("late"),
         ratio(F.sum("score_sum"), F.sum("n_reviews")).alias("review"),
-    )
-    cutoff = ranking.leading_share_cutoff(sellers, "gmv", fraction).scalar()
+    ).checkpoint()  # read twice below: for the cutoff and for the members
+    cutoff = ranking.leading_share(sellers, "gmv", fraction).select("cutoff").scalar()
     qualified = (F.col("late") < max_late) | (F.col("review") > min_review)
     return sellers.filter(F.col("gmv") >= cutoff).select(
         "seller_id",

@@ -112,8 +112,9 @@ class Marketplace(Tables):
 
     @cached_property
     def customers(self) -> DataFrame:
-        places = self.scan("customer").join(self.scan("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        return self.scan("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select(
+        nation = F.col("c_nationkey") == F.col("n_nationkey")
+        placed = self.scan("orders").join(self.scan("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        return placed.join(self.scan("nation"), nation).select(
             _key().alias("customer_id"),
             F.col("o_custkey").cast("string").alias("customer_unique_id"),
             (F.col("c_nationkey") * 37).cast("string").alias("customer_zip_code_prefix"),

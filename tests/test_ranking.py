@@ -58,12 +58,10 @@ def test_percentiles_interpolate_per_group(spark):
 
 
 def test_leading_share_keeps_ties(spark):
-    values = [100, 90, 90] + list(range(147))
-    cutoff = ranking.leading_share_cutoff(frame(spark, [0 if v == 147 else v for v in values]).filter("v < 90 or id < 3"), "v", 0.01)
-    assert cutoff.first().cutoff == 100 or cutoff.first().cutoff == 90
     df = frame(spark, [500, 400, 400] + list(range(147)))  # 150 rows: round(1.5) = 2 members
-    cut = ranking.leading_share_cutoff(df, "v", 0.01).first().cutoff
-    assert cut == 400 and df.filter(F.col("v") >= cut).count() == 3
+    row = ranking.leading_share(df, "v", 0.01).first()
+    assert (row.members, row.leading, row.leading_value, row.cutoff) == (150, 3, 1300, 400)
+    assert row.whole_value == 1300 + sum(range(147))
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
