@@ -140,6 +140,9 @@ ORACLES = {
     "s1_csv_scan": sql(f"SELECT order_id, customer_id, order_status, {WEEK} FROM b_orders"),
     "s2_stage_rescan": sql(" UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS rows FROM b_{t}" for t in TABLES)),
     "s4_metrics_document": sql(f"SELECT count(*) AS delivered_orders, count(DISTINCT customer_unique_id) AS customers FROM po"),
+    "s5_star_tables": sql("""SELECT purchase_year AS year, customer_state, coalesce(product_category_name_english, b.product_category_name, 'unknown') AS category_name,
+      count(*) AS items, sum(total_value)::DOUBLE AS value FROM po JOIN i USING (order_id) JOIN b_products b USING (product_id)
+      LEFT JOIN b_translation t ON t.product_category_name = b.product_category_name GROUP BY 1, 2, 3"""),
     "s6_named_views": sql("SELECT order_status, count(*) AS orders FROM b_orders JOIN b_customers USING (customer_id) GROUP BY 1"),
     "s8_monthly_refresh": sql("SELECT purchase_month, count(*) AS rows, sum(total_value)::DOUBLE AS value FROM fact GROUP BY 1"),
     "s9_daily_landing": "SELECT year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, count(*) AS events FROM events GROUP BY ALL",

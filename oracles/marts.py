@@ -118,3 +118,4 @@ ORACLES = {
     "d6_fact_sales": sql(FACT_SALES),
     "d7_mart_customer_segmentation": sql(f"SELECT * REPLACE (monetary::DOUBLE AS monetary), {LABEL} AS rfm_segment FROM rfm"),
 }
+ORACLES["d7_mart_monthly_revenue"] = ORACLES["m27_monthly_revenue"]

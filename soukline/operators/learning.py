@@ -40,9 +40,7 @@ def _rows() -> Column:
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Training is bound by CPU, not bytes, so the rows are dealt over all cores."""
-    spark = df.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts, key)
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 # --- scaling and clusters -------------------------------------------------
@@ -64,38 +62,46 @@ def standardise(df: DataFrame, columns: list[str], prefix: str = "z_") -> DataFr
     return centred.select(*filled.columns, *scaled)
 
 
-def scaled_vectors(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    scaled = standardise(df, columns)
+def scaled_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     assembler = VectorAssembler(inputCols=["z_" + c for c in columns], outputCol="features")
-    return assembler.transform(scaled.repartition(key))
+    return assembler.transform(standardise(df, columns))
 
 
-def best_kmeans(vectors: DataFrame, k: int, starts: int = 10, seed: int = 42, parallel: int = 8) -> KMeansModel:
-    """The lowest-cost model of several seeds; the fits share the cluster."""
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=100).fit(vectors)
+def best_kmeans(
+    vectors: DataFrame, ks: list[int], starts: int = 10, seed: int = 42, parallel: int = 8
+) -> dict[int, KMeansModel]:
+    """For each k the lowest-cost model of several seeds; the fits share the cluster.
 
-    with ThreadPoolExecutor(parallel) as pool:
-        models = list(pool.map(fit, range(starts)))
-    return min(models, key=lambda m: (m.summary.trainingCost, m.getSeed()))
+    Centres count as settled once none moves by more than 0.01 deviations.
+    """
+    def fit(job: tuple[int, int]) -> KMeansModel:
+        k, start = job
+        return KMeans(k=k, seed=seed + start, maxIter=300, tol=0.01).fit(features)
+
+    jobs = [(k, start) for k in ks for start in range(starts)]
+    features = vectors.select("features").persist()
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            models = list(pool.map(fit, jobs))
+    finally:
+        features.unpersist()
+    best = {}
+    for (k, start), model in zip(jobs, models):
+        rank = (model.summary.trainingCost, start)
+        if k not in best or rank < best[k][0]:
+            best[k] = (rank, model)
+    return {k: model for k, (_, model) in best.items()}
 
 
 def elbow(vectors: DataFrame, ks: range = range(2, 8), starts: int = 10) -> DataFrame:
     """Within-cluster cost for each k."""
-    vectors = vectors.persist()
-    try:
-        costs = [(k, round(float(best_kmeans(vectors, k, starts).summary.trainingCost), 2)) for k in ks]
-    finally:
-        vectors.unpersist()
+    models = best_kmeans(vectors, list(ks), starts)
+    costs = [(k, round(float(model.summary.trainingCost), 2)) for k, model in models.items()]
     return vectors.sparkSession.createDataFrame(costs, "k int, inertia double")
 
 
 def cluster(vectors: DataFrame, k: int = 4, starts: int = 10) -> DataFrame:
-    vectors = vectors.persist()
-    try:
-        model = best_kmeans(vectors, k, starts)
-    finally:
-        vectors.unpersist()
+    model = best_kmeans(vectors, [k], starts)[k]
     return model.transform(vectors).withColumnRenamed("prediction", "segment_id")
 
 

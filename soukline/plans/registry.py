@@ -63,7 +63,8 @@ MARTS: dict[str, Query] = {
     "d4_dim_seller": star.dim_seller,
     "d5_dim_date": star.dim_date_of,
     "d6_fact_sales": star.fact_sales,
-    "d7_mart_customer_segmentation": lambda t: marts.rfm_segments(marts.rfm_features(t)),
+    "d7_mart_customer_segmentation": lambda t: storage.stored_mart(marts.rfm_segments(marts.rfm_features(t))),
+    "d7_mart_monthly_revenue": lambda t: storage.stored_mart(marts.monthly_revenue(t)),
 }
 
 QUESTIONS: dict[str, Query] = {
@@ -207,6 +208,7 @@ STORAGE: dict[str, Query] = {
     "s1_csv_scan": storage.csv_scan,
     "s2_stage_rescan": storage.stage_rescan,
     "s4_metrics_document": storage.metrics_document,
+    "s5_star_tables": storage.star_tables,
     "s6_named_views": storage.named_views,
     "s8_monthly_refresh": storage.monthly_refresh,
     "s9_daily_landing": lambda t: storage.daily_landing(t.scan("events")),

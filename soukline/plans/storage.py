@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soukline.operators import marts, rollups
+from soukline.operators import marts, rollups, star
 from soukline.session import scratch_path
 from soukline.sources import readers, sinks
 from soukline.sources.tables import Tables
@@ -48,6 +48,35 @@ def metrics_document(t: Tables) -> DataFrame:
     return metrics.sparkSession.read.schema("delivered_orders bigint, customers bigint").json(path)
 
 
+def star_tables(t: Tables) -> DataFrame:
+    """The star schema saved as tables of a database, then joined on its keys."""
+    spark = t.items.sparkSession
+    path = scratch_path(spark, "warehouse")
+    database = "souk_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    tables = {
+        "dim_customer": star.dim_customer(t), "dim_product": star.dim_product(t), "dim_seller": star.dim_seller(t),
+        "dim_date": star.dim_date_of(t), "fact_sales": star.fact_sales(t),
+    }
+    for name, df in tables.items():
+        sinks.write_table(df, f"{database}.{name}")
+    joined = spark.table(f"{database}.fact_sales")
+    for key in ("customer", "product", "seller", "date"):
+        columns = {"customer": "state AS customer_state", "product": "category_name", "seller": "seller_id", "date": "year"}
+        dim = spark.table(f"{database}.dim_{key}").selectExpr(f"{key}_key", columns[key])
+        joined = joined.join(dim, f"{key}_key")
+    return joined.groupBy("year", "customer_state", "category_name").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("total_item_value").alias("value")
+    )
+
+
+def stored_mart(mart: DataFrame) -> DataFrame:
+    """A reporting mart written as Parquet and read back."""
+    path = scratch_path(mart.sparkSession, "mart")
+    sinks.write_stage({"mart": mart}, path)
+    return mart.sparkSession.read.schema(mart.schema).parquet(f"{path}/mart")
+
+
 def named_views(t: Tables) -> DataFrame:
     """Base relations as views, queried with SQL text."""
     sinks.register_views({"orders": t.headers, "customers": t.customers}, prefix="souk_")

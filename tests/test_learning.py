@@ -84,7 +84,7 @@ def test_unseen_names_still_score(spark, delay_rows):
 
 def test_best_of_several_starts(spark):
     points = spark.createDataFrame([(i, float(c * 10 + i % 2)) for c in range(4) for i in range(10)], "id int, x double")
-    vectors = learning.scaled_vectors(points, ["x"], "id")
+    vectors = learning.scaled_vectors(points, ["x"])
     costs = [r.inertia for r in learning.elbow(vectors, range(2, 5), starts=3).orderBy("k").collect()]
     assert costs[0] > costs[1] > costs[2] and costs[2] < 0.1
     assert learning.cluster(vectors, 4, starts=3).select("segment_id").distinct().count() == 4
