@@ -79,7 +79,9 @@ def best_kmeans(
         return KMeans(k=k, seed=seed + start, maxIter=300, tol=0.01).fit(features)
 
     jobs = [(k, start) for k in ks for start in range(starts)]
-    features = vectors.select("features").persist()
+    # Many short passes: no more tasks than cores, and no shuffle to get there.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    features = vectors.select("features").coalesce(cores).persist()
     try:
         with ThreadPoolExecutor(parallel) as pool:
             models = list(pool.map(fit, jobs))

@@ -22,10 +22,7 @@ def standardised_features(t: Tables) -> DataFrame:
 
 
 def _vectors(t: Tables) -> DataFrame:
-    return learning.scaled_vectors(
-        lifecycle.customer_features(t).withColumn("churn_flag", F.col("churn_flag_180d")),
-        learning.SEGMENT_COLUMNS,
-    )
+    return learning.scaled_vectors(lifecycle.customer_features(t), learning.SEGMENT_COLUMNS)
 
 
 def kmeans_elbow(t: Tables) -> DataFrame:
