@@ -27,9 +27,9 @@ FENCE = 3
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 # Measure: (numerator, denominator, scale, slack added beyond the fence, whether a low value is bad too).
 MEASURES = {
-    "repeat_share": ("n_repeat_words", "n_words", 1000, 100, False),
+    "repeat_share": ("n_repeat_words", "n_words", 1000, 300, False),
     "symbol_share": ("n_symbols", "word_chars", 1000, 50, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 100, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 400, False),
     "word_length": ("word_chars", "n_words", 100, 100, True),
 }
 
@@ -222,8 +222,8 @@ quartiles AS (
   FROM upto GROUP BY ALL),
 limits AS (
   SELECT level, lang, source, max(total) AS total,
-    max(q3 + 3 * (q3 - q1) + 100) FILTER (m = 1) AS h1, max(q3 + 3 * (q3 - q1) + 50) FILTER (m = 2) AS h2,
-    max(q3 + 3 * (q3 - q1) + 100) FILTER (m = 3) AS h3, max(q3 + 3 * (q3 - q1) + 100) FILTER (m = 4) AS h4,
+    max(q3 + 3 * (q3 - q1) + 300) FILTER (m = 1) AS h1, max(q3 + 3 * (q3 - q1) + 50) FILTER (m = 2) AS h2,
+    max(q3 + 3 * (q3 - q1) + 400) FILTER (m = 3) AS h3, max(q3 + 3 * (q3 - q1) + 100) FILTER (m = 4) AS h4,
     max(q1 - 3 * (q3 - q1) - 100) FILTER (m = 4) AS l4
   FROM quartiles GROUP BY ALL),
 judged AS (

@@ -16,6 +16,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# Spaces and ASCII punctuation: what separates the words of a model.
+BREAK = SPACE.copy()
+BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -66,9 +69,9 @@ class Texts:
         np.cumsum(flags, out=total[1:])
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, end (in ``data``) and text number of each word."""
-        solid = ~SPACE[self.data]
+    def words(self, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end (in ``data``) and text number of each word; ``between`` tells the bytes that separate words."""
+        solid = ~between[self.data]
         first = np.zeros(len(solid) + 1, dtype=bool)
         first[self.offsets] = True
         before = np.concatenate([[False], solid[:-1]]) if len(solid) else solid
