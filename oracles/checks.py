@@ -94,6 +94,20 @@ ORACLES = {
       {mean('sum(total_value)', "(SELECT sum(total_value) FROM fact)", 4)} AS category_share
       FROM fact WHERE category_english IN ('type_small', 'type_large') GROUP BY 1"""),
     "b13_cohort_retention": sql(f"SELECT cohort_month, period_number, {mean('active_customers', 'cohort_size', 4)} AS retention FROM retention"),
+    "b8_clv_by_state_in_dates": sql(f"""SELECT state, {avg('total_spent')} AS average_clv, {rnd('quantile_cont(total_spent::DOUBLE, 0.5)', 4)} AS median_clv
+      FROM life WHERE customer_unique_id IN (SELECT customer_unique_id FROM o_all JOIN person USING (customer_id)
+        WHERE bought::DATE BETWEEN DATE '1996-01-01' AND DATE '1998-06-30') GROUP BY 1"""),
+    "b13_cohort_retention_in_states": sql(f"""SELECT cohort_month, period_number, {mean('n', 'max(n) FILTER (period_number = 0) OVER (PARTITION BY cohort_month)', 4)} AS retention
+      FROM (SELECT cohort_month, period_number, count(DISTINCT customer_unique_id) AS n FROM cohort
+        WHERE customer_unique_id IN (SELECT customer_unique_id FROM o_all JOIN person USING (customer_id)
+          WHERE customer_state IN ('NATION_1', 'NATION_2', 'NATION_3')) GROUP BY 1, 2)"""),
+    "b13_cohort_retention_in_dates": sql(f"""SELECT cohort_month, period_number, {mean('active_customers', 'cohort_size', 4)} AS retention
+      FROM retention WHERE cohort_month + to_months(period_number) BETWEEN DATE '1996-01-01' AND DATE '1998-06-30'"""),
+    "b16_price_bands_on_shelf": sql("""SELECT CASE WHEN price <= 50 THEN 'up to 50' WHEN price <= 100 THEN '50 to 100' WHEN price <= 250 THEN '100 to 250'
+      WHEN price <= 500 THEN '250 to 500' WHEN price <= 1000 THEN '500 to 1000' ELSE 'over 1000' END AS price_band, count(*) AS items,
+      sum(total_value)::DOUBLE AS value FROM i JOIN p USING (product_id) JOIN b_sellers USING (seller_id)
+      JOIN (SELECT order_id FROM o_all WHERE order_status = 'delivered') USING (order_id)
+      WHERE category_english IN ('type_small', 'unknown') AND seller_state IN ('NATION_4', 'NATION_5', 'NATION_6') GROUP BY 1"""),
     "b14_kpi_status": sql(f"""SELECT *, CASE WHEN kpi = 'late_rate_pct' THEN if(value < target, 'Achieved', 'Risk Zone')
         ELSE if(value >= target, 'Achieved', 'Below Target') END AS status FROM (
       SELECT 'gmv' AS kpi, sum(total_value)::DOUBLE AS value, 15000000.0::DOUBLE AS target FROM al WHERE order_status = 'delivered'

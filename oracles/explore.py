@@ -3,7 +3,6 @@
 from oracles.base import avg, mean, pct, rnd, sql
 from oracles.questions import share
 
-PERIODS = 80
 DELIVERED_VALUE = "dv AS (SELECT * FROM po LEFT JOIN amount USING (order_id))"
 BAND = "CASE WHEN {0} > -1 AND {0} <= 90 THEN '{1}' WHEN {0} > 90 AND {0} <= 180 THEN '{2}' WHEN {0} > 180 AND {0} <= 365 THEN '{3}' WHEN {0} > 365 THEN '{4}' END"
 CHURN_BAND = BAND.format("recency_days", "Active", "Warm", "At Risk", "Dormant")
@@ -92,7 +91,11 @@ ORACLES = {
       SELECT {CHURN_BAND} AS segment_id, count(*) AS customers, {avg('recency_days')} AS avg_recency, {avg('order_count')} AS avg_orders,
       {avg('total_spent')} AS avg_spent, {avg('avg_review::DECIMAL(24,8)')} AS avg_review, {avg('churn_flag_180d')} AS churn_rate
       FROM life LEFT JOIN prv USING (customer_unique_id) GROUP BY 1)""", ORDER_REVIEW, PERSON_REVIEW),
-    "g3_cohort_matrix": sql(wide(PERIODS)),
+    "g3_cohort_matrix": sql("""SELECT * FROM (PIVOT (SELECT c.cohort_month, k.n, coalesce(max(r.retention_rate), 0) AS v
+      FROM (SELECT DISTINCT cohort_month FROM retention) c
+      CROSS JOIN (SELECT unnest(range(0, (SELECT max(period_number) FROM retention) + 1)) AS n) k
+      LEFT JOIN retention r ON r.cohort_month = c.cohort_month AND r.period_number = k.n GROUP BY ALL)
+      ON 'period_' || n USING max(v) GROUP BY cohort_month)"""),
     "g3_cohort_averages": sql(f"SELECT count(*) FILTER (period_number = 0) AS cohorts, (max(period_number) + 1)::INT AS periods, {COHORT_MEANS} FROM retention"),
     "g4_clv_table": sql(f"""SELECT * EXCLUDE (q) REPLACE (total_spent::DOUBLE AS total_spent),
       order_count::DOUBLE / CASE WHEN tenure_days <> 0 THEN greatest(tenure_days, 1) END::DOUBLE * 30.0 AS avg_orders_per_month,

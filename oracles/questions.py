@@ -42,6 +42,9 @@ ORACLES = {
       {avg('frequency')} AS avg_frequency, {avg('monetary')} AS avg_monetary FROM rfm GROUP BY 1)"""),
     "q8_cohort_matrix": sql("SELECT cohort_month, period_number, active_customers, cohort_size, retention_rate AS retention_pct FROM retention"),
     "q9_clv_by_state": sql(f"""SELECT customer_state, count(*) AS customers, {avg('lifetime_value')} AS avg_clv,
+      {rnd('quantile_cont(lifetime_value::DOUBLE, 0.5)', 4)} AS median_clv, max(lifetime_value)::DOUBLE AS max_clv
+      FROM summary GROUP BY 1 HAVING count(*) >= 200"""),
+    "q9_clv_by_state_from_50_customers": sql(f"""SELECT customer_state, count(*) AS customers, {avg('lifetime_value')} AS avg_clv,
       {rnd('quantile_cont(lifetime_value::DOUBLE, 0.5)', 4)} AS median_clv, max(lifetime_value)::DOUBLE AS max_clv
       FROM summary GROUP BY 1 HAVING count(*) >= 50"""),
     "q10_payment_mix": sql(f"""SELECT *, {share('order_count')} AS pct FROM (

@@ -1,17 +1,19 @@
-"""Text standardisation as native expressions, with an Arrow UDF for full NFKD."""
+"""Text standardisation as native expressions."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Latin letters with marks and their base letters.
-ACCENTED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Characters whose compatibility decomposition has ASCII in it, by what that ASCII is; built from Unicode's own tables.
+_FOLDED = {
+    chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if ord(x) < 128)
+    for c in range(128, 0x110000) if unicodedata.normalize("NFKD", chr(c)) != chr(c)
+}
+_ONE = {c: x for c, x in _FOLDED.items() if len(x) == 1}
+_MANY = {c: x for c, x in _FOLDED.items() if len(x) > 1}
 
 
 def collapse_spaces(value: Column) -> Column:
@@ -19,23 +21,14 @@ def collapse_spaces(value: Column) -> Column:
 
 
 def standardize_text(value: Column) -> Column:
-    """Lower case, accents folded, other non-ASCII dropped, single spaces."""
-    folded = F.translate(F.lower(value), ACCENTED, PLAIN)
-    spaced = F.regexp_replace(folded, r"(?U)\s+", " ")
-    return F.trim(F.regexp_replace(spaced, r"[^\x00-\x7F]", ""))
-
-
-def _ascii_fold(value):
-    if value is None:
-        return None
-    decomposed = unicodedata.normalize("NFKD", value.strip().lower())
-    return " ".join("".join(ch for ch in decomposed if ord(ch) < 128).split())
-
-
-@F.pandas_udf(T.StringType())
-def standardize_text_nfkd(values: pd.Series) -> pd.Series:
-    """Every compatibility decomposition, for text beyond marked Latin letters."""
-    return values.map(_ascii_fold, na_action="ignore")
+    """Lower case, full compatibility folding to ASCII, other characters dropped, single spaces."""
+    folded = F.translate(F.lower(value), "".join(_ONE), "".join(_ONE.values()))
+    # Characters that fold to several letters are rare; only texts with one are taken apart.
+    table = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    letters = F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(table[c], c))
+    spelled = F.when(folded.rlike("[" + "".join(_MANY) + "]"), F.array_join(letters, "")).otherwise(folded)
+    ascii_only = F.regexp_replace(spelled, r"[^\x00-\x7F]", "")
+    return F.trim(F.regexp_replace(ascii_only, r"[\x09-\x0D\x1C-\x20]+", " "))
 
 
 def lower_trim(value: Column) -> Column:

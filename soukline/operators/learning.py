@@ -39,8 +39,8 @@ def _rows() -> Column:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Training is bound by CPU, not bytes, so the rows are dealt over all cores."""
-    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, key)
+    """Rows dealt by key over the session's shuffle partitions, merged where they are small."""
+    return df.repartition(F.col(key))
 
 
 # --- scaling and clusters -------------------------------------------------
@@ -79,9 +79,7 @@ def best_kmeans(
         return KMeans(k=k, seed=seed + start, maxIter=300, tol=0.01).fit(features)
 
     jobs = [(k, start) for k in ks for start in range(starts)]
-    # Many short passes: no more tasks than cores, and no shuffle to get there.
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    features = vectors.select("features").coalesce(cores).persist()
+    features = vectors.select("features").persist()
     try:
         with ThreadPoolExecutor(parallel) as pool:
             models = list(pool.map(fit, jobs))

@@ -11,7 +11,6 @@ from soukline.operators.cleaning import (
     clean_customers, clean_items, clean_orders, clean_payments, clean_reviews,
     enrich_orders,
 )
-from soukline.operators.skew import salted_join
 from soukline.sources.tables import Tables
 
 # The rules are tried in this order, the first match names the segment.
@@ -40,7 +39,7 @@ def order_fact(tables: Tables, per_review: bool = True) -> DataFrame:
     scored = orders.join(score, "order_id", "left")
     flags = ["is_detractor", "is_promoter"] if per_review else []
     fact = (
-        rollups.with_category(salted_join(clean_items(tables.items), scored, "order_id"), tables)
+        rollups.with_category(clean_items(tables.items).join(scored, "order_id"), tables)
         .join(tables.sellers.select("seller_id", "seller_state"), "seller_id")
     )
     return fact.select(
@@ -169,7 +168,7 @@ def cohort_features(tables: Tables) -> DataFrame:
         "customer_unique_id", "order_id", F.col("purchase_month").alias("order_month")
     )
     first = orders.groupBy("customer_unique_id").agg(F.min("order_month").alias("cohort_month"))
-    joined = salted_join(orders, first, "customer_unique_id")
+    joined = orders.join(first, "customer_unique_id")
     return joined.select(
         "customer_unique_id",
         "cohort_month",
@@ -198,7 +197,11 @@ def cohort_activity(tables: Tables) -> DataFrame:
 
 def cohort_retention(tables: Tables) -> DataFrame:
     """Active customers, cohort size and retention per cohort and period."""
-    counts = cohort_activity(tables).groupBy("cohort_month", "period_number").agg(
+    return retention_of(cohort_activity(tables))
+
+
+def retention_of(activity: DataFrame) -> DataFrame:
+    counts = activity.groupBy("cohort_month", "period_number").agg(
         F.count(F.lit(1)).alias("active_customers")
     )
     # Every person is active in period 0, so that row carries the cohort size.

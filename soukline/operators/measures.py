@@ -102,6 +102,24 @@ class Context:
         orders = self._order_filter(rollups.person_orders(self.tables, clean_orders(self.tables.headers)))
         return self._lines(by).join(orders, "order_id")
 
+    def people(self, rows: DataFrame) -> DataFrame:
+        """The rows of people with an order in context; all of them where nothing is filtered."""
+        return rows if self.slicer == Slicer() else rows.join(self.orders(), "customer_unique_id", "left_semi")
+
+    def items(self) -> DataFrame:
+        """Single items in cents whose order and line are in context."""
+        t, s = self.tables, self.slicer
+        items = t.item_cents
+        if s.categories:
+            items = rollups.with_category(items, t, "left")
+        if s.seller_states:
+            items = items.join(t.sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        items = self._line_filter(items)
+        if s.without("categories", "seller_states") == Slicer():
+            return items
+        orders = self._order_filter(rollups.person_orders(t, clean_orders(t.headers)))
+        return items.join(orders, "order_id", "left_semi")
+
     def fact(self) -> DataFrame:
         """Delivered lines; ``fan_out`` counts the item x review rows."""
         return self._line_filter(self._order_filter(rollups.sales_lines(self.tables)))
@@ -166,7 +184,8 @@ def repeat_rate(ctx: Context, by: list[str]) -> DataFrame:
 
 
 def lifetime_value(ctx: Context, by: list[str]) -> DataFrame:
-    people = marts.customer_lifecycle(ctx.tables)
+    """Mean and median whole-history spend of the people with an order in context."""
+    people = ctx.people(marts.customer_lifecycle(ctx.tables))
     means = people.groupBy(*by).agg(rounded(ratio(F.sum("total_spent"), _rows())).alias("average_clv"))
     medians = ranking.percentiles(people, "total_spent", {"m": 0.5}, by=by)
     return means.join(medians, by).select(*by, "average_clv", rounded(F.col("m"), 4).alias("median_clv"))
@@ -225,7 +244,14 @@ def category_share(ctx: Context) -> DataFrame:
 
 def cohort_retention_share(ctx: Context) -> DataFrame:
     """Active people over cohort size; the size ignores the period filter."""
-    long = marts.cohort_retention(ctx.tables)
+    s = ctx.slicer
+    undated = Context(ctx.tables, s.without("first_day", "last_day"), ctx.segment_of)
+    long = marts.retention_of(undated.people(marts.cohort_activity(ctx.tables)))
+    month = F.expr("add_months(cohort_month, period_number)")
+    if s.first_day:
+        long = long.filter(month >= F.trunc(F.lit(s.first_day).cast("date"), "month"))
+    if s.last_day:
+        long = long.filter(month <= F.lit(s.last_day).cast("date"))
     return long.select(
         "cohort_month", "period_number",
         rounded(divide_or(F.col("active_customers"), F.col("cohort_size")), 4).alias("retention"),
@@ -273,7 +299,7 @@ def detractor_relative_risk(ctx: Context) -> DataFrame:
 def price_bands(ctx: Context, edges: list = PRICE_EDGES, labels: list[str] = PRICE_LABELS) -> DataFrame:
     in_cents = [None if edge is None else edge * 100 for edge in edges]
     band = right_closed_band(F.col("price"), [-1, *in_cents[1:]], labels)
-    return ctx.tables.item_cents.groupBy(band.alias("price_band")).agg(
+    return ctx.items().groupBy(band.alias("price_band")).agg(
         _rows().alias("items"), _value("total_value").alias("value")
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soukline.functions import clock, numbers
-from soukline.operators.skew import salted_join
 from soukline.sources.sinks import day_series
 from soukline.sources.tables import Tables
 
@@ -111,7 +110,7 @@ def fact_sales(tables: Tables) -> DataFrame:
             "review_score",
         )
     )
-    return salted_join(staged_items(tables.items), orders, "order_id").select(
+    return staged_items(tables.items).join(orders, "order_id").select(
         "customer_key",
         numbers.surrogate_key(F.col("product_id")).alias("product_key"),
         numbers.surrogate_key(F.col("seller_id")).alias("seller_key"),

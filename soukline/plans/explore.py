@@ -111,9 +111,11 @@ def top_category_revenue(t: Tables, k: int = 10) -> DataFrame:
     )
 
 
-def cohort_wide(t: Tables, periods: int, cohorts: int | None = None) -> DataFrame:
-    """Cohort x period retention in percent, zero-filled; one column per period."""
+def cohort_wide(t: Tables, periods: int | None = None, cohorts: int | None = None) -> DataFrame:
+    """Cohort x period retention in percent, zero-filled; one column per period, by default up to the last one."""
     long = marts.cohort_retention(t)
+    if periods is None:
+        periods = (long.agg(F.max("period_number")).first()[0] or 0) + 1
     wide = (
         long.groupBy("cohort_month")
         .pivot("period_number", list(range(periods)))

@@ -11,7 +11,6 @@ from soukline.operators import marts, ranking, rollups
 from soukline.operators.cleaning import (
     clean_customers, clean_orders, clean_payments, enrich_orders,
 )
-from soukline.operators.skew import salted_join
 from soukline.plans.explore import delivered_values
 from soukline.plans.trading import _amount, _cents, _rows
 from soukline.sources.tables import Tables
@@ -201,10 +200,11 @@ def delivery_summary(t: Tables) -> DataFrame:
     ).orderBy(F.desc("late_delivery_rate"))
 
 
-def order_profile(t: Tables) -> DataFrame:
-    """Per order: value, items, mean price and freight, modal category and seller state."""
+def order_profile(t: Tables, orders: DataFrame) -> DataFrame:
+    """Per order of ``orders``: value, items, mean price and freight, modal category and seller state."""
     sellers = t.sellers.select("seller_id", F.upper("seller_state").alias("seller_state"))
-    lines = rollups.with_category(t.item_cents, t, "left").join(sellers, "seller_id", "left")
+    items = t.item_cents.join(orders.select("order_id"), "order_id", "left_semi")
+    lines = rollups.with_category(items, t, "left").join(sellers, "seller_id", "left")
     # The mode keeps one counter per distinct category or state: catalogue-sized.
     return lines.groupBy("order_id").agg(
         _cents("total_value").alias("first_order_value"),
@@ -226,7 +226,8 @@ def first_orders(t: Tables) -> DataFrame:
     ]
     first = F.min_by(F.struct(*columns), F.struct("order_purchase_timestamp", "order_id"))
     rows = orders.groupBy("customer_unique_id").agg(first.alias("o")).select("customer_unique_id", "o.*")
-    return rows.join(order_profile(t), "order_id", "left")
+    rows = rows.checkpoint()  # read twice below: to pick the lines and for the rows themselves
+    return rows.join(order_profile(t, rows), "order_id", "left")
 
 
 def main_payment(t: Tables) -> DataFrame:
@@ -297,7 +298,7 @@ def delivery_risk_features(t: Tables) -> DataFrame:
     counted = ["order_total_value", "order_item_count", "avg_item_price", "avg_freight",
                "payment_installments", "first_order_value", "first_order_item_count"]
     named = ["payment_type", "customer_state", "seller_state", "product_category_name_english"]
-    rows = salted_join(orders, traits, "customer_unique_id", "left")
+    rows = orders.join(traits, "customer_unique_id", "left")
     return rows.na.fill(0, subset=counted).na.fill("unknown", subset=named).select("order_id", *counted, *named, "is_late")
 
 

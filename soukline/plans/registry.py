@@ -77,7 +77,8 @@ QUESTIONS: dict[str, Query] = {
     "q6_reviews_by_lateness": trading.reviews_by_lateness,
     "q7_rfm_distribution": trading.rfm_distribution,
     "q8_cohort_matrix": trading.cohort_matrix_long,
-    "q9_clv_by_state": lambda t: trading.clv_by_state(t, min_customers=50),
+    "q9_clv_by_state": trading.clv_by_state,
+    "q9_clv_by_state_from_50_customers": lambda t: trading.clv_by_state(t, min_customers=50),
     "q10_payment_mix": trading.payment_mix,
     "q11_top_sellers": trading.top_sellers,
     "q11_top_sellers_value_once": lambda t: trading.top_sellers(t, per_review=False),
@@ -128,7 +129,7 @@ ANALYTICS: dict[str, Query] = {
     "g1_review_by_order": lifecycle.review_by_order,
     "g1_customer_reviews": lifecycle.customer_reviews,
     "g2_segment_profiles": lifecycle.recency_band_profiles,
-    "g3_cohort_matrix": lambda t: explore.cohort_wide(t, periods=80),
+    "g3_cohort_matrix": explore.cohort_wide,
     "g3_cohort_averages": lifecycle.cohort_averages,
     "g4_clv_table": lifecycle.clv_table,
     "g5_category_pairs": lifecycle.category_pairs,
@@ -168,6 +169,12 @@ def _sliced_report(t: Tables) -> DataFrame:
     return measures.sliced_report(measures.Context(t, slicer, segment_of), ["purchase_month"])
 
 
+# Filters of the report pages, one family each: dates, customer states, status with category and seller state.
+DATES = measures.Slicer(first_day="1996-01-01", last_day="1998-06-30")
+STATES = measures.Slicer(states=("NATION_1", "NATION_2", "NATION_3"))
+SHELF = measures.Slicer(statuses=("delivered",), categories=("type_small", "unknown"), seller_states=("NATION_4", "NATION_5", "NATION_6"))
+
+
 MEASURES: dict[str, Query] = {
     "b1_gmv_by_state": _measure(measures.gmv, "customer_state"),
     "b1_gmv_of_all_items_by_status": _measure(measures.gmv_of_items, "order_status"),
@@ -185,6 +192,10 @@ MEASURES: dict[str, Query] = {
         measures.Context(t, measures.Slicer(categories=("type_small", "type_large")))
     ),
     "b13_cohort_retention": lambda t: measures.cohort_retention_share(measures.Context(t)),
+    "b8_clv_by_state_in_dates": lambda t: measures.lifetime_value(measures.Context(t, DATES), ["state"]),
+    "b13_cohort_retention_in_states": lambda t: measures.cohort_retention_share(measures.Context(t, STATES)),
+    "b13_cohort_retention_in_dates": lambda t: measures.cohort_retention_share(measures.Context(t, DATES)),
+    "b16_price_bands_on_shelf": lambda t: measures.price_bands(measures.Context(t, SHELF)),
     "b14_kpi_status": lambda t: measures.kpi_status(measures.Context(t)),
     "b15_detractor_relative_risk": lambda t: measures.detractor_relative_risk(measures.Context(t)),
     "b16_price_bands": lambda t: measures.price_bands(measures.Context(t)),

@@ -15,7 +15,6 @@ from soukline.functions import clock, numbers
 from soukline.functions.numbers import percent, ratio, rounded
 from soukline.operators import marts, ranking, rollups
 from soukline.operators.cleaning import clean_orders, clean_payments, clean_reviews
-from soukline.operators.skew import salted_join
 from soukline.sources.tables import Tables
 
 
@@ -264,7 +263,7 @@ def days_to_review(t: Tables) -> DataFrame:
     )
     arrived = clean_orders(t.orders).select("order_id", "order_delivered_customer_date")
     days = clock.whole_days(F.col("review_creation_date"), F.col("order_delivered_customer_date"))
-    rows = salted_join(reviews, arrived, "order_id", "left").withColumn("days", days)
+    rows = reviews.join(arrived, "order_id", "left").withColumn("days", days)
     known = F.when(F.col("days").isNotNull(), F.col("n"))
     return rows.groupBy("review_score").agg(
         F.sum("n").alias("review_count"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soukline.sources.tables import TIMESTAMP_FORMAT, Tables
+from soukline.sources.tables import TIMESTAMP_FORMAT
 
 
 def write_stage(frames: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
@@ -31,14 +31,13 @@ def register_views(frames: dict[str, DataFrame], prefix: str = "") -> None:
         df.createOrReplaceTempView(f"{prefix}{name}")
 
 
-def register_base_views(tables: Tables) -> None:
-    register_views(tables.named())
-
-
 def refresh_months(df: DataFrame, path: str, month: str = "purchase_month") -> None:
-    """Rewrite only the months present in ``df``; other partitions stay."""
+    """Rewrite only the months present in ``df``; other partitions stay.
+
+    Rows are clustered by month, and a month is split into as many tasks as its size asks for.
+    """
     (
-        df.repartition(month, F.pmod(F.xxhash64(*df.columns), F.lit(32)))
+        df.hint("rebalance", F.col(month))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(month)
@@ -51,6 +50,7 @@ def land_daily(df: DataFrame, path: str, ts: Column, mode: str = "append") -> No
         df.withColumn("year", F.year(ts))
         .withColumn("month", F.month(ts))
         .withColumn("day", F.dayofmonth(ts))
+        .hint("rebalance", F.col("year"), F.col("month"), F.col("day"))
         .write.mode(mode)
         .partitionBy("year", "month", "day")
         .parquet(path)

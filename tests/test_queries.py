@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from soukline.operators import marts, measures
+from soukline.plans.registry import QUERIES
 from soukline.sources import marketplace
 from tools.check import TABLES, rows_of
 
@@ -32,7 +33,7 @@ def duck():
 
 def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    without = set(entry.queries()) - set(entry.oracle_sql())
+    without = set(QUERIES) - set(entry.oracle_sql())
     assert without == {
         "k2_kmeans_elbow", "k3_customer_segments", "k3_kmeans_profiles", "k4_encoded_features", "k6_k8_repeat_model",
         "k6_k8_delay_model", "k7_k8_lifetime_value_model", "k12_propensity_audience",
@@ -70,3 +71,18 @@ def test_removed_category_filter_widens_the_total(spark):
     part = measures.category_share(measures.Context(t, measures.Slicer(categories=("type_small",)))).first()
     whole = measures.gmv(measures.Context(t), []).first().gmv
     assert part.category_share == round(part.gmv / whole, 4)
+
+
+@pytest.mark.parametrize("slicer", [
+    measures.Slicer(states=("NATION_1",)), measures.Slicer(last_day="1995-12-31"), measures.Slicer(categories=("type_small",)),
+    measures.Slicer(statuses=("shipped",)),
+])
+def test_every_filter_narrows_every_measure(spark, slicer):
+    t = marketplace.load(spark, SF)
+    whole, part = measures.Context(t), measures.Context(t, slicer)
+    items = [measures.price_bands(c).agg({"items": "sum"}).first()[0] or 0 for c in (whole, part)]
+    assert items[1] < items[0]
+    people = [c.people(marts.customer_lifecycle(t)).count() for c in (whole, part)]
+    assert people[1] < people[0]
+    rows = [sorted(map(tuple, measures.cohort_retention_share(c).collect())) for c in (whole, part)]
+    assert rows[0] != rows[1]

@@ -8,7 +8,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from soukline.operators import ranking
-from soukline.operators.skew import salted_join
 
 
 def frame(spark, values):
@@ -64,17 +63,6 @@ def test_leading_share_keeps_ties(spark):
     assert row.whole_value == 1300 + sum(range(147))
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join_is_the_plain_join(spark, how):
-    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 40}") for i in range(600)] + [(1000, None)]
-    large = spark.createDataFrame(rows, "id int, k string")
-    other = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 40, 2)], "k string, w int")
-    got = salted_join(large, other, "k", how, min_rows=50, salts=8).select("id", "k", "w")
-    want = large.join(other, "k", how).select("id", "k", "w")
-    key = lambda r: (r[0], str(r[1]), str(r[2]))
-    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
-
-
 def test_partition_total_repeats_the_group_sum_on_every_row(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "k string, v int")
     out = df.withColumn("t", F.sum("v").over(Window.partitionBy("k")))

@@ -46,7 +46,7 @@ def test_metrics_are_one_document(spark, tmp_path):
 
 def test_table_and_views(spark, shop, tmp_path):
     t = shop.order("o1", "p", "2020-01-01").tables()
-    sinks.register_base_views(t)
+    sinks.register_views(t.named())
     assert spark.sql("SELECT count(*) FROM items JOIN orders USING (order_id)").first()[0] == 1
 
 
