@@ -43,21 +43,27 @@ NODE = "node string, parent string, centre array<double>, radius double, size lo
 
 def classes(vectors: DataFrame) -> DataFrame:
     """(label, embedding, cid, rep, weight): one row per different usable vector of a label."""
-    e = F.col("embedding")
-    usable = (
-        F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0)
-        & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
-    )
-    plain = F.transform(e, lambda x: x.cast("double") + 0.0)
     return (
-        vectors.filter(usable).select("vec_id", "label", plain.alias("embedding"))
+        vectors.filter(_usable()).select("vec_id", "label", _plain().alias("embedding"))
         .groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-        .withColumn("cid", _class_id())
+        .withColumn("cid", _class_id(F.col("embedding")))
     )
 
 
-def _class_id() -> Column:
-    return F.xxhash64("label", "embedding")
+def _usable() -> Column:
+    e = F.col("embedding")
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    usable = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0)
+    return F.coalesce(usable, F.lit(False))
+
+
+def _plain() -> Column:
+    """Components as doubles, without a negative zero."""
+    return F.transform("embedding", lambda x: x.cast("double") + 0.0)
+
+
+def _class_id(plain: Column) -> Column:
+    return F.xxhash64("label", F.size(plain), plain)
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -293,8 +299,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROW
     ).withColumn("root", F.coalesce("root", "cid"))
     least = each.groupBy("root").agg(F.min("rep").alias("least"))
     each = each.join(least, "root").select("cid", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), "least")
-    key = F.when(F.col("label").isNotNull(), F.xxhash64("label", F.transform("embedding", lambda v: v.cast("double") + 0.0)))
-    rows = vectors.withColumn("cid", key).join(each, "cid", "left")
+    rows = vectors.withColumn("cid", F.when(_usable(), _class_id(_plain()))).join(each, "cid", "left")
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     return rows.select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

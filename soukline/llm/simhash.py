@@ -109,8 +109,10 @@ def split_large(rows: DataFrame, bucket_rows: int) -> DataFrame:
         for batch in batches:
             out = []
             for key, rest, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for block in _blocks(rest):
-                    out.append((f"{key}/{block & fp:x}:{block:x}", rest & ~block, fp))
+                free = rest % (1 << 64)
+                for block in _blocks(free):
+                    left = free & ~block
+                    out.append((f"{key}/{block & fp:x}:{block:x}", left - (left >> 63 << 64), fp))
             keys, rests, fps = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.string()), pa.array(rests, pa.int64()), pa.array(fps, pa.int64())],
