@@ -154,6 +154,18 @@ ORACLES = {
     "s1_csv_scan": sql(f"SELECT order_id, customer_id, order_status, {WEEK} FROM b_orders"),
     "s2_stage_rescan": sql(" UNION ALL ".join(f"SELECT '{t}' AS dataset, count(*) AS rows FROM b_{t}" for t in TABLES)),
     "s4_metrics_document": sql(f"SELECT count(*) AS delivered_orders, count(DISTINCT customer_unique_id) AS customers FROM po"),
+    "s2_lifecycle_from_stage": sql("SELECT * REPLACE (total_spent::DOUBLE AS total_spent) FROM life"),
+    "s3_output_manifest": sql(" UNION ALL ".join(f"SELECT '{name}' AS dataset, count(*) AS rows FROM {source}" for name, source in {
+        "clean_customers": "b_customers", "clean_orders": "o_all", "clean_items": "b_items", "clean_payments": "b_payments",
+        "clean_reviews": "r", "clean_products": "b_products", "clean_sellers": "b_sellers", "clean_translation": "b_translation",
+        "clean_geolocation": "(SELECT DISTINCT geolocation_zip_code_prefix, geolocation_state FROM b_geolocation)",
+        "order_fact": "fact", "customer_summary": "summary", "customer_lifecycle": "life", "rfm_features": "rfm",
+        "cohort_features": "cohort", "delivery_features": "delivery", "churn_features": "churn",
+        "monthly_revenue": "(SELECT DISTINCT purchase_month FROM po JOIN i USING (order_id))"}.items())),
+    "s6_mart_views": sql("""SELECT purchase_month, gmv, unique_customers, active_customers AS cohort_size,
+      (SELECT count(DISTINCT customer_unique_id) FROM summary) AS all_customers FROM (
+      SELECT purchase_month, sum(total_value)::DOUBLE AS gmv, count(DISTINCT customer_unique_id) AS unique_customers
+      FROM po JOIN i USING (order_id) GROUP BY 1) LEFT JOIN (SELECT * FROM retention WHERE period_number = 0) ON cohort_month = purchase_month"""),
     "s5_star_tables": sql("""SELECT purchase_year AS year, customer_state, coalesce(product_category_name_english, b.product_category_name, 'unknown') AS category_name,
       count(*) AS items, sum(total_value)::DOUBLE AS value FROM po JOIN i USING (order_id) JOIN b_products b USING (product_id)
       LEFT JOIN b_translation t ON t.product_category_name = b.product_category_name GROUP BY 1, 2, 3"""),

@@ -126,6 +126,8 @@ ORACLES = {
       (SELECT month_6_retention_avg FROM cm) AS month_6_retention_avg,
       {rnd('quantile_cont(total_spent::DOUBLE, 0.5)', 4)} AS median_clv, (SELECT {pct('sum(is_late)', 'count(*)')} FROM o_done) AS late_delivery_rate_pct,
       (SELECT max(co_occurrences) FROM pairs) AS top_pair_orders FROM life""", f"cm AS (SELECT {COHORT_MEANS} FROM retention)", PAIRS.format(k=10)),
+    "g13_phase_lists": sql(f"""SELECT 'segment' AS list, {CHURN_BAND} AS name, count(*) AS value FROM life GROUP BY ALL
+      UNION ALL SELECT 'pair', category_a || ' + ' || category_b, co_occurrences FROM pairs""", PAIRS.format(k=10)),
     "g14_peak_month": sql(f"""SELECT purchase_month, v::DOUBLE AS gmv, {rnd('m')} AS year_monthly_mean, {pct('v::DOUBLE - m', 'm')} AS uplift_pct FROM (
       SELECT *, (sum(v) OVER w)::DOUBLE / count(*) OVER w AS m FROM (
         SELECT purchase_year, purchase_month, coalesce(sum(order_total_value), 0) AS v FROM dv GROUP BY 1, 2) WINDOW w AS (PARTITION BY purchase_year))

@@ -327,6 +327,18 @@ def phase_summary(t: Tables) -> DataFrame:
     )
 
 
+def phase_lists(t: Tables, pairs: int = 10) -> DataFrame:
+    """Sizes of the activity segments and the category pairs bought together most often."""
+    band = right_closed_band(F.col("recency_days"), CHURN_EDGES, CHURN_LABELS)
+    segments = marts.customer_lifecycle(t).groupBy(band.alias("name")).agg(_rows().alias("value"))
+    top = category_pairs(t, pairs).select(
+        F.concat_ws(" + ", "category_a", "category_b").alias("name"), F.col("co_occurrences").alias("value")
+    )
+    return segments.select(F.lit("segment").alias("list"), "name", "value").unionByName(
+        top.select(F.lit("pair").alias("list"), "name", "value")
+    )
+
+
 def peak_month(t: Tables) -> DataFrame:
     """Best month against the mean month of its year."""
     monthly = delivered_values(t).groupBy("purchase_year", "purchase_month").agg(

@@ -142,6 +142,7 @@ ANALYTICS: dict[str, Query] = {
     "g11_repeat_features": lifecycle.repeat_features,
     "g12_delivery_risk_features": lifecycle.delivery_risk_features,
     "g13_phase_summary": lifecycle.phase_summary,
+    "g13_phase_lists": lifecycle.phase_lists,
     "g14_peak_month": lifecycle.peak_month,
     "g15_top_decile_customers": lifecycle.top_decile_customers,
     "g16_preferred_sellers": lifecycle.preferred_sellers,
@@ -218,9 +219,12 @@ QUALITY: dict[str, Query] = {
 STORAGE: dict[str, Query] = {
     "s1_csv_scan": storage.csv_scan,
     "s2_stage_rescan": storage.stage_rescan,
+    "s2_lifecycle_from_stage": storage.lifecycle_from_stage,
+    "s3_output_manifest": storage.output_manifest,
     "s4_metrics_document": storage.metrics_document,
     "s5_star_tables": storage.star_tables,
     "s6_named_views": storage.named_views,
+    "s6_mart_views": storage.mart_views,
     "s8_monthly_refresh": storage.monthly_refresh,
     "s9_daily_landing": lambda t: storage.daily_landing(t.scan("events")),
 }

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soukline.operators import marts, rollups, star
+from soukline.operators import cleaning, marts, rollups, star
 from soukline.session import scratch_path
 from soukline.sources import readers, sinks
-from soukline.sources.tables import Tables
+from soukline.sources.tables import SCHEMAS, Tables
 
 
 def csv_scan(t: Tables) -> DataFrame:
@@ -29,9 +29,13 @@ def stage_rescan(t: Tables) -> DataFrame:
     spark = t.items.sparkSession
     path = scratch_path(spark, "stage")
     sinks.write_stage(frames, path)
+    return _manifest(readers.read_stage(spark, path).named())
+
+
+def _manifest(frames: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each data set."""
     counts = [
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows")
-        for name, df in readers.read_stage(spark, path).named().items()
+        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("dataset"), "rows") for name, df in frames.items()
     ]
     out = counts[0]
     for df in counts[1:]:
@@ -39,6 +43,55 @@ def stage_rescan(t: Tables) -> DataFrame:
     return out
 
 
+def cleaned_frames(t: Tables) -> dict[str, DataFrame]:
+    """Every relation after cleaning; orders carry their calendar and delivery columns."""
+    return {
+        "customers": cleaning.clean_customers(t.customers),
+        "orders": cleaning.enrich_orders(cleaning.clean_orders(t.orders)),
+        "items": cleaning.clean_items(t.items),
+        "payments": cleaning.clean_payments(t.payments),
+        "reviews": cleaning.clean_reviews(t.reviews),
+        "products": cleaning.clean_products(t.products, t.translation),
+        "sellers": cleaning.clean_sellers(t.sellers),
+        "geolocation": cleaning.clean_geolocation(t.geolocation),
+        "translation": t.translation,
+    }
+
+
+def derived_frames(t: Tables) -> dict[str, DataFrame]:
+    return {
+        "order_fact": marts.order_fact(t),
+        "customer_summary": marts.customer_summary(t),
+        "customer_lifecycle": marts.customer_lifecycle(t),
+        "rfm_features": marts.rfm_features(t),
+        "cohort_features": marts.cohort_features(t),
+        "delivery_features": marts.delivery_features(t),
+        "churn_features": marts.churn_features(t),
+        "monthly_revenue": marts.monthly_revenue(t),
+    }
+
+
+def _staged(frames: dict[str, DataFrame], label: str) -> dict[str, DataFrame]:
+    """The frames written as Parquet and scanned again."""
+    spark = next(iter(frames.values())).sparkSession
+    path = scratch_path(spark, label)
+    sinks.write_stage(frames, path)
+    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in frames.items()}
+
+
+def output_manifest(t: Tables) -> DataFrame:
+    """All cleaned and derived outputs stored, with the rows of each."""
+    return _manifest(_staged({f"clean_{k}": v for k, v in cleaned_frames(t).items()} | derived_frames(t), "outputs"))
+
+
+def lifecycle_from_stage(t: Tables) -> DataFrame:
+    """The cleaned tables staged, and the customer lifecycle computed from what was staged."""
+    frames = _staged(cleaned_frames(t), "cleaned")
+    # cleaning leaves the base columns in place, and cleaning them again changes nothing
+    known = {name: [c for c in _columns(t.items.sparkSession, name) if c in df.columns] for name, df in frames.items()}
+    return marts.customer_lifecycle(Tables(**{name: frames[name].select(*known[name]) for name in SCHEMAS}))
+
+
 def metrics_document(t: Tables) -> DataFrame:
     metrics = rollups.person_orders(t, rollups.delivered_headers(t)).agg(
         F.count(F.lit(1)).alias("delivered_orders"), F.countDistinct("customer_unique_id").alias("customers")
@@ -85,6 +138,22 @@ def named_views(t: Tables) -> DataFrame:
     )
 
 
+def mart_views(t: Tables) -> DataFrame:
+    """Base relations and marts as views, joined with SQL text."""
+    sinks.register_views(t.named(), prefix="souk_")
+    marted = derived_frames(t) | {
+        "order_totals": rollups.order_totals(t), "cohort_retention": marts.cohort_retention(t),
+        "kpi_snapshot": marts.kpi_snapshot(t), "payment_features": marts.payment_features(t.payments),
+        "rfm_segments": marts.rfm_segments(marts.rfm_features(t)),
+    }
+    sinks.register_views(marted, prefix="souk_")
+    return t.items.sparkSession.sql("""
+        SELECT m.purchase_month, m.gmv, m.unique_customers, c.cohort_size, k.unique_customers AS all_customers
+        FROM souk_monthly_revenue m
+        LEFT JOIN souk_cohort_retention c ON c.cohort_month = m.purchase_month AND c.period_number = 0
+        CROSS JOIN souk_kpi_snapshot k""")
+
+
 def monthly_refresh(t: Tables) -> DataFrame:
     """The fact stored by month; its last month is then rewritten in place."""
     fact = marts.order_fact(t)
