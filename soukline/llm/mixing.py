@@ -23,6 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 RANGES = 1024
+SALTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -111,8 +112,13 @@ def copies_of(ranges: int = RANGES) -> Column:
 
 
 def _with_plan(rows: DataFrame, plans: DataFrame) -> DataFrame:
-    g = plans.select(F.col("source").alias("g_source"), F.struct("source_size", "target", "epochs", "part", "last").alias("g"))
-    return rows.join(g, F.col("source").eqNullSafe(F.col("g_source")), "left")
+    # a source may hold any share of the rows: its one row is repeated per salt, its documents are dealt over the salts
+    g = plans.select(
+        F.col("source").alias("g_source"), F.struct("source_size", "target", "epochs", "part", "last").alias("g"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt"),
+    )
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    return rows.join(g, F.col("source").eqNullSafe(F.col("g_source")) & (salt == F.col("g_salt")), "left")
 
 
 def op9(docs: DataFrame) -> DataFrame:
