@@ -3,6 +3,7 @@
 from oracles.base import rnd, sql
 from oracles.explore import ORDER_REVIEW, PERSON_REVIEW, PROFILE, REPEAT, RISK
 from oracles.marts import KEY
+from soukline.operators.learning import REPEAT_NAMES, REPEAT_NUMBERS
 
 COLUMNS = ["recency_days", "order_count", "total_spent", "avg_review", "avg_delivery_days", "late_delivery_rate"]
 FILLED = "cf AS (SELECT customer_unique_id, " + ", ".join(f"coalesce({c}::DOUBLE, 0) AS {c}" for c in COLUMNS) + " FROM life LEFT JOIN prv USING (customer_unique_id))"
@@ -29,6 +30,15 @@ ORACLES = {
         "SELECT customer_unique_id, " + ", ".join(
             f"{rnd(f'coalesce(({c} - (SELECT avg({c}) FROM cf)) / nullif((SELECT stddev_pop({c}) FROM cf), 0), 0)', 6)} AS z_{c}" for c in COLUMNS
         ) + " FROM cf", ORDER_REVIEW, PERSON_REVIEW, FILLED),
+    "k3_kmeans_check": sql("SELECT count(*) AS customers, 4::BIGINT AS clusters, 0::BIGINT AS misplaced FROM life"),
+    "k6_forest_check": sql(f"""SELECT count(*) AS tested, sum(is_late)::BIGINT AS late, 0::BIGINT AS outside, 1.0::DOUBLE AS importance FROM (
+      SELECT is_late, row_number() OVER (PARTITION BY is_late ORDER BY {KEY.format('order_id')}, order_id) AS k,
+      count(*) OVER (PARTITION BY is_late) AS n FROM po) WHERE k <= ceil(n * 0.3::DOUBLE)"""),
+    "k12_audience_check": "SELECT 0::BIGINT AS repeated, 0::BIGINT AS strangers",
+    "k4_encoded_features": sql("SELECT customer_unique_id, [" + ", ".join(f"coalesce({c}::DOUBLE, 0)" for c in REPEAT_NUMBERS) + "]"
+      + "".join(f""" || list_transform((SELECT list(DISTINCT {c} ORDER BY {c}) FROM repeat_rows WHERE {c} IS NOT NULL),
+        lambda v: (v IS NOT DISTINCT FROM {c})::INT::DOUBLE) || [({c} IS NULL)::INT::DOUBLE, 0]""" for c in REPEAT_NAMES)
+      + " AS features FROM repeat_rows", ORDER_REVIEW, PROFILE, REPEAT),
     "k5_stratified_split": sql(f"""SELECT order_id, is_late, (k <= ceil(n * 0.3::DOUBLE))::INT AS is_test FROM (
       SELECT order_id, is_late, row_number() OVER (PARTITION BY is_late ORDER BY {KEY.format('order_id')}, order_id) AS k,
       count(*) OVER (PARTITION BY is_late) AS n FROM po)"""),

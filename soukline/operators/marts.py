@@ -271,29 +271,37 @@ def payment_features(payments: DataFrame) -> DataFrame:
     )
 
 
-def kpi_snapshot(tables: Tables) -> DataFrame:
-    """One row of headline measures; each part is a one-row scalar subquery."""
-    sold = rollups.delivered_amounts(tables).agg(
-        F.sum("order_total_value").alias("gmv"), F.count(F.lit(1)).alias("orders")
-    )
-    # The summary keeps customers with at least one delivered order with items.
-    persons = rollups.person_orders(tables, rollups.delivered_amounts(tables)).select(
-        F.countDistinct("customer_unique_id")
+def kpi_snapshot(tables: Tables, churn_days: int = 180) -> DataFrame:
+    """One row of headline measures: one pass over delivered orders, one row per person, then one aggregate.
+
+    Customers are those with a delivered order that has items, as in the summary.
+    """
+    arrived = F.col("order_delivered_customer_date")
+    orders = clean_orders(tables.orders_in("delivered")).join(rollups.order_totals(tables), "order_id", "left")
+    orders = orders.join(rollups.people(tables).select("customer_id", "customer_unique_id"), "customer_id", "left")
+    sold = F.col("order_total_value").isNotNull() & F.col("customer_unique_id").isNotNull()
+    known = arrived.isNotNull() & F.col("customer_unique_id").isNotNull()
+    people = orders.groupBy("customer_unique_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.count("order_total_value").alias("valued"),
+        F.sum("order_total_value").alias("gmv"), F.count_if(known).alias("arrived"),
+        F.count_if(known & (arrived > F.col("order_estimated_delivery_date"))).alias("late"),
+        F.max(F.when(sold, F.col("order_purchase_timestamp"))).alias("last"),
     )
-    late = delivery_features(tables).agg(F.sum("is_late").alias("n"), F.count(F.lit(1)).alias("d"))
-    churn = churn_features(tables).agg(F.sum("is_churned").alias("n"), F.count(F.lit(1)).alias("d"))
+    since = clock.whole_days(clock.plus_days(last_purchase(tables, delivered=False), 1), F.col("last"))
     score = clean_reviews(tables.scores).agg(
-        F.sum("review_score").alias("n"), F.count(F.lit(1)).alias("d")
+        numbers.rounded(numbers.ratio(F.sum("review_score"), F.count(F.lit(1))))
     )
-    share = numbers.rounded(numbers.percent(F.col("n"), F.col("d")))
-    return rollups.delivered_headers(tables).agg(F.count(F.lit(1)).alias("delivered_orders")).select(
-        "delivered_orders",
-        persons.scalar().alias("unique_customers"),
-        sold.select(F.col("gmv").cast("double")).scalar().alias("total_gmv"),
-        sold.select(numbers.rounded(numbers.ratio(F.col("gmv"), F.col("orders")))).scalar().alias("avg_order_value"),
-        score.select(numbers.rounded(numbers.ratio(F.col("n"), F.col("d")))).scalar().alias("avg_review_score"),
-        late.select(share).scalar().alias("late_delivery_pct"),
-        churn.select(share).scalar().alias("churn_rate_pct"),
+    customers = F.count("last")
+    return people.agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("delivered_orders"),
+        customers.alias("unique_customers"),
+        F.sum("gmv").cast("double").alias("total_gmv"),
+        numbers.rounded(numbers.ratio(F.sum("gmv"), F.sum("valued"))).alias("avg_order_value"),
+        numbers.rounded(numbers.percent(F.sum("late"), F.sum("arrived"))).alias("late_delivery_pct"),
+        numbers.rounded(numbers.percent(F.count_if(since > churn_days), customers)).alias("churn_rate_pct"),
+    ).select(
+        "delivered_orders", "unique_customers", "total_gmv", "avg_order_value",
+        score.scalar().alias("avg_review_score"), "late_delivery_pct", "churn_rate_pct",
     )
 
 

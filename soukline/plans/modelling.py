@@ -43,6 +43,44 @@ def kmeans_profiles(t: Tables) -> DataFrame:
     return lifecycle.segment_profiles(learning.cluster(_vectors(t)).drop("features"), "segment_id")
 
 
+def kmeans_check(t: Tables, k: int = 4) -> DataFrame:
+    """Of a fitted clustering: its customers, its clusters, and the customers nearer to another centre than to their own."""
+    vectors = _vectors(t).select("customer_unique_id", "features").checkpoint()
+    model = learning.best_kmeans(vectors, [k])[k]
+    placed = model.transform(vectors).withColumn("x", vector_to_array("features"))
+    gaps = F.array(*[
+        F.aggregate(
+            F.zip_with("x", F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v
+        )
+        for centre in model.clusterCenters()
+    ])
+    own = F.element_at(gaps, F.col("prediction") + 1)
+    return placed.agg(
+        F.count(F.lit(1)).alias("customers"), F.countDistinct("prediction").alias("clusters"),
+        F.count_if(own > F.array_min(gaps) + 1e-9).alias("misplaced"),
+    )
+
+
+def forest_check(t: Tables) -> DataFrame:
+    """Of the delay model: tested rows and late ones among them, scores outside 0 to 1, and the sum of importances."""
+    fitted = learning.fit_delay(lifecycle.delivery_risk_features(t))
+    weight = fitted.importances().agg(rounded(F.sum("value"), 3)).scalar()
+    outside = F.count_if((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull())
+    return fitted.scored.agg(
+        F.count(F.lit(1)).alias("tested"), F.sum("label").cast("bigint").alias("late"), outside.alias("outside")
+    ).withColumn("importance", weight)
+
+
+def audience_check(t: Tables) -> DataFrame:
+    """Members of the low-propensity audience, as a share of customers in whole percent, and members that are no customers."""
+    members = propensity_audience(t).select("customer_unique_id").checkpoint()
+    people = lifecycle.repeat_features(t).select("customer_unique_id")
+    return members.agg(F.count(F.lit(1)).alias("members"), F.countDistinct("customer_unique_id").alias("different")).select(
+        (F.col("members") - F.col("different")).alias("repeated"),
+        members.join(people, "customer_unique_id", "left_anti").select(F.count(F.lit(1))).scalar().alias("strangers"),
+    )
+
+
 def encoded_features(t: Tables) -> DataFrame:
     rows = lifecycle.repeat_features(t).na.fill(0, subset=learning.REPEAT_NUMBERS)
     encoded = learning.encoder(learning.REPEAT_NUMBERS, learning.REPEAT_NAMES).fit(rows).transform(rows)

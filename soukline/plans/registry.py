@@ -234,6 +234,9 @@ MODELS: dict[str, Query] = {
     "k2_kmeans_elbow": modelling.kmeans_elbow,
     "k3_customer_segments": modelling.customer_segments,
     "k3_kmeans_profiles": modelling.kmeans_profiles,
+    "k3_kmeans_check": modelling.kmeans_check,
+    "k6_forest_check": modelling.forest_check,
+    "k12_audience_check": modelling.audience_check,
     "k4_encoded_features": modelling.encoded_features,
     "k5_stratified_split": modelling.stratified_split,
     "k5_plain_split": modelling.plain_split,

@@ -35,7 +35,7 @@ def test_every_statement_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = set(QUERIES) - set(entry.oracle_sql())
     assert without == {
-        "k2_kmeans_elbow", "k3_customer_segments", "k3_kmeans_profiles", "k4_encoded_features", "k6_k8_repeat_model",
+        "k2_kmeans_elbow", "k3_customer_segments", "k3_kmeans_profiles", "k6_k8_repeat_model",
         "k6_k8_delay_model", "k7_k8_lifetime_value_model", "k12_propensity_audience",
     }
 
