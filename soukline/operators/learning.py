@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from soukline.functions.numbers import ratio, rounded, surrogate_key
 from soukline.operators import ranking
+from soukline.session import cut
 
 SEGMENT_COLUMNS = ["recency_days", "order_count", "total_spent", "avg_review", "avg_delivery_days", "late_delivery_rate"]
 REPEAT_NUMBERS = [
@@ -264,7 +265,7 @@ def regression_report(scored: DataFrame, label: str, prediction: str) -> DataFra
 
 def classifier_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
     """Test metrics and leading importances of one classifier as name, value rows."""
-    scored = fitted.scored.checkpoint()
+    scored = cut(fitted.scored)
     report = classification_report(scored, label, "prediction")
     flat = report.select(F.explode(F.array(*[
         F.struct(F.concat("class", F.lit(f" {m}")).alias("name"), F.col(m).cast("double").alias("value"))
@@ -276,7 +277,7 @@ def classifier_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
 
 
 def regressor_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
-    report = regression_report(fitted.scored.checkpoint(), label, "prediction")
+    report = regression_report(cut(fitted.scored), label, "prediction")
     flat = report.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value")) for m in ("mae", "r2", "rows")
     ])).alias("x")).select("x.*")

@@ -13,6 +13,7 @@ from soukline.operators.cleaning import (
 )
 from soukline.plans.explore import delivered_values
 from soukline.plans.trading import _amount, _cents, _rows
+from soukline.session import cut
 from soukline.sources.tables import Tables
 
 # Fixed values.
@@ -226,7 +227,7 @@ def first_orders(t: Tables) -> DataFrame:
     ]
     first = F.min_by(F.struct(*columns), F.struct("order_purchase_timestamp", "order_id"))
     rows = orders.groupBy("customer_unique_id").agg(first.alias("o")).select("customer_unique_id", "o.*")
-    rows = rows.checkpoint()  # read twice below: to pick the lines and for the rows themselves
+    rows = cut(rows)  # read twice below: to pick the lines and for the rows themselves
     return rows.join(order_profile(t, rows), "order_id", "left")
 
 
@@ -369,7 +370,8 @@ def preferred_sellers(t: Tables, fraction: float = 0.01, max_late: float = 0.03,
         F.sum("total_value").alias("gmv"),
         ratio(F.sum("late_delivery_flag"), _rows()).alias("late"),
         ratio(F.sum("score_sum"), F.sum("n_reviews")).alias("review"),
-    ).checkpoint()  # read twice below: for the cutoff and for the members
+    )
+    sellers = cut(sellers)  # read twice below: for the cutoff and for the members
     cutoff = ranking.leading_share(sellers, "gmv", fraction).select("cutoff").scalar()
     qualified = (F.col("late") < max_late) | (F.col("review") > min_review)
     return sellers.filter(F.col("gmv") >= cutoff).select(

@@ -10,6 +10,7 @@ from soukline.functions import numbers
 from soukline.functions.numbers import rounded
 from soukline.operators import learning
 from soukline.plans import lifecycle
+from soukline.session import cut
 from soukline.sources.tables import Tables
 
 
@@ -31,7 +32,7 @@ def kmeans_elbow(t: Tables) -> DataFrame:
 
 def customer_segments(t: Tables) -> DataFrame:
     """Cluster of each customer, and the name its profile earns."""
-    clustered = learning.cluster(_vectors(t)).drop("features").checkpoint()
+    clustered = cut(learning.cluster(_vectors(t)).drop("features"))
     names = lifecycle.segment_profiles(clustered, "segment_id").select("segment_id", "segment_name")
     # One name per cluster.
     return clustered.join(F.broadcast(names), "segment_id").select(
@@ -45,7 +46,7 @@ def kmeans_profiles(t: Tables) -> DataFrame:
 
 def kmeans_check(t: Tables, k: int = 4) -> DataFrame:
     """Of a fitted clustering: its customers, its clusters, and the customers nearer to another centre than to their own."""
-    vectors = _vectors(t).select("customer_unique_id", "features").checkpoint()
+    vectors = cut(_vectors(t).select("customer_unique_id", "features"))
     model = learning.best_kmeans(vectors, [k])[k]
     placed = model.transform(vectors).withColumn("x", vector_to_array("features"))
     gaps = F.array(*[
@@ -73,7 +74,7 @@ def forest_check(t: Tables) -> DataFrame:
 
 def audience_check(t: Tables) -> DataFrame:
     """Members of the low-propensity audience, as a share of customers in whole percent, and members that are no customers."""
-    members = propensity_audience(t).select("customer_unique_id").checkpoint()
+    members = cut(propensity_audience(t).select("customer_unique_id"))
     people = lifecycle.repeat_features(t).select("customer_unique_id")
     return members.agg(F.count(F.lit(1)).alias("members"), F.countDistinct("customer_unique_id").alias("different")).select(
         (F.col("members") - F.col("different")).alias("repeated"),
@@ -125,7 +126,7 @@ def first_value_as_clv_report(t: Tables) -> DataFrame:
 
 
 def propensity_audience(t: Tables) -> DataFrame:
-    rows = lifecycle.repeat_features(t).checkpoint()
+    rows = cut(lifecycle.repeat_features(t))
     fitted = learning.fit_repeat(rows)
     return learning.low_propensity_audience(fitted.model, rows.na.fill(0, subset=learning.REPEAT_NUMBERS))
 
