@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from soukline.session import scratch_path, shared_dir, tune
+from soukline.session import cut, scratch_path, tune
 
 # Applied unless the session has a value of its own: a batch of whole texts must fit a Python worker.
 BATCH_ROWS = 1000
@@ -24,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, stored once in the shared checkpoint folder; lost executors do not lose them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows, written as Parquet to a fresh shared folder and read again."""
     path = scratch_path(df.sparkSession, label)
@@ -66,6 +61,19 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
+def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
+    """About the n rows of each group of ``by`` that come first by a hash of ``key``, and never more; adds pick.
+
+    A first cut at twice the share wanted leaves few rows to rank, whatever a group holds. ``by`` is a model's label, for
+    which the model itself has a column, so one row per value is few rows.
+    """
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_all"))
+    pick = F.pmod(F.xxhash64(key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = rows.join(F.broadcast(sizes), by).withColumn("pick", pick).filter(F.col("pick") * F.col("_all") <= 2 * n)
+    place = F.row_number().over(Window.partitionBy(by).orderBy("pick", key))
+    return near.withColumn("_place", place).filter(F.col("_place") <= n).drop("_all", "_place")
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row.n, row.x

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from soukline.llm.common import first_by_hash
 from soukline.llm.words import BREAK, LOWER, Texts, hashes, mix, slices, with_columns
 
 BITS = 18
@@ -252,11 +252,7 @@ def held_out():
 def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
     """The model of a bounded sample: of each language the rows that come first by a hash of doc_id."""
     known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
-    order = Window.partitionBy("lang").orderBy("pick", "doc_id")
-    chosen = (
-        known.select("doc_id", "lang").distinct().withColumn("pick", F.xxhash64("doc_id"))
-        .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_label)
-    )
+    chosen = first_by_hash(known.select("doc_id", "lang").distinct(), "lang", "doc_id", per_label)
     # per_label rows of each language
     sample = known.join(
         F.broadcast(chosen.select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"), "pick")),
@@ -271,7 +267,8 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, langs))], pa.binary())], names=["model"])
 
     ordered = sample.select("text", "lang", "pick", "doc_id").repartition(1).sortWithinPartitions("pick", "doc_id", "text")
-    return pickle.loads(ordered.select("text", "lang").mapInArrow(run, "model binary").first().model)
+    row = ordered.select("text", "lang").mapInArrow(run, "model binary").first()
+    return pickle.loads(row.model) if row else Crf([])
 
 
 def labelled(docs: DataFrame, crf: Crf, carry: list[str]) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from soukline.llm.common import first_by_hash
 from soukline.llm.words import BREAK, LOWER, Texts, hashes, mix, slices, with_columns
 
 BITS = 22
@@ -91,11 +92,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     """(label, weight, turn, ids): the learning rows; ``turn`` orders the stream, classes weigh the same in all."""
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    order = Window.partitionBy("label").orderBy("pick", "doc_id")
-    chosen = (
-        marked.withColumn("pick", F.xxhash64("doc_id")).withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= per_class)
-    )
+    chosen = first_by_hash(marked, "label", "doc_id", per_class)
     every = Window.partitionBy("label")
     chosen = chosen.withColumn("weight", F.lit(per_class / 2) / F.count("*").over(every))
     chosen = chosen.withColumn("weight", F.least("weight", F.lit(4.0)))
@@ -115,7 +112,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
                 batch, ["label", "weight", "pick", "doc_id"], ids=pa.array(lists, pa.list_(pa.int32()))
             )
 
-    schema = "label int, weight double, pick long, doc_id long, ids array<int>"
+    schema = "label int, weight double, pick double, doc_id long, ids array<int>"
     return rows.select("label", "weight", "pick", F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
