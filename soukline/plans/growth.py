@@ -29,12 +29,12 @@ def monthly_growth(t: Tables) -> DataFrame:
 
 def _category_orders(t: Tables) -> DataFrame:
     """Delivered order x category with its value in cents, no review involved."""
-    lines = (
-        rollups.with_category(rollups.item_sums(t, "order_id", "product_id"), t)
-        .groupBy("order_id", "category_english")
-        .agg(F.sum("total_value").alias("value"))
+    lines = rollups.item_sums(t, "order_id", "product_id").join(
+        rollups.delivered_headers(t).select("order_id", "purchase_month"), "order_id"
+    )
+    return rollups.with_category(lines, t).groupBy("order_id", "category_english", "purchase_month").agg(
+        F.sum("total_value").alias("value")
     )
-    return lines.join(rollups.delivered_headers(t), "order_id")
 
 
 def category_month_value(t: Tables, min_orders: int = 25) -> DataFrame:

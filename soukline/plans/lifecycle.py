@@ -11,7 +11,7 @@ from soukline.operators import marts, ranking, rollups
 from soukline.operators.cleaning import (
     clean_customers, clean_orders, clean_payments, enrich_orders,
 )
-from soukline.plans.explore import delivered_values
+from soukline.plans.explore import _delivered_lines, delivered_values
 from soukline.plans.trading import _amount, _cents, _rows
 from soukline.session import cut
 from soukline.sources.tables import Tables
@@ -118,9 +118,10 @@ def category_pairs(t: Tables, k: int | None = 15) -> DataFrame:
     pairs are formed once per distinct set. A set is no larger than the
     catalogue, whatever the order holds.
     """
-    bought = rollups.with_category(t.items.select("order_id", "product_id").distinct(), t)
+    delivered = rollups.delivered_headers(t).select("order_id")
+    bought = t.items.select("order_id", "product_id").join(delivered, "order_id", "left_semi").distinct()
     sets = (
-        bought.join(rollups.delivered_headers(t).select("order_id"), "order_id", "left_semi")
+        rollups.with_category(bought, t)
         .groupBy("order_id")
         .agg(F.array_sort(F.collect_set("category_english")).alias("cats"))
         .filter(F.size("cats") > 1)
@@ -176,10 +177,9 @@ def seller_summary(t: Tables, per_review: bool = True) -> DataFrame:
 def product_summary(t: Tables) -> DataFrame:
     sums = ("n_items", "price", "freight_value", "total_value")
     per_order = (
-        rollups.with_category(rollups.item_sums(t, "order_id", "product_id"), t)
+        rollups.with_category(_delivered_lines(t, "product_id"), t)
         .groupBy("order_id", "category_english")
         .agg(*[F.sum(c).alias(c) for c in sums])
-        .join(rollups.delivered_headers(t).select("order_id"), "order_id")
     )
     return per_order.groupBy("category_english").agg(
         _rows().alias("orders"),

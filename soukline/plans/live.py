@@ -18,11 +18,10 @@ def _stream(t: Marketplace, name: str) -> DataFrame:
 
 
 def ingested_state(t: Marketplace) -> DataFrame:
-    """Events landed by day; the newest event of each user."""
+    """Events landed by day, and upserted into the newest event of each user."""
     path = scratch_path(t.spark, "ingest")
-    log = jobs.ingest_daily(_stream(t, "events"), path, "ts")
-    versions = log.select(*[c.split()[0] for c in SOURCES["events"].split(", ")])
-    return jobs.latest_rows(versions, "user_id", ["ts", "event_id"])
+    jobs.ingest_daily(_stream(t, "events"), path, "ts")
+    return jobs.merge_state(_stream(t, "events"), path, "user_id", ["ts", "event_id"])
 
 
 def daily_purchases(t: Marketplace) -> DataFrame:

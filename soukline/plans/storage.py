@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soukline.operators import cleaning, marts, rollups, star
-from soukline.session import scratch_path
+from soukline.session import cut, scratch_path
 from soukline.sources import readers, sinks
 from soukline.sources.tables import SCHEMAS, Tables
 
@@ -118,9 +118,11 @@ def star_tables(t: Tables) -> DataFrame:
         columns = {"customer": "state AS customer_state", "product": "category_name", "seller": "seller_id", "date": "year"}
         dim = spark.table(f"{database}.dim_{key}").selectExpr(f"{key}_key", columns[key])
         joined = joined.join(dim, f"{key}_key")
-    return joined.groupBy("year", "customer_state", "category_name").agg(
+    totals = cut(joined.groupBy("year", "customer_state", "category_name").agg(
         F.count(F.lit(1)).alias("items"), F.sum("total_item_value").alias("value")
-    )
+    ))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return totals
 
 
 def stored_mart(mart: DataFrame) -> DataFrame:

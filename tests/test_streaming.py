@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import shutil
 import uuid
 
@@ -47,6 +48,20 @@ def test_a_replayed_batch_replaces_itself(spark, place):
     assert jobs.read_batches(spark, target).count() == 1
 
 
+def test_state_is_merged_batch_by_batch_and_replays_to_itself(spark, place):
+    source, target = place("in"), place("out")
+    land(spark, source, [(1, 7, day(0), 1.0), (2, 8, day(1), 2.0)])
+    merge = lambda: jobs.merge_state(jobs.file_stream(spark, source, EVENTS), target, "user_id", ["ts", "event_id"])
+    rows = lambda df: sorted((r.user_id, r.value) for r in df.collect())
+    assert rows(merge()) == [(7, 1.0), (8, 2.0)]
+    land(spark, source, [(3, 7, day(2), 3.0), (4, 8, day(0), 9.0)])
+    assert rows(merge()) == [(7, 3.0), (8, 2.0)]
+    assert rows(merge()) == [(7, 3.0), (8, 2.0)]  # nothing new
+    for name in ("1", ".1.crc"):  # the second batch runs again
+        os.remove(f"{target}/merged/commits/{name}")
+    assert rows(merge()) == [(7, 3.0), (8, 2.0)]
+
+
 def test_daily_value_equals_the_batch_result_over_several_files(spark, place):
     source, target = place("in"), place("out")
     rows = [(i, i % 3, day(i // 10, i % 24), float(i)) for i in range(60)]
