@@ -76,9 +76,7 @@ def plan(rows: DataFrame, ranges: int = RANGES) -> DataFrame:
         "epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     )
     goal = cut(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")))
-    # exp(-key) is the sampling key as a probability, so its ranges fill about evenly
-    part = F.floor((1 - F.exp(-F.col("key"))) * ranges).alias("part")
-    ranged = rows.filter("size > 0").select("doc_id", "source", "size", "key", part)
+    ranged = rows.filter("size > 0").select("doc_id", "source", "size", "key", range_of(ranges).alias("part"))
     sums = ranged.groupBy("source", "part").agg(F.sum("size").alias("n"))
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
@@ -98,13 +96,22 @@ def plan(rows: DataFrame, ranges: int = RANGES) -> DataFrame:
     )
 
 
+def range_of(ranges: int = RANGES) -> Column:
+    """The key's range, on a logarithmic scale.
+
+    A weight only shifts the logarithm of an exponential key, whose density is at most 1 / e. So a range holds about
+    1 / (e * ranges) of a source's documents at most, whatever their weights.
+    """
+    return F.floor(F.ln("key") * ranges)
+
+
 def order_of() -> Column:
     return F.struct("key", F.col("doc_id").isNull().alias("last"), "doc_id", "size")
 
 
 def copies_of(ranges: int = RANGES) -> Column:
     """How often a document is taken, after the join with ``plan`` as struct ``g``."""
-    part = F.floor((1 - F.exp(-F.col("key"))) * ranges)
+    part = range_of(ranges)
     sampled = (part < F.col("g.part")) | ((part == F.col("g.part")) & (order_of() <= F.col("g.last")))
     return F.when(F.col("size") == 0, 0).otherwise(
         F.col("g.epochs") + F.when(F.coalesce(sampled, F.lit(False)), 1).otherwise(0)

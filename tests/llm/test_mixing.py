@@ -57,6 +57,13 @@ def test_ranges_do_not_change_the_sample(documents):
     assert taken[0] == taken[1] == taken[2] and {n for _, n in taken[0]} == {0, 1, 2}
 
 
+@pytest.mark.parametrize("words", [1, 400])
+def test_no_range_of_a_source_is_large(documents, words):
+    docs = documents([(k, " ".join(["x"] * words), "en", "a") for k in range(4000)])
+    parts = mixing.keyed(docs).select(mixing.range_of(64).alias("part")).groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 4000 / 64
+
+
 def test_better_documents_are_taken_more_often(documents):
     whole = [(1, clean(1, words=90_000), "en", "a"), (2, clean(2, words=90_000), "en", "b")]
     mixed = [(10 + k, clean(k, words=200) if k % 2 else " ".join(["x"] * 200), "en", "c") for k in range(600)]
