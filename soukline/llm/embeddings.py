@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from soukline.llm.common import connected, cut
 
@@ -236,11 +235,11 @@ def _of_whole(members: DataFrame, nodes: DataFrame, whole: DataFrame) -> DataFra
     return rows.select("cid", (F.col("n") - own).alias("n"), "other")
 
 
-def _of_leaves(members: DataFrame, near: DataFrame, cosine: float, block: int) -> DataFrame:
+def _of_leaves(members: DataFrame, nodes: DataFrame, near: DataFrame, cosine: float, block: int) -> DataFrame:
     """(cid, n, other) for pairs of leaves, compared vector by vector in blocks of at most ``block`` classes."""
-    dealt = members.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), F.greatest(
-        F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("node")) / block)
-    )))
+    sizes = nodes.filter("leaf").select("node", "size")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / block))
+    dealt = members.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("cid", F.lit(1)), parts)).drop("size")
     dealt = cut(dealt)
     parts = dealt.select("node", "part").distinct()
     a = parts.select(F.col("node").alias("a"), F.col("part").alias("pa"))
@@ -291,7 +290,7 @@ def linked(vectors: DataFrame, cosine: float = COSINE, leaf_rows: int = LEAF_ROW
     found = cut(classes(vectors))
     members, nodes = grow(found, leaf_rows, fanout)
     whole, near = traverse(nodes, math.sqrt(2 - 2 * cosine))
-    hits = cut(_of_whole(members, nodes, whole).union(_of_leaves(members, near, cosine, leaf_rows)))
+    hits = cut(_of_whole(members, nodes, whole).union(_of_leaves(members, nodes, near, cosine, leaf_rows)))
     roots = connected(hits.select(F.col("cid").alias("a"), F.col("other").alias("b")))
     counts = hits.groupBy("cid").agg(F.sum("n").alias("n"))
     each = found.select("cid", "rep", "weight").join(counts, "cid", "left").join(
