@@ -165,7 +165,7 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
     at, template, place = at[order], template[order], place[order]
     text_of, shift = of[at], at - place
     out = []
-    first = 0
+    first, points = 0, None  # points: code points before each byte, counted once
     for k in range(1, len(at) + 1):
         if k < len(at) and text_of[k] == text_of[k - 1] and template[k] == template[k - 1] and shift[k] - shift[first] <= BAND:
             continue
@@ -177,8 +177,9 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
         first = k
         if matched < COVERAGE * len(words):
             continue
-        raw, zero = texts.raw(t), int(texts.offsets[t])
-        span = [len(raw[: int(p) - zero].decode("utf-8", "replace")) for p in (starts[begin + a], ends[begin + b])]
+        if points is None:
+            points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
+        span = [int(points[p] - points[texts.offsets[t]]) for p in (starts[begin + a], ends[begin + b])]
         out.append((t, index.names[n], matched / len(words), matched, len(words), *span))
     # neighbouring diagonals may find the same place twice
     return sorted(set(out))
