@@ -14,6 +14,8 @@ ORACLES = {
       FROM o_all JOIN person USING (customer_id) JOIN risk USING (customer_state)
       WHERE order_status = 'shipped' AND promised > (SELECT max(bought) FROM o_all)
         AND late_rate >= (SELECT {rnd('sum(l)::DOUBLE / sum(n)::DOUBLE', 6)} FROM hist)""", RISK),
+    "st2_scored_alerts_check": sql("""SELECT 0::BIGINT AS extra, 0::BIGINT AS missing, 0::BIGINT AS repeated, count(*) AS orders
+      FROM o_all JOIN person USING (customer_id) WHERE order_status = 'shipped'"""),
     "st3_winback_triggers": sql("""SELECT customer_unique_id, max(bought) AS last_order, max(bought) + to_days(90) AS inactive_since, count(*) AS orders
       FROM (SELECT *, sum(fresh) OVER (PARTITION BY customer_unique_id ORDER BY bought, order_id) AS run FROM (
         SELECT customer_unique_id, bought, order_id, coalesce(bought > lag(bought) OVER (PARTITION BY customer_unique_id ORDER BY bought, order_id)

@@ -274,8 +274,8 @@ def repeat_features(t: Tables) -> DataFrame:
     )
 
 
-def delivery_risk_features(t: Tables) -> DataFrame:
-    """Per delivered order: its totals, payment, places, first-order traits, late flag."""
+def delivery_risk_features(t: Tables, status: str = "delivered") -> DataFrame:
+    """Per order of a status: its totals, payment, places, first-order traits, late flag (0 while it is open)."""
     place = clean_customers(t.customers).select("customer_id", "customer_unique_id", "customer_state")
     sums = rollups.item_sums(t, "order_id")
     totals = sums.select(
@@ -286,7 +286,7 @@ def delivery_risk_features(t: Tables) -> DataFrame:
         ratio(numbers.amount(F.col("freight_value")), F.col("n_items")).alias("avg_freight"),
     )
     orders = (
-        clean_orders(t.orders_in("delivered"))
+        clean_orders(t.orders_in(status))
         .join(place, "customer_id")
         .withColumn("is_late", numbers.flag(F.col("order_delivered_customer_date") > F.col("order_estimated_delivery_date")))
         .select("order_id", "customer_unique_id", "customer_state", "is_late")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soukline.functions.numbers import ratio, rounded
-from soukline.operators import rollups
+from soukline.operators import learning, rollups
+from soukline.plans import lifecycle
 from soukline.plans.growth import late_by_state
 from soukline.session import scratch_path
 from soukline.sources.marketplace import SOURCES, Marketplace
@@ -44,6 +46,37 @@ def late_alerts(t: Marketplace) -> DataFrame:
     return jobs.read_batches(t.spark, path).drop(jobs.BATCH)
 
 
+def _scored(t: Marketplace) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """The delay model of the delivered orders, the open orders' features, and the alerts of a stream of them."""
+    path = scratch_path(t.spark, "scored")
+    model = learning.fit_delay(lifecycle.delivery_risk_features(t)).model
+    rows = lifecycle.delivery_risk_features(t, "shipped").drop("is_late")
+    rows.write.parquet(f"{path}/open")
+    stream = t.spark.readStream.schema(rows.schema).parquet(f"{path}/open")
+    jobs.write_batches(jobs.scored_alerts(stream, model), path)
+    alerts = jobs.read_batches(t.spark, path).drop(jobs.BATCH)
+    return model, t.spark.read.schema(rows.schema).parquet(f"{path}/open"), alerts
+
+
+def scored_alerts(t: Marketplace) -> DataFrame:
+    """Open orders that the model expects to be late."""
+    return _scored(t)[2]
+
+
+def scored_alerts_check(t: Marketplace) -> DataFrame:
+    """Open orders, alerts given twice, and alerts that only the stream or only a batch over the same rows gives."""
+    model, rows, alerts = _scored(t)
+    whole = jobs.scored_alerts(rows, model)
+    both = alerts.select("order_id", F.lit(1).alias("streamed")).join(
+        whole.select("order_id", F.lit(1).alias("batch")), "order_id", "full"
+    )
+    told = both.agg(
+        F.count_if(F.col("batch").isNull()).alias("extra"), F.count_if(F.col("streamed").isNull()).alias("missing"),
+        (F.count(F.lit(1)) - F.countDistinct("order_id")).alias("repeated"),
+    )
+    return told.withColumn("orders", rows.select(F.count(F.lit(1))).scalar())
+
+
 def winback_triggers(t: Marketplace) -> DataFrame:
     """Customers entering the win-back band: ninety days after an order."""
     path = scratch_path(t.spark, "winback")

@@ -254,6 +254,8 @@ LIVE: dict[str, Query] = {
     "st1_ingested_state": live.ingested_state,
     "st2_daily_purchases": live.daily_purchases,
     "st2_late_delivery_alerts": live.late_alerts,
+    "st2_scored_alerts": live.scored_alerts,
+    "st2_scored_alerts_check": live.scored_alerts_check,
     "st3_winback_triggers": live.winback_triggers,
 }
 

@@ -37,6 +37,7 @@ def test_every_statement_belongs_to_a_query():
     assert without == {
         "k2_kmeans_elbow", "k3_customer_segments", "k3_kmeans_profiles", "k6_k8_repeat_model",
         "k6_k8_delay_model", "k7_k8_lifetime_value_model", "k12_propensity_audience",
+        "st2_scored_alerts",
     }
 
 
