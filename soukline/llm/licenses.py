@@ -165,7 +165,7 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
     at, template, place = at[order], template[order], place[order]
     text_of, shift = of[at], at - place
     out = []
-    first, points = 0, None  # points: code points before each byte, counted once
+    first, points, counted = 0, None, -1  # points: code points up to each byte of the text ``counted``
     for k in range(1, len(at) + 1):
         if k < len(at) and text_of[k] == text_of[k - 1] and template[k] == template[k - 1] and shift[k] - shift[first] <= BAND:
             continue
@@ -177,9 +177,11 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
         first = k
         if matched < COVERAGE * len(words):
             continue
-        if points is None:
-            points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
-        span = [int(points[p] - points[texts.offsets[t]]) for p in (starts[begin + a], ends[begin + b])]
+        zero = texts.offsets[t]
+        if t != counted:
+            points, counted = np.cumsum((texts.data[zero: texts.offsets[t + 1]] & 0xC0) != 0x80), t
+        # a word's first byte begins a code point, its last byte ends one
+        span = [int(points[starts[begin + a] - zero]) - 1, int(points[ends[begin + b] - 1 - zero])]
         out.append((t, index.names[n], matched / len(words), matched, len(words), *span))
     # neighbouring diagonals may find the same place twice
     return sorted(set(out))
