@@ -9,7 +9,10 @@ BUCKET_ROWS rows is split by blocks of the other bits (again, one of four blocks
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; a text of one or two words is
 one shingle. Repeated rows have equal fingerprints. A null doc_id takes part; a component's id is its least doc_id that
-is not null. An empty table gives an empty result. ``keep_first`` returns its input's columns only, whatever their names.
+is not null. An empty table gives an empty result.
+
+SHINGLE and MAX_BITS are op2's contract. ``keep_first``, the pipeline's stage, goes by the general rule instead: five-word
+shingles and a Jaccard similarity of 0.8 (``copies``). It returns its input's columns only, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soukline.llm import copies
 from soukline.llm.common import connected, cut
 from soukline.llm.words import slices, with_columns
 
@@ -179,13 +183,11 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the least doc_id (nulls last), ties by the row's hash."""
+    """One row of each group of near copies (``copies``): that of the least doc_id (nulls last), ties by the row's hash."""
     mine = F.xxhash64(*docs.columns)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", mine.alias("h"))
-    prints = cut(fingerprints(docs.select("doc_id", "text", mine.alias("h")), ["doc_id", "h"]))
     first = (
-        prints.join(clustered(prints), "fp").groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x"))
+        copies.rooted(docs.select("doc_id", "text", mine.alias("h"))).groupBy("root").agg(F.min("x").alias("x"))
         .select(F.col("x.doc_id").alias("k_id"), F.col("x.h").alias("k_h"))
     )
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
