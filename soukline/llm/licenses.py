@@ -2,10 +2,12 @@
 
 Templates are cut into words (A-Z lower-cased, punctuation dropped) and K-word shingles; winnowing keeps the least hash
 of every WINDOW shingles in a row, and an inverted index lists the templates and places of each kept hash. Every shingle
-of every text is looked up. Hits whose diagonals (place in the text less place in the template) lie within BAND of each
-other are one candidate, which is aligned with the template inside the band around them: the longest common subsequence
-of words there, with the fewest text words among the longest. A match covers at least COVERAGE of the template's words
-and is reported with the span it takes in the text (code points, end exclusive).
+of every text is looked up. From a hit on, the hits are one candidate whose diagonals (place in the text less place in
+the template) differ by no more than the words that COVERAGE lets a match lose, or INSERTED lets it hold between its
+parts (BAND words at least). The candidate is aligned with the template from BAND diagonals below to BAND above its hits:
+the longest common subsequence of words there, with the fewest text words among the longest. A match covers at least
+COVERAGE of the template's words and is reported with the span it takes in the text (code points, end exclusive). The
+text before and after a match is searched again.
 
 The index is bounded by the templates and sent with the tasks; texts are scanned whole, each on its own.
 
@@ -15,6 +17,8 @@ row for each. Repeated rows are scanned one by one. An empty table gives an empt
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,7 @@ K = 5
 WINDOW = 4
 BAND = 8
 COVERAGE = 0.8
+INSERTED = 0.5
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, template_words long, span_start long, span_end long"
 
 # Notices and texts of common licenses.
@@ -127,6 +132,11 @@ class Index:
         return at, self.template[entry], self.place[entry]
 
 
+def inserted(words: int) -> int:
+    """How many words may stand between parts of a template of so many words."""
+    return max(BAND, int(INSERTED * words))
+
+
 def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """(matched, first, last): longest common subsequence with text place - template place from ``low`` to ``high``.
 
@@ -153,6 +163,43 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[
     return top[0], top[1], last
 
 
+def matches(
+    words: np.ndarray, h: np.ndarray, at: np.ndarray, place: np.ndarray, lo: int, hi: int
+) -> list[tuple[int, int, int]]:
+    """(matched, first, last) of every match of a template in the words ``lo`` to ``hi`` (exclusive) of ``h``.
+
+    ``at`` and ``place`` are the template's hits there, in text order. From each hit, the hits that a match can join with
+    it are chained: as many words may be lost as COVERAGE allows, and as many inserted as ``inserted`` says. What a match
+    leaves of the text on either side is searched again.
+    """
+    lost, more = len(words) - math.ceil(COVERAGE * len(words)), inserted(len(words))
+    shift = at - place
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        k, end = int(np.searchsorted(at, lo)), int(np.searchsorted(at, hi))
+        tried = (0, -1)
+        while k < end:
+            to = min(end, int(np.searchsorted(at, shift[k] + len(words) + more, side="right")))
+            near = shift[k:to][(shift[k:to] >= shift[k] - lost) & (shift[k:to] <= shift[k] + more)]
+            low, high = int(near.min()) - BAND, int(near.max()) + BAND
+            k += 1
+            if tried[0] <= low and high <= tried[1]:
+                continue  # within a band that had no match
+            begin, stop = max(lo, low), min(hi, high + len(words) + 1)
+            text = h[begin:stop]
+            tried = low, high
+            if np.isin(words, text).sum() < COVERAGE * len(words):
+                continue
+            matched, a, b = align(words, text.tolist(), low - begin, high - begin)
+            if matched < COVERAGE * len(words):
+                continue
+            out.append((matched, begin + a, begin + b))
+            todo += [(lo, begin + a), (begin + b + 1, hi)]
+            break
+    return out
+
+
 def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, int, int]]:
     """(text number, license, coverage, matched, template words, start, end) of every match."""
     starts, ends, of, h = _words(texts)
@@ -161,30 +208,23 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
     at, template, place = index.hits(shingles(h))
     whole = of[at] == of[at + K - 1]
     at, template, place = at[whole], template[whole], place[whole]
-    order = np.lexsort((at - place, template, of[at]))
+    order = np.lexsort((place, at, template, of[at]))
     at, template, place = at[order], template[order], place[order]
-    text_of, shift = of[at], at - place
     out = []
-    first, points, counted = 0, None, -1  # points: code points up to each byte of the text ``counted``
-    for k in range(1, len(at) + 1):
-        if k < len(at) and text_of[k] == text_of[k - 1] and template[k] == template[k - 1] and shift[k] - shift[first] <= BAND:
-            continue
-        t, n, words = int(text_of[first]), int(template[first]), index.words[template[first]]
-        low, high = int(shift[first]) - BAND, int(shift[k - 1]) + BAND
-        begin = max(low, int(np.searchsorted(of, t)))
-        end = min(high + len(words) + 1, int(np.searchsorted(of, t, side="right")))
-        matched, a, b = align(words, h[begin:end].tolist(), low - begin, high - begin)
-        first = k
-        if matched < COVERAGE * len(words):
-            continue
-        zero = texts.offsets[t]
-        if t != counted:
-            points, counted = np.cumsum((texts.data[zero: texts.offsets[t + 1]] & 0xC0) != 0x80), t
-        # a word's first byte begins a code point, its last byte ends one
-        span = [int(points[starts[begin + a] - zero]) - 1, int(points[ends[begin + b] - 1 - zero])]
-        out.append((t, index.names[n], matched / len(words), matched, len(words), *span))
-    # neighbouring diagonals may find the same place twice
-    return sorted(set(out))
+    counted, points = -1, None  # points: code points up to each byte of the text ``counted``
+    change = np.flatnonzero((np.diff(of[at]) != 0) | (np.diff(template) != 0)) + 1
+    for first, last in itertools.pairwise([0, *change.tolist(), len(at)] if len(at) else []):
+        t, n = int(of[at[first]]), int(template[first])
+        lo, hi = int(np.searchsorted(of, t)), int(np.searchsorted(of, t, side="right"))
+        words = index.words[n]
+        for matched, a, b in matches(words, h, at[first:last], place[first:last], lo, hi):
+            zero = texts.offsets[t]
+            if t != counted:
+                points, counted = np.cumsum((texts.data[zero: texts.offsets[t + 1]] & 0xC0) != 0x80), t
+            # a word's first byte begins a code point, its last byte ends one
+            span = [int(points[starts[a] - zero]) - 1, int(points[ends[b] - 1 - zero])]
+            out.append((t, index.names[n], matched / len(words), matched, len(words), *span))
+    return sorted(out)
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

@@ -62,3 +62,16 @@ def test_matches_spans_and_coverage(documents):
 
 def test_odd_rows(odd, empty):
     assert licenses.op6(odd).collect() == [] and licenses.op6(empty).collect() == []
+
+
+def test_words_inserted_or_left_out_in_the_middle(documents):
+    mit = TEMPLATES["MIT"].split()
+    half, rows = len(mit) // 2, []
+    for k in (10, 20, 30):
+        rows.append((k, " ".join([clean(1), *mit[: half - k // 2], *mit[half + k - k // 2:], clean(2)])))
+        rows.append((100 + k, " ".join([clean(1), *mit[:half], clean(3, words=k), *mit[half:], clean(2)])))
+    rows.append((200, f"{rows[0][1]} {rows[3][1]}"))
+    got = sorted((r.doc_id, r.license, r.matched_words, r.template_words) for r in licenses.op6(documents(rows)).collect())
+    assert [g[:2] for g in got] == [(d, "MIT") for d in (10, 20, 30, 110, 120, 130, 200, 200)]
+    lost = {d: w - m for d, _, m, w in got[:6]}
+    assert lost == {10: 10, 20: 20, 30: 30, 110: 0, 120: 0, 130: 0}
