@@ -6,9 +6,10 @@ and a bitmap of the duplicate clusters it holds, and the search walks up from th
 the first one that holds neither the document's source nor its cluster. So no bin has two documents of one source, or
 two copies of one text. A cluster is a sequence of lower-cased words.
 
-The rows (ids and sizes, no texts) are dealt by a hash, then packed in shards of SHARD_ROWS; bins do not cross shards,
-so every bin is exact best-fit within its shard and memory is bounded whatever a source or cluster holds. Bin ids are
-the same in every run over the same rows.
+The rows (ids and sizes, no texts) are dealt by a hash to shards of about SHARD_ROWS, whose number follows from the row
+count alone; a shard of twice that or more (equal rows) is packed in parts. Bins do not cross shards, so every bin is
+exact best-fit within its shard and memory is bounded whatever a source or cluster holds. Bin ids are the same in every
+run over the same rows, whatever the session's partition settings.
 
 Defined results: a null or empty text has no words and gets one row with no bin. A null source conflicts with nothing.
 Ties are placed by the hash, then doc_id. Repeated rows are packed as often as they occur, in different bins. An empty
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,11 +122,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
     """One row per piece of a document: which words go to which bin, and where in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, shard, held = TaskContext.get().partitionId(), 0, []
+        shard, part, held = None, 0, []
 
         def emit(rows):
             placed = pack_shard(rows, capacity)
-            placed = [(*r[:5], None if r[5] is None else f"{task}-{shard}-{r[5]}", r[6]) for r in placed]
+            placed = [(*r[:5], None if r[5] is None else f"{shard}-{part}-{r[5]}", r[6]) for r in placed]
             columns = list(zip(*placed, strict=True))
             kinds = [pa.int64(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays(
@@ -135,20 +135,30 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_RO
             )
 
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            while len(held) >= shard_rows:
-                yield emit(held[:shard_rows])
-                held, shard = held[shard_rows:], shard + 1
+            numbers, *columns = (c.to_pylist() for c in batch.columns)
+            for number, *row in zip(numbers, *columns, strict=True):
+                if number != shard:
+                    if held:
+                        yield emit(held)
+                    shard, part, held = number, 0, []
+                held.append(tuple(row))
+                if len(held) == 2 * shard_rows:
+                    yield emit(held[:shard_rows])
+                    part, held = part + 1, held[shard_rows:]
         if held:
             yield emit(held)
 
     rows = cut(sized(docs))
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // (shard_rows * SHARDS_A_TASK) + 1)
+    shards = max(1, round(rows.count() / shard_rows))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_A_TASK + 1)
     dealt = F.xxhash64("doc_id", "cluster", "n_words")
-    # more deals than tasks, so that a task's rows are an even mix; equal rows may fill one task, never one shard
-    ordered = rows.withColumn("h", dealt).repartition(tasks, "h").sortWithinPartitions("h", "doc_id", "source", "n_words")
+    # the session's setting spreads shards over tasks, no more; equal rows may fill one task, never one part of a shard
+    ordered = (
+        rows.withColumn("h", dealt).withColumn("shard", F.pmod("h", F.lit(shards)))
+        .repartition(tasks, "shard").sortWithinPartitions("shard", "h", "doc_id", "source", "n_words")
+    )
     return ordered.select(
-        F.col("doc_id").cast("long"), F.col("source").cast("string"), "n_words", "cluster"
+        "shard", F.col("doc_id").cast("long"), F.col("source").cast("string"), "n_words", "cluster"
     ).mapInArrow(run, SCHEMA)
 
 

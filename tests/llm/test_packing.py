@@ -80,3 +80,22 @@ def test_odd_rows(odd, empty):
     assert len(twins) == 5 == len(set(twins))
     assert len([r for r in out if r.doc_id == 6 and r.n_words == packing.CAPACITY]) == 120_000 // packing.CAPACITY
     assert packing.packed(empty).collect() == []
+
+
+def test_shards_do_not_depend_on_shuffle_partitions(spark, documents):
+    docs = documents([(k, clean(k, words=20 + k % 130), "en", f"s{k % 7}") for k in range(400)])
+    key, found = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    try:
+        for n in (3, 50):
+            spark.conf.set(key, str(n))
+            found.append(sorted(map(tuple, packing.packed(docs, capacity=200).collect()), key=str))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] and {r[5].rsplit("-", 1)[0] for r in found[0]} == {"0-0"}
+
+
+def test_equal_rows_are_packed_in_parts(documents):
+    out = packing.packed(documents([(1, clean(1, words=30), "en", None)] * 100), capacity=100, shard_rows=16).collect()
+    parts = [r.bin_id.rsplit("-", 1)[0] for r in out]
+    assert len(out) == len({r.bin_id for r in out}) == 100 and max(map(parts.count, set(parts))) < 32
