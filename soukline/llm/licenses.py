@@ -7,7 +7,8 @@ the template) differ by no more than the words that COVERAGE lets a match lose,
 parts (BAND words at least). The candidate is aligned with the template from BAND diagonals below to BAND above its hits:
 the longest common subsequence of words there, with the fewest text words among the longest. A match covers at least
 COVERAGE of the template's words and is reported with the span it takes in the text (code points, end exclusive). The
-text before and after a match is searched again.
+text before and after a match is searched again. Templates of fewer words than K, and tags, are matched whole, word by
+word. Of overlapping matches of templates that are variants of one text, the one with the most words stays.
 
 The index is bounded by the templates and sent with the tasks; texts are scanned whole, each on its own.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,9 +73,64 @@ TEMPLATES = {
         notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the
         above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
         materials provided with the distribution.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met: Redistributions of source code must retain the above copyright
+        notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the
+        above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior
+        written permission.""",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the
+        GNU General Public License as published by the Free Software Foundation; either version 2 of the
+        License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU General Public License for more details.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the
+        GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the
+        License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Lesser General Public License for more details.""",
+    "LGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the
+        GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the
+        GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Affero General Public License for more details.""",
+    "GPL-2.0-preamble": """The licenses for most software are designed to take away your freedom to share and change it.
+        By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free
+        software--to make sure the software is free for all its users.""",
+    "GPL-3.0-preamble": """The licenses for most software and other practical works are designed to take away your freedom
+        to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom
+        to share and change all versions of a program--to make sure it remains free software for all its users.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
+        any purpose, commercial or non-commercial, and by any means.""",
+    "CC0-1.0-notice": "has waived all copyright and related or neighboring rights to",
+    "CC0-1.0-deed": """The person who associated a work with this deed has dedicated the work to the public domain by
+        waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring
+        rights, to the extent allowed by law.""",
+    "All-rights-reserved": "All rights reserved.",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
 }
+# One word tells these tags apart, so they are matched whole.
+TAG = "SPDX-"
+TEMPLATES |= {
+    f"{TAG}{n}": f"SPDX-License-Identifier: {n}" for n in (
+        "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0",
+        "MPL-2.0", "ISC", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    )
+}
+# Templates that share most of their words: of their matches in one place, the one with the most words is reported.
+VARIANTS = (
+    ("BSD-2-Clause", "BSD-3-Clause"),
+    ("GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header"),
+    ("GPL-2.0-preamble", "GPL-3.0-preamble"),
+)
 
 
 def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,13 +138,13 @@ def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return starts, ends, of, hashes(LOWER[texts.data], starts, ends)
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Hash of the K words from each word on; K - 1 fewer than words."""
-    if len(h) < K:
+def shingles(h: np.ndarray, length: int = K) -> np.ndarray:
+    """Hash of the ``length`` words from each word on; length - 1 fewer than words."""
+    if len(h) < length:
         return np.zeros(0, np.uint64)
-    out = h[: len(h) - K + 1]
-    for k in range(1, K):
-        out = mix(out) + h[k: len(h) - K + 1 + k]
+    out = h[: len(h) - length + 1]
+    for k in range(1, length):
+        out = mix(out) + h[k: len(h) - length + 1 + k]
     return out
 
 
@@ -104,32 +161,41 @@ def winnowed(values: np.ndarray, window: int = WINDOW) -> list[int]:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints."""
+    """Inverted index of the templates' fingerprints, one per shingle length."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES):
         self.names = sorted(templates)
         texts = Texts(pa.array([templates[n] for n in self.names], pa.string()))
         _, _, of, h = _words(texts)
         self.words = [h[of == k] for k in range(len(self.names))]
-        rows = []
+        self.whole = [n.startswith(TAG) or len(w) < K for n, w in zip(self.names, self.words, strict=True)]
+        rows: dict[int, list] = {}
         for k, words in enumerate(self.words):
-            if 0 < len(words) < K:
-                raise ValueError(f"template {self.names[k]} has fewer than {K} words")
-            s = shingles(words)
-            rows += [(int(s[p]), k, p) for p in winnowed(s)]
-        rows.sort()
-        self.keys = np.array([r[0] for r in rows], dtype=np.uint64)
-        self.template = np.array([r[1] for r in rows], dtype=np.int64)
-        self.place = np.array([r[2] for r in rows], dtype=np.int64)
-
-    def hits(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in values, template, place in template) of every equal fingerprint."""
-        lo, hi = np.searchsorted(self.keys, values, "left"), np.searchsorted(self.keys, values, "right")
-        found = np.flatnonzero(hi > lo)
-        count = hi[found] - lo[found]
-        at = np.repeat(found, count)
-        entry = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        return at, self.template[entry], self.place[entry]
+            if not len(words):
+                raise ValueError(f"template {self.names[k]} has no words")
+            length = len(words) if self.whole[k] else K
+            s = shingles(words, length)
+            rows.setdefault(length, []).extend((int(s[p]), k, p) for p in winnowed(s))
+        self.tables = {}
+        for length, held in sorted(rows.items()):
+            keys, template, place = zip(*sorted(held), strict=True)
+            self.tables[length] = (
+                np.array(keys, dtype=np.uint64), np.array(template, dtype=np.int64), np.array(place, dtype=np.int64)
+            )
+
+    def hits(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, template, place in template) of every equal fingerprint; ``h`` and ``of`` are the words of texts."""
+        out = [np.zeros((3, 0), np.int64)]
+        for length, (keys, template, place) in self.tables.items():
+            values = shingles(h, length)
+            lo, hi = np.searchsorted(keys, values, "left"), np.searchsorted(keys, values, "right")
+            found = np.flatnonzero(hi > lo)
+            found = found[of[found] == of[found + length - 1]]
+            count = hi[found] - lo[found]
+            entry = np.repeat(lo[found] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            out.append(np.stack([np.repeat(found, count), template[entry], place[entry]]))
+        at, template, place = np.concatenate(out, axis=1)
+        return at, template, place
 
 
 def inserted(words: int) -> int:
@@ -200,14 +266,25 @@ def matches(
     return out
 
 
+def distinguished(rows: list[tuple]) -> list[tuple]:
+    """The rows without those of a variant that share words with a better match of another variant."""
+    family = {name: k for k, names in enumerate(VARIANTS) for name in names}
+    out, taken = [], {}
+    for row in sorted(rows, key=lambda r: (-r[3], -r[2], r)):
+        if row[1] in family:
+            spans = taken.setdefault((row[0], family[row[1]]), [])
+            k = bisect_left(spans, (row[5], row[6]))
+            if k and spans[k - 1][1] > row[5] or k < len(spans) and spans[k][0] < row[6]:
+                continue
+            spans.insert(k, (row[5], row[6]))
+        out.append(row)
+    return out
+
+
 def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, int, int]]:
     """(text number, license, coverage, matched, template words, start, end) of every match."""
     starts, ends, of, h = _words(texts)
-    if len(h) < K:
-        return []
-    at, template, place = index.hits(shingles(h))
-    whole = of[at] == of[at + K - 1]
-    at, template, place = at[whole], template[whole], place[whole]
+    at, template, place = index.hits(h, of)
     order = np.lexsort((place, at, template, of[at]))
     at, template, place = at[order], template[order], place[order]
     out = []
@@ -217,14 +294,18 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
         t, n = int(of[at[first]]), int(template[first])
         lo, hi = int(np.searchsorted(of, t)), int(np.searchsorted(of, t, side="right"))
         words = index.words[n]
-        for matched, a, b in matches(words, h, at[first:last], place[first:last], lo, hi):
+        if index.whole[n]:
+            found = [(len(words), int(a), int(a) + len(words) - 1) for a in at[first:last]]
+        else:
+            found = matches(words, h, at[first:last], place[first:last], lo, hi)
+        for matched, a, b in found:
             zero = texts.offsets[t]
             if t != counted:
                 points, counted = np.cumsum((texts.data[zero: texts.offsets[t + 1]] & 0xC0) != 0x80), t
             # a word's first byte begins a code point, its last byte ends one
             span = [int(points[starts[a] - zero]) - 1, int(points[ends[b] - 1 - zero])]
             out.append((t, index.names[n], matched / len(words), matched, len(words), *span))
-    return sorted(out)
+    return sorted(distinguished(out))
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:

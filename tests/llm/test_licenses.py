@@ -75,3 +75,15 @@ def test_words_inserted_or_left_out_in_the_middle(documents):
     assert [g[:2] for g in got] == [(d, "MIT") for d in (10, 20, 30, 110, 120, 130, 200, 200)]
     lost = {d: w - m for d, _, m, w in got[:6]}
     assert lost == {10: 10, 20: 20, 30: 30, 110: 0, 120: 0, 130: 0}
+
+
+def test_short_notices_tags_and_variants(documents):
+    names = [
+        "All-rights-reserved", "SPDX-MIT", "SPDX-GPL-2.0", "CC0-1.0-notice", "CC0-1.0-deed", "Unlicense", "BSD-2-Clause",
+        "BSD-3-Clause", "GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header",
+        "GPL-2.0-preamble", "GPL-3.0-preamble",
+    ]
+    rows = [(k, f"{clean(k)} {TEMPLATES[n]} {clean(k, 1)}") for k, n in enumerate(names)]
+    rows += [(90, "all rights reserved"), (91, "All rights"), (92, "reserved. All rights"), (93, "SPDX-License-Identifier: X")]
+    got = sorted((r.doc_id, r.license, r.coverage) for r in licenses.op6(documents(rows)).collect())
+    assert got == [*[(k, n, 1.0) for k, n in enumerate(names)], (90, "All-rights-reserved", 1.0)]
