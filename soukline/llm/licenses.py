@@ -7,7 +7,9 @@ the template) differ by no more than the words that COVERAGE lets a match lose,
 parts (BAND words at least). The candidate is aligned with the template from BAND diagonals below to BAND above its hits:
 the longest common subsequence of words there, with the fewest text words among the longest. A match covers at least
 COVERAGE of the template's words and is reported with the span it takes in the text (code points, end exclusive). The
-text before and after a match is searched again. Templates of fewer words than K, and tags, are matched whole, word by
+text before and after a match is searched again. Of templates of fewer than SHORT words every
+shingle is kept, and shingles are so short that one is left whatever words COVERAGE lets a match change; such a notice
+must keep the words of NAMED. Templates of fewer words than K, and tags, are matched whole, word by
 word. Of overlapping matches of templates that are variants of one text, the one with the most words stays.
 
 The index is bounded by the templates and sent with the tasks; texts are scanned whole, each on its own.
@@ -35,6 +37,7 @@ WINDOW = 4
 BAND = 8
 COVERAGE = 0.8
 INSERTED = 0.5
+SHORT = 20
 SCHEMA = "doc_id long, license string, coverage double, matched_words long, template_words long, span_start long, span_end long"
 
 # Notices and texts of common licenses.
@@ -130,7 +133,14 @@ VARIANTS = (
     ("BSD-2-Clause", "BSD-3-Clause"),
     ("GPL-2.0-header", "GPL-3.0-header", "LGPL-2.1-header", "LGPL-3.0-header", "AGPL-3.0-header"),
     ("GPL-2.0-preamble", "GPL-3.0-preamble"),
+    ("CC-BY-4.0-notice", "CC-BY-SA-4.0-notice"),
 )
+# Words that a short notice may not lose: without them it is another license's.
+NAMED = {
+    "MIT-notice": "MIT", "Apache-2.0-notice": "Apache 2 0", "GPL-3.0-notice": "GNU General 3",
+    "CC-BY-NC-4.0-notice": "CC BY NC 4 0", "CC-BY-4.0-notice": "Creative Commons Attribution 4 0",
+    "CC-BY-SA-4.0-notice": "Creative Commons Attribution ShareAlike 4 0",
+}
 
 
 def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +170,14 @@ def winnowed(values: np.ndarray, window: int = WINDOW) -> list[int]:
     return sorted(kept)
 
 
+def shingle_words(words: int) -> int:
+    """Words of a shingle of a template of so many words; of a short one, what any words lost in a match leave in a row."""
+    if words >= SHORT:
+        return K
+    kept = math.ceil(COVERAGE * words)
+    return min(K, math.ceil(kept / (words - kept + 1)))
+
+
 class Index:
     """Inverted index of the templates' fingerprints, one per shingle length."""
 
@@ -168,14 +186,17 @@ class Index:
         texts = Texts(pa.array([templates[n] for n in self.names], pa.string()))
         _, _, of, h = _words(texts)
         self.words = [h[of == k] for k in range(len(self.names))]
+        named = Texts(pa.array([NAMED.get(n, "") for n in self.names], pa.string()))
+        _, _, of, h = _words(named)
+        self.named = [h[of == k] for k in range(len(self.names))]
         self.whole = [n.startswith(TAG) or len(w) < K for n, w in zip(self.names, self.words, strict=True)]
         rows: dict[int, list] = {}
         for k, words in enumerate(self.words):
             if not len(words):
                 raise ValueError(f"template {self.names[k]} has no words")
-            length = len(words) if self.whole[k] else K
+            length = len(words) if self.whole[k] else shingle_words(len(words))
             s = shingles(words, length)
-            rows.setdefault(length, []).extend((int(s[p]), k, p) for p in winnowed(s))
+            rows.setdefault(length, []).extend((int(s[p]), k, p) for p in winnowed(s, WINDOW if length == K else 1))
         self.tables = {}
         for length, held in sorted(rows.items()):
             keys, template, place = zip(*sorted(held), strict=True)
@@ -299,6 +320,8 @@ def scan(index: Index, texts: Texts) -> list[tuple[int, str, float, int, int, in
         else:
             found = matches(words, h, at[first:last], place[first:last], lo, hi)
         for matched, a, b in found:
+            if not np.isin(index.named[n], h[a: b + 1]).all():
+                continue
             zero = texts.offsets[t]
             if t != counted:
                 points, counted = np.cumsum((texts.data[zero: texts.offsets[t + 1]] & 0xC0) != 0x80), t

@@ -87,3 +87,25 @@ def test_short_notices_tags_and_variants(documents):
     rows += [(90, "all rights reserved"), (91, "All rights"), (92, "reserved. All rights"), (93, "SPDX-License-Identifier: X")]
     got = sorted((r.doc_id, r.license, r.coverage) for r in licenses.op6(documents(rows)).collect())
     assert got == [*[(k, n, 1.0) for k, n in enumerate(names)], (90, "All-rights-reserved", 1.0)]
+
+
+def test_short_notices_with_a_word_changed_and_side_by_side(documents):
+    apache, mit = TEMPLATES["Apache-2.0-notice"], TEMPLATES["MIT-notice"]
+    rows = [
+        (1, f"{clean(1)} Licensed under the Apache Licence, Version 2.0 {clean(2)}"), (2, "\n".join([apache] * 5)),
+        (3, f"{mit} {mit} Released beneath the MIT License. {mit}"), (4, "Released under the BSD License."),
+        (5, "Licensed under the Mozilla License, Version 2.0"), (6, TEMPLATES["CC-BY-4.0-notice"]),
+        (7, TEMPLATES["CC-BY-SA-4.0-notice"]),
+    ]
+    got = sorted((r.doc_id, r.license, r.matched_words) for r in licenses.op6(documents(rows)).collect())
+    assert got == [
+        (1, "Apache-2.0-notice", 7), *[(2, "Apache-2.0-notice", 8)] * 5, (3, "MIT-notice", 4), *[(3, "MIT-notice", 5)] * 3,
+        (6, "CC-BY-4.0-notice", 13), (7, "CC-BY-SA-4.0-notice", 14),
+    ]
+
+
+def test_one_changed_word_anywhere_leaves_a_shingle():
+    for n in range(licenses.K, licenses.SHORT):
+        lost = n - licenses.math.ceil(licenses.COVERAGE * n)
+        cuts = [-1, *[(k + 1) * (n + 1) // (lost + 1) - 1 for k in range(lost)], n]
+        assert max(b - a - 1 for a, b in zip(cuts, cuts[1:])) >= licenses.shingle_words(n)
