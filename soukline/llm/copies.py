@@ -29,6 +29,8 @@ SHINGLE = 5
 NEAR = (4, 5)
 BANDS = 32
 ROWS = 4
+# Rows of two longs that are sent to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 22
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -75,20 +77,29 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def keys(texts: Texts) -> dict[str, np.ndarray | pa.Array]:
+    """cls (the class of each text's set) and bands (its keys; none for an empty set)."""
+    sets = _sets(texts)
+    some = [k for k, s in enumerate(sets) if len(s)]
+    found = _bands([sets[k] for k in some]).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
+    sizes = np.zeros(len(sets) + 1, dtype=np.int32)
+    sizes[np.array(some, dtype=np.int64) + 1] = BANDS
+    bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(found.reshape(-1)))
+    return {"cls": _classes(sets).view(np.int64), "bands": bands}
+
+
+def with_keys(schema: T.StructType) -> T.StructType:
+    return schema.add("cls", "long").add("bands", T.ArrayType(T.LongType()))
+
+
 def signed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """``carry``, cls (the class of a text's set) and bands (its keys; none for an empty set)."""
+    """``carry``, cls and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            sets = _sets(texts)
-            some = [k for k, s in enumerate(sets) if len(s)]
-            keys = _bands([sets[k] for k in some]).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
-            sizes = np.zeros(len(sets) + 1, dtype=np.int32)
-            sizes[np.array(some, dtype=np.int64) + 1] = BANDS
-            bands = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield with_columns(batch, carry, cls=_classes(sets).view(np.int64), bands=bands)
+            yield with_columns(batch, carry, **keys(texts))
 
-    return docs.mapInArrow(run, docs.select(*carry).schema.add("cls", "long").add("bands", T.ArrayType(T.LongType())))
+    return docs.mapInArrow(run, with_keys(docs.select(*carry).schema))
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -145,19 +156,23 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     members = cut(buckets(classes))
-    wanted = classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "h")
-    texts = docs.join(wanted, "h").select("cls", "text").mapInArrow(read, "cls long, held binary")
+    wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "h"))
+    # the planner does not see how few rows these are, and would deal out every text
+    near_few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(near_few, "h").select("cls", "text").mapInArrow(read, "cls long, held binary")
     # rows that are equal in every column have one hash
     held = texts.groupBy("cls").agg(F.first("held").alias("held"))
     return members.join(held, "cls").groupBy("key").applyInArrow(work, "a long, b long")
 
 
+def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(cls, root) of every class that is near another. ``docs`` has h and text, ``rows`` h, cls and bands of the same."""
+    classes = cut(rows.groupBy("cls").agg(F.first("bands").alias("bands"), F.min("h").alias("h")))
+    return connected(links(docs.select("h", "text"), classes)).select(F.col("node").alias("cls"), "root")
+
+
 def rooted(docs: DataFrame) -> DataFrame:
     """(root, x) of every class of ``docs`` (doc_id, h, text): x is its first row (last, doc_id, h), nulls last."""
     rows = cut(signed(docs, ["doc_id", "h"]))
-    classes = cut(rows.groupBy("cls").agg(
-        F.first("bands").alias("bands"), F.min("h").alias("h"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x"),
-    ))
-    roots = connected(links(docs.select("h", "text"), classes)).select(F.col("node").alias("cls"), "root")
-    return classes.join(roots, "cls", "left").select(F.coalesce("root", "cls").alias("root"), "x")
+    first = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x"))
+    return first.join(roots(docs, rows), "cls", "left").select(F.coalesce("root", "cls").alias("root"), "x")

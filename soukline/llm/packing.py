@@ -4,7 +4,7 @@ Documents (in words) go into bins of CAPACITY words. A document over the capacit
 Remainders are placed longest first: the open bins stand in order of residual space, each with a bitmap of the sources
 and a bitmap of the duplicate clusters it holds, and the search walks up from the tightest bin that is large enough to
 the first one that holds neither the document's source nor its cluster. So no bin has two documents of one source, or
-two copies of one text. A cluster is a sequence of lower-cased words.
+two copies of one text. A cluster is a group of near copies (``copies``: five-word shingles, Jaccard similarity 0.8).
 
 The rows (ids and sizes, no texts) are dealt by a hash to shards of about SHARD_ROWS, whose number follows from the row
 count alone; a shard of twice that or more (equal rows) is packed in parts. Bins do not cross shards, so every bin is
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soukline.llm import copies
 from soukline.llm.common import cut
-from soukline.llm.words import LOWER, hashes, mix, slices, with_columns
+from soukline.llm.words import slices, with_columns
 
 CAPACITY = 1024
 SHARD_ROWS = 4096
@@ -42,20 +43,13 @@ def sized(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            data = LOWER[texts.data]
-            starts, ends, of = texts.words()
-            n = np.bincount(of, minlength=len(texts)).astype(np.int64)
-            cluster = np.zeros(len(texts), dtype=np.uint64)
-            if len(starts):
-                first = np.concatenate([[0], np.cumsum(n)])
-                place = (np.arange(len(starts)) - first[of]).astype(np.uint64)
-                cells = mix(hashes(data, starts, ends) + place * np.uint64(0x9E3779B97F4A7C15))
-                some = np.flatnonzero(n)
-                cluster[some] = np.add.reduceat(cells, first[some])
-            yield with_columns(batch, ["doc_id", "source"], n_words=n, cluster=cluster.view(np.int64))
-
-    schema = docs.select("doc_id", "source").schema.add("n_words", "long").add("cluster", "long")
-    return docs.select("doc_id", "source", "text").mapInArrow(run, schema)
+            n = np.bincount(texts.words()[2], minlength=len(texts)).astype(np.int64)
+            yield with_columns(batch, ["doc_id", "source", "h"], n_words=n, **copies.keys(texts))
+
+    texts = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("h"), "text")
+    rows = cut(texts.mapInArrow(run, copies.with_keys(texts.drop("text").schema.add("n_words", "long"))))
+    near = rows.join(copies.roots(texts, rows), "cls", "left")
+    return near.select("doc_id", "source", "n_words", F.coalesce("root", "cls").alias("cluster"))
 
 
 class Bins:

@@ -99,3 +99,11 @@ def test_equal_rows_are_packed_in_parts(documents):
     out = packing.packed(documents([(1, clean(1, words=30), "en", None)] * 100), capacity=100, shard_rows=16).collect()
     parts = [r.bin_id.rsplit("-", 1)[0] for r in out]
     assert len(out) == len({r.bin_id for r in out}) == 100 and max(map(parts.count, set(parts))) < 32
+
+
+def test_near_copies_go_to_different_bins(documents):
+    words = clean(1, words=60).split()
+    rows = [(k, " ".join([*words[:k], f"x{k}", *words[k + 1:]]), "en", f"s{k}") for k in range(1, 5)]
+    rows += [(k, clean(k, words=60), "en", f"t{k}") for k in range(5, 9)]
+    out = {r.doc_id: r.bin_id for r in packing.packed(documents([(0, " ".join(words), "en", "s0"), *rows])).collect()}
+    assert len({out[k] for k in range(5)}) == 5 and len(set(out.values())) == 5
