@@ -2,7 +2,8 @@
 
 Cosine >= 0.98 of unit vectors is a chord of at most REACH. Equal vectors (same label) are one class first, so copies
 cost nothing. Per label and dimension the classes form a tree: a node with more than LEAF_ROWS classes gives way to at
-most FANOUT children whose centres are a net with half the node's radius, chosen from a bounded sample of the node;
+most FANOUT children whose centres are chosen farthest first from a bounded sample of the node, until half the radius or
+FANOUT is reached (so radii need not halve, and levels are not nested);
 each class goes to the nearest centre. Every node keeps its true covering radius. The dual traversal starts with each
 root paired with itself and, level by level, drops pairs of nodes whose covering balls are more than REACH apart, takes
 pairs that lie within REACH as a whole (counts only, no distances), and replaces the rest by the pairs of their
