@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from soukline.llm import embeddings, language, licenses, mixing, packing, quality, secrets, simhash, toxicity, urls
+from soukline.llm import (
+    conversations, embeddings, language, licenses, mixing, packing, quality, secrets, simhash, toxicity, urls, variants,
+)
 from soukline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +34,8 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": _over("pages", urls.op8),
     "op9_source_mix": _over("documents", mixing.op9),
     "op10_quality_rules": _over("documents", quality.op10),
+    "op12_spelling_variants": _over("documents", variants.op12),
+    "op13_conversation_repair": _over("conversations", conversations.op13),
     "pipeline": corpus_pipeline.run,
 }
 
