@@ -196,7 +196,7 @@ def repaired(rows: DataFrame, marks: str | None = None) -> DataFrame:
     found = turns(rows, marks).withColumn("first", F.substring("role", 1, 1))
     keys = [F.col(c).asc_nulls_first() for c in ("conv_id", "there", *ORDER)]
     back = [F.col("conv_id").desc_nulls_last(), F.col("there").desc(), *[F.col(c).desc_nulls_last() for c in ORDER]]
-    schema = found.schema.add("best", "short").add("cost", "long")
+    schema = found.select("*").schema.add("best", "short").add("cost", "long")
     marked = found.sortWithinPartitions(*back).mapInArrow(_marked, schema)
     return marked.sortWithinPartitions(*keys).mapInArrow(_repaired, REPAIRED)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from soukline.llm import (
-    conversations, embeddings, language, licenses, mixing, packing, quality, secrets, simhash, toxicity, urls, variants,
+    conversations, embeddings, language, licenses, mixing, neighbours, packing, quality, secrets, simhash, toxicity, urls, variants,
 )
 from soukline.llm.common import table
 
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": _over("pages", urls.op8),
     "op9_source_mix": _over("documents", mixing.op9),
     "op10_quality_rules": _over("documents", quality.op10),
+    "op11_nearest_neighbours": _over("embeddings", neighbours.op11),
     "op12_spelling_variants": _over("documents", variants.op12),
     "op13_conversation_repair": _over("conversations", conversations.op13),
     "pipeline": corpus_pipeline.run,
