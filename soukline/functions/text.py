@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,19 +17,40 @@ _ONE = {c: x for c, x in _FOLDED.items() if len(x) == 1}
 _MANY = {c: x for c, x in _FOLDED.items() if len(x) > 1}
 
 
+def _ranges(characters: Iterable[str]) -> str:
+    """The characters as the inside of a regular expression's class, neighbours as one range."""
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
+_MANY_CLASS = f"[{_ranges(_MANY)}]"
+_FROM, _TO = "".join(_ONE), "".join(_ONE.values())
+# One literal, which the optimizer turns into a map once per plan.
+_MANY_PAIRS = "\x01".join(f"{c}\x02{x}" for c, x in _MANY.items())
+
+
 def collapse_spaces(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
 
 
 def standardize_text(value: Column) -> Column:
-    """Lower case, full compatibility folding to ASCII, other characters dropped, single spaces."""
-    folded = F.translate(F.lower(value), "".join(_ONE), "".join(_ONE.values()))
+    """Lower case, full compatibility folding to ASCII, other characters dropped, single spaces.
+
+    ASCII texts, nearly all, are only lower-cased and spaced.
+    """
+    folded = F.translate(F.lower(value), _FROM, _TO)
     # Characters that fold to several letters are rare; only texts with one are taken apart.
-    table = F.create_map(*[F.lit(x) for pair in _MANY.items() for x in pair])
+    table = F.str_to_map(F.lit(_MANY_PAIRS), F.lit("\x01"), F.lit("\x02"))
     letters = F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(table[c], c))
-    spelled = F.when(folded.rlike("[" + "".join(_MANY) + "]"), F.array_join(letters, "")).otherwise(folded)
+    spelled = F.when(folded.rlike(_MANY_CLASS), F.array_join(letters, "")).otherwise(folded)
     ascii_only = F.regexp_replace(spelled, r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(ascii_only, r"[\x09-\x0D\x1C-\x20]+", " "))
+    plain = F.when(value.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(F.lower(value))
+    return F.trim(F.regexp_replace(plain, r"[\x09-\x0D\x1C-\x20]+", " "))
 
 
 def lower_trim(value: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soukline.functions import clock, numbers
+from soukline.functions import clock, numbers, text
 from soukline.operators import ranking, rollups
 from soukline.operators.cleaning import (
-    clean_customers, clean_items, clean_orders, clean_payments, clean_reviews,
+    clean_items, clean_orders, clean_payments, clean_reviews,
     enrich_orders,
 )
 from soukline.sources.tables import Tables
@@ -87,8 +87,9 @@ def last_purchase(tables: Tables, delivered: bool) -> Column:
 def customer_lifecycle(tables: Tables) -> DataFrame:
     """Per person: dates, orders, spend, delivery, first-seen place, churn flags."""
     orders = enrich_orders(clean_orders(tables.orders_in("delivered")))
-    place = clean_customers(tables.customers).select(
-        "customer_id", "customer_unique_id", "customer_state", "customer_city_clean"
+    # the city is folded once per person, after the first-seen one is known
+    place = tables.customers.select(
+        "customer_id", "customer_unique_id", text.upper_trim(F.col("customer_state")).alias("customer_state"), "customer_city"
     )
     rows = orders.join(place, "customer_id", "left").join(
         rollups.order_totals(tables), "order_id", "left"
@@ -105,8 +106,8 @@ def customer_lifecycle(tables: Tables) -> DataFrame:
         numbers.ratio(F.sum("delivery_days"), F.count("delivery_days")).alias("avg_delivery_days"),
         numbers.ratio(F.sum("late_delivery_flag"), F.count(F.lit(1))).alias("late_delivery_rate"),
         F.min_by("customer_state", seen).alias("state"),
-        F.min_by("customer_city_clean", seen).alias("city"),
-    )
+        F.min_by("customer_city", seen).alias("city"),
+    ).withColumn("city", text.standardize_text(F.col("city")))
     reference = clock.plus_days(last_purchase(tables, delivered=False), 1)
     return (
         per_person.withColumn("recency_days", clock.floor_days(reference, F.col("last_order_date")))

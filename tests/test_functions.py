@@ -82,3 +82,12 @@ def test_surrogate_key_is_the_md5_prefix(spark):
     import hashlib
     row = one(spark, key=numbers.surrogate_key(F.lit("abc")))
     assert row.key == int(hashlib.md5(b"abc").hexdigest()[:15], 16)
+
+
+def test_a_folding_plan_is_built_quickly(spark):
+    import time
+    text.standardize_text(F.col("x"))
+    start = time.perf_counter()
+    for _ in range(10):
+        text.standardize_text(F.col("x"))
+    assert time.perf_counter() - start < 0.5
