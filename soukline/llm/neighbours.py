@@ -11,7 +11,7 @@ A code has BITS / s substrings of s bits. Two codes within the radius agree in o
 bits (pigeonhole), so a query probes, in each substring's index, the ball of radius t around its own value. Index entries
 of neighbouring values are one cell, cells are split in blocks of BLOCK rows by a hash, and each block compares its
 queries and rows by array operations: whole codes first, floats of what lies within the radius then. Of each query and
-block the best TOP + 1 leave, never pairs. A pair met in several substrings is taken in the first that has it. s follows
+block the best TOP + 1 leave, never pairs, and none below a floor that a look at SAMPLE rows gives each query. A pair met in several substrings is taken in the first that has it. s follows
 from the number of rows; any s gives the same result. Vectors without structure (nearly orthogonal) have a large radius,
 and a query then meets a large part of the rows, as an exact answer would ask for.
 
@@ -202,6 +202,36 @@ def radius(table: DataFrame, queries: DataFrame, model: Model) -> int:
     return 0
 
 
+def floored(asked: DataFrame, table: DataFrame, reach: int, width: int, top: int) -> DataFrame:
+    """``asked`` and floor: the ``top``-th best score among at most SAMPLE rows within ``reach``; no result lies below it.
+
+    Null where so few lie within ``reach``. What blocks would tell in vain, they then leave out.
+    """
+    looked = table.orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLE).select("dim", "embedding", "code").collect()
+    points = np.zeros((len(looked), width))
+    for k, p in enumerate(looked):
+        points[k, : p.dim] = p.embedding
+    codes = np.array([p.code for p in looked], dtype=np.int64).view(np.uint64)
+    dims = np.array([p.dim for p in looked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, vectors, code = (batch.column(batch.schema.names.index(c)) for c in ("dim", "embedding", "code"))
+            floors: list[float | None] = []
+            for at in range(0, batch.num_rows, 256):
+                rows = _matrix(vectors.slice(at, 256), width)
+                allowed = dim.to_numpy()[at: at + 256, None] == dims[None, :]
+                allowed &= np.bitwise_count(code.to_numpy().view(np.uint64)[at: at + 256, None] ^ codes[None, :]) <= reach
+                q, _, score = _scores(rows, points, allowed, top)
+                best = _best(q, np.arange(len(q)), score, top)
+                last = {int(k): float(x) for k, x in zip(q[best], score[best], strict=True)}
+                full = np.bincount(q[best], minlength=len(rows)) >= top
+                floors += [last[k] if full[k] else None for k in range(len(rows))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.float64())], names=[*batch.schema.names, "floor"])
+
+    return asked.mapInArrow(run, asked.select("*").schema.add("floor", "double"))
+
+
 def _ball(bits: int, t: int) -> int:
     return sum(math.comb(bits, k) for k in range(min(t, bits) + 1))
 
@@ -241,7 +271,8 @@ def _cells(found: DataFrame, s: int, prefix: int, t: int) -> DataFrame:
 def nearest(table: DataFrame, queries: DataFrame, n: int, reach: int, width: int, top: int, block: int = BLOCK) -> DataFrame:
     """(q, c, score): for each query class the ``top`` classes of the largest inner products among those within ``reach`` bits.
 
-    ``table`` and ``queries`` have cid, dim, embedding and code; ``table`` also rep, by which ties are settled; n is its size.
+    ``table`` and ``queries`` have cid, dim, embedding and code; ``table`` also rep, by which ties are settled; n is its
+    size. ``queries`` may have floor.
     """
     s = substring_bits(n, reach)
     count = BITS // s
@@ -252,7 +283,10 @@ def nearest(table: DataFrame, queries: DataFrame, n: int, reach: int, width: int
     parts = _parts(rows, key, "parts", block).join(_parts(asked, key, "asks", block), key)
     one, other = (F.pmod(F.xxhash64("cid", F.lit(3)), F.col(x)) for x in ("parts", "asks"))
     every = [F.explode(F.sequence(F.lit(0), F.col(x) - 1)) for x in ("asks", "parts")]
-    held = ["cid", "embedding", "code", "rep", *key, "part", "ask", "side"]
+    held = ["cid", "embedding", "code", "rep", "floor", *key, "part", "ask", "side"]
+    if "floor" not in queries.columns:
+        asked = asked.withColumn("floor", F.lit(None).cast("double"))
+    rows = rows.withColumn("floor", F.lit(None).cast("double"))
     left = rows.join(parts, key).withColumn("part", one).withColumn("ask", every[0]).withColumn("side", F.lit(0))
     right = asked.withColumn("rep", F.lit(None).cast("long")).join(parts, key)
     right = right.withColumn("ask", other).withColumn("part", every[1]).withColumn("side", F.lit(1))
@@ -263,6 +297,7 @@ def nearest(table: DataFrame, queries: DataFrame, n: int, reach: int, width: int
         codes = [x.column("code").to_numpy().view(np.uint64) for x in (a, b)]
         points = [_matrix(x.column("embedding"), width) for x in (a, b)]
         rep = np.array([np.iinfo(np.int64).max if x is None else x for x in b.column("rep").to_pylist()], dtype=np.int64)
+        floor = np.array([-np.inf if x is None else x for x in a.column("floor").to_pylist()])
         out: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(a), 256) if len(b) else ():
             apart = codes[0][at: at + 256, None] ^ codes[1][None, :]
@@ -273,6 +308,7 @@ def nearest(table: DataFrame, queries: DataFrame, n: int, reach: int, width: int
                 allowed &= close if k == seg else ~close
             q, r, score = _scores(points[0][at: at + 256], points[1], allowed, top)
             best = _best(q, rep[r], score, top)
+            best = best[score[best] >= floor[q[best] + at]]
             out.append((q[best] + at, r[best], score[best]))
         q, r, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pa.table({
@@ -311,6 +347,7 @@ def search(vectors: DataFrame, queries: Column, top: int = TOP) -> DataFrame:
     if asked.isEmpty():
         return none
     reach = radius(table, asked, model)
+    asked = cut(floored(asked, table, reach, model.width, top + 1))
     near = nearest(table.drop("held"), asked, table.count(), reach, model.width, top + 1)
     # one list of rows per query class; the query's own row is left out of it once
     listed = near.join(table.select(F.col("cid").alias("c"), F.explode("held").alias("m")), "c").select("q", "score", F.col("m.vec_id").alias("vec_id"), "c")

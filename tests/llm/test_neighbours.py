@@ -89,8 +89,9 @@ def test_every_code_within_the_radius_is_retrieved(spark, reach, block, monkeypa
         if neighbours._ball(s, reach // (64 // s)) > neighbours.PROBES:
             continue
         monkeypatch.setattr(neighbours, "substring_bits", lambda n, r, s=s: s)
-        got = neighbours.nearest(table, asked, 500, reach, model.width, 7, block)
-        assert {(r.q, r.c) for r in got.collect()} == want
+        for some in (asked, neighbours.floored(asked, table.limit(200), reach, model.width, 7)):
+            got = neighbours.nearest(table, some, 500, reach, model.width, 7, block)
+            assert {(r.q, r.c) for r in got.collect()} == want
 
 
 def test_substrings_follow_the_radius_and_the_rows():
