@@ -21,4 +21,17 @@ ORACLES = {
         SELECT customer_unique_id, bought, order_id, coalesce(bought > lag(bought) OVER (PARTITION BY customer_unique_id ORDER BY bought, order_id)
           + to_days(90), true)::INT AS fresh FROM po)) GROUP BY customer_unique_id, run
       HAVING max(bought) + to_days(90) <= (SELECT max(bought) FROM po) - to_days(1)"""),
+    "st1_deduplicated_events": "SELECT DISTINCT * FROM events",
+    "st2_overdue_orders": sql("""SELECT order_id, customer_id, bought AS order_purchase_timestamp, promised AS order_estimated_delivery_date
+      FROM o_all WHERE order_status <> 'canceled' AND promised <= (SELECT max(bought) FROM o_all)
+        AND NOT coalesce(order_status = 'delivered' AND arrived <= promised, false)"""),
+    "st3_band_changes": sql("""SELECT customer_unique_id, moment AS "at", change, bought AS last_order FROM (
+        SELECT *, unnest([
+          {moment: bought + to_days(91), change: 'entered'},
+          {moment: bought + to_days(181), change: 'lapsed'},
+          {moment: next, change: 'ordered'}], recursive := true)
+        FROM (SELECT customer_unique_id, bought, lead(bought) OVER (PARTITION BY customer_unique_id ORDER BY bought, order_id) AS next FROM po))
+      WHERE moment <= (SELECT max(bought) FROM o_all) + to_days(1) AND bought + to_days(91) <= coalesce(next, moment)
+        AND (change <> 'lapsed' OR moment <= coalesce(next, moment)) AND (change <> 'ordered' OR next < bought + to_days(181))"""),
+    "st3_winback_band": sql("""SELECT customer_unique_id, last_order_date, recency_days FROM life WHERE recency_days > 90 AND recency_days <= 180"""),
 }

@@ -12,7 +12,7 @@ from soukline.plans import lifecycle
 from soukline.plans.growth import late_by_state
 from soukline.session import scratch_path
 from soukline.sources.marketplace import SOURCES, Marketplace
-from soukline.streaming import jobs
+from soukline.streaming import jobs, stateful
 
 
 def _stream(t: Marketplace, name: str) -> DataFrame:
@@ -23,7 +23,24 @@ def ingested_state(t: Marketplace) -> DataFrame:
     """Events landed by day, and upserted into the newest event of each user."""
     path = scratch_path(t.spark, "ingest")
     jobs.ingest_daily(_stream(t, "events"), path, "ts")
-    return jobs.merge_state(_stream(t, "events"), path, "user_id", ["ts", "event_id"])
+    return stateful.merge_buckets(_stream(t, "events"), f"{path}/merged", "user_id", ["ts", "event_id"])
+
+
+def deduplicated_events(t: Marketplace) -> DataFrame:
+    """Events delivered once each, though the source sends its last day again."""
+    path = scratch_path(t.spark, "repeats")
+    events = t.scan("events")
+    events.write.parquet(f"{path}/sent")
+    last = events.select((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("x")).scalar()
+
+    def deliver() -> None:
+        stream = t.spark.readStream.schema(events.schema).parquet(f"{path}/sent")
+        jobs.write_batches(stateful.first_seen(stream, ["event_id"], "ts", "2 days"), path)
+
+    deliver()
+    events.filter(F.col("ts") > last).write.mode("append").parquet(f"{path}/sent")
+    deliver()
+    return jobs.read_batches(t.spark, path).drop(jobs.BATCH)
 
 
 def daily_purchases(t: Marketplace) -> DataFrame:
@@ -84,3 +101,70 @@ def winback_triggers(t: Marketplace) -> DataFrame:
     orders = stream.select(F.col("o_custkey").cast("string").alias("customer_unique_id"), "o_orderdate")
     jobs.write_batches(jobs.inactive_customers(orders, "customer_unique_id", "o_orderdate"), path)
     return jobs.read_batches(t.spark, path).drop(jobs.BATCH)
+
+
+def _clock(t: Marketplace, path: str, row: DataFrame) -> DataFrame:
+    """A stream of one clock row, kept as a file as a scheduler would leave it."""
+    row.write.parquet(path)
+    return t.spark.readStream.schema(row.schema).parquet(path)
+
+
+def _last_bought(t: Marketplace, days: int) -> DataFrame:
+    """One row: the newest purchase time and some days."""
+    return t.headers.select((F.max("order_purchase_timestamp") + F.expr(f"INTERVAL {days} DAYS")).alias("at"))
+
+
+def overdue_orders(t: Marketplace) -> DataFrame:
+    """Orders whose promise has passed, by the last purchase of the data set, without a delivery."""
+    path = scratch_path(t.spark, "overdue")
+    sides = ("order_id", "customer_id", "order_purchase_timestamp", "order_estimated_delivery_date")
+    open_orders = _stream(t, "orders").select(*t.header()).filter(F.col("order_status") != "canceled").select(*sides)
+    arrived = t.orders_in("delivered").select("order_id", F.col("order_delivered_customer_date").alias("arrived"))
+    arrived.filter(F.col("arrived").isNotNull()).write.parquet(f"{path}/arrived")
+    came = t.spark.readStream.schema("order_id string, arrived timestamp_ntz").parquet(f"{path}/arrived")
+    came = came.filter(F.col("arrived") <= _last_bought(t, 0).scalar())
+    # both clocks stand one delay and an hour behind the last purchase
+    tick = _last_bought(t, 1).select((F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("at"))
+    none = F.lit(None)
+    asked_clock = tick.select(
+        F.lit("").alias("order_id"), none.cast("string").alias("customer_id"), none.cast("timestamp_ntz").alias("order_purchase_timestamp"),
+        F.col("at").alias("order_estimated_delivery_date"),
+    )
+    came_clock = tick.select(F.lit("").alias("order_id"), F.col("at").alias("arrived"))
+    alerts = stateful.overdue(
+        open_orders.union(_clock(t, f"{path}/asked-clock", asked_clock)), came.union(_clock(t, f"{path}/came-clock", came_clock)),
+        "order_id", "order_estimated_delivery_date", "arrived", "1 day",
+    )
+    jobs.write_batches(alerts, path)
+    schema = "order_id string, customer_id string, order_purchase_timestamp timestamp_ntz, order_estimated_delivery_date timestamp_ntz"
+    return jobs.read_batches(t.spark, path, schema).drop(jobs.BATCH)
+
+
+def _band(t: Marketplace) -> DataFrame:
+    """The changes of the win-back band up to one day after the last purchase."""
+    path = scratch_path(t.spark, "band")
+    orders = _stream(t, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer_unique_id"), F.col("o_orderdate").alias("bought"),
+        (F.col("o_orderstatus") == "F").alias("delivered"),
+    )
+    tick = _last_bought(t, 2).select(
+        F.lit(None).cast("string").alias("customer_unique_id"), F.col("at").alias("bought"), F.lit(False).alias("delivered")
+    )
+    stream = orders.union(_clock(t, f"{path}/clock", tick))
+    with stateful.rocks(t.spark):
+        jobs.write_batches(stateful.band_changes(stream, "customer_unique_id", "bought", F.col("delivered")), path)
+    schema = "customer string, at timestamp_ntz, change string, last_order timestamp_ntz, batch long"
+    return jobs.read_batches(t.spark, path, schema).drop(jobs.BATCH)
+
+
+def band_changes(t: Marketplace) -> DataFrame:
+    """Entries into the win-back band and exits by an order or by lapsing."""
+    return _band(t).withColumnsRenamed({"customer": "customer_unique_id"})
+
+
+def winback_band(t: Marketplace) -> DataFrame:
+    """Who is in the band at the end of the stream: the batch audience of ``lifecycle.winback_audience``."""
+    now = _last_bought(t, 1).scalar()
+    inside = stateful.in_band(_band(t))
+    recency = F.date_diff(now, F.col("last_order"))
+    return inside.select(F.col("customer").alias("customer_unique_id"), F.col("last_order").alias("last_order_date"), recency.alias("recency_days"))

@@ -252,6 +252,10 @@ MODELS: dict[str, Query] = {
 
 LIVE: dict[str, Query] = {
     "st1_ingested_state": live.ingested_state,
+    "st1_deduplicated_events": live.deduplicated_events,
+    "st2_overdue_orders": live.overdue_orders,
+    "st3_band_changes": live.band_changes,
+    "st3_winback_band": live.winback_band,
     "st2_daily_purchases": live.daily_purchases,
     "st2_late_delivery_alerts": live.late_alerts,
     "st2_scored_alerts": live.scored_alerts,

@@ -67,43 +67,6 @@ def latest_rows(log: DataFrame, key: str, order: list[str]) -> DataFrame:
     return log.groupBy(key).agg(newest.alias("row")).select(key, "row.*")
 
 
-def merge_state(stream: DataFrame, path: str, key: str, order: list[str]) -> DataFrame:
-    """Upserts each micro-batch into the state of the batch before; returns the newest version of every key.
-
-    Batch n reads the state of batch n - 1 and its own rows only, never the log, and writes a state of its own, so a
-    replayed batch gives the same state.
-    """
-    spark, schema = stream.sparkSession, stream.schema
-    shared_dir(spark)
-
-    def upsert(df: DataFrame, batch: int) -> None:
-        if batch:
-            df = df.unionByName(spark.read.schema(schema).parquet(f"{path}/state/{batch - 1}"))
-        latest_rows(df, key, order).select(*schema.names).write.mode("overwrite").parquet(f"{path}/state/{batch}")
-
-    query = (
-        stream.writeStream.foreachBatch(upsert)
-        .option("checkpointLocation", f"{path}/merged")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    last = _last_batch(spark, f"{path}/merged")
-    if last is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/state/{last}")
-
-
-def _last_batch(spark: SparkSession, progress: str) -> int | None:
-    """Number of the last committed batch, from the stream's own commit log."""
-    commits = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{progress}/commits")
-    files = commits.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(commits):
-        return None
-    names = [f.getPath().getName() for f in files.listStatus(commits)]
-    return max((int(n) for n in names if n.isdigit()), default=None)
-
-
 def ingest_daily(stream: DataFrame, path: str, ts: str) -> DataFrame:
     """Appends new records to day partitions; returns the change log so far."""
     dated = (

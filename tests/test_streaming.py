@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from soukline.operators import learning
-from soukline.streaming import jobs
+from soukline.streaming import jobs, stateful
 
 EVENTS = "event_id bigint, user_id bigint, ts timestamp_ntz, value double"
 
@@ -51,14 +51,14 @@ def test_a_replayed_batch_replaces_itself(spark, place):
 def test_state_is_merged_batch_by_batch_and_replays_to_itself(spark, place):
     source, target = place("in"), place("out")
     land(spark, source, [(1, 7, day(0), 1.0), (2, 8, day(1), 2.0)])
-    merge = lambda: jobs.merge_state(jobs.file_stream(spark, source, EVENTS), target, "user_id", ["ts", "event_id"])
+    merge = lambda: stateful.merge_buckets(jobs.file_stream(spark, source, EVENTS), target, "user_id", ["ts", "event_id"])
     rows = lambda df: sorted((r.user_id, r.value) for r in df.collect())
     assert rows(merge()) == [(7, 1.0), (8, 2.0)]
     land(spark, source, [(3, 7, day(2), 3.0), (4, 8, day(0), 9.0)])
     assert rows(merge()) == [(7, 3.0), (8, 2.0)]
     assert rows(merge()) == [(7, 3.0), (8, 2.0)]  # nothing new
     for name in ("1", ".1.crc"):  # the second batch runs again
-        os.remove(f"{target}/merged/commits/{name}")
+        os.remove(f"{target}/progress/commits/{name}")
     assert rows(merge()) == [(7, 3.0), (8, 2.0)]
 
 
