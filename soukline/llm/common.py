@@ -74,6 +74,12 @@ def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
     return near.withColumn("_place", place).filter(F.col("_place") <= n).drop("_all", "_place")
 
 
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key: that of the least hash of its text, ties by the text; the limit is met before rows are dealt out."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text"))
+    return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row.n, row.x

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from soukline.llm.common import first_by_hash
+from soukline.llm.common import first_by_hash, one_each
 from soukline.llm.words import BREAK, LOWER, Texts, hashes, mix, slices, with_columns
 
 BITS = 18
@@ -258,6 +258,8 @@ def train(docs: DataFrame, per_label: int = PER_LABEL) -> Crf:
         F.broadcast(chosen.select(F.col("doc_id").alias("c_id"), F.col("lang").alias("c_lang"), "pick")),
         (F.col("doc_id") == F.col("c_id")) & (F.col("lang") == F.col("c_lang")),
     )
+    # a document that occurs several times is one row
+    sample = one_each(sample, ["doc_id", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = [], []

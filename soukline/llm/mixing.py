@@ -7,8 +7,8 @@ a digest of its id and w its quality weight, and a source's documents are taken
 is taken if at least half of it fits. The prefix sums are split by ranges of the key, so no source is one group.
 
 Defined results: a null or empty text has size 0 and is never taken. Null source is a source of its own, the last. Ties
-in the key are ordered by doc_id, then size; rows equal in all three are taken or left together. An empty table gives
-an empty result. ``mixed`` returns its input's columns only, whatever their names.
+in the key are ordered by doc_id, then size; of rows equal in all three as many are taken as fit, those of the least hash
+of their other columns first. An empty table gives an empty result. ``mixed`` returns its input's columns only, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SHARE = 1.5
 MOST = 2
 RANGES = 1024
 SALTS = 64
+# Plans of so many sources, some 100 bytes each, are sent to every task; more are joined by salted shuffles.
+FEW_SOURCES = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,14 +87,18 @@ def plan(rows: DataFrame, ranges: int = RANGES) -> DataFrame:
     edges = edges.filter("before <= rest AND rest < before + n").select(
         starts["source"].alias("s"), F.col("part").alias("p"), "before", "rest"
     )
+    # equal rows are one row with a number, so a document that fills a range is no large group
     inside = ranged.join(edges, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    inside = inside.groupBy("s", "p", "key", "doc_id", "size").agg(F.count("*").alias("k"), F.first("before").alias("before"), F.first("rest").alias("rest"))
     run = Window.partitionBy("s", "p").orderBy("key", F.col("doc_id").asc_nulls_last(), "size")
-    run = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = inside.withColumn("end", F.col("before") + F.sum("size").over(run)).filter("2 * end - size <= 2 * rest")
-    lasts = taken.groupBy("s").agg(F.max(order_of()).alias("last"))
+    ahead = F.coalesce(F.sum(F.col("k") * F.col("size")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the last one counts if half of it fits
+    fit = F.floor((2 * F.col("rest") + F.col("size") - 2 * (F.col("before") + ahead)) / (2 * F.col("size")))
+    taken = inside.withColumn("held", F.least("k", fit)).filter("held > 0")
+    lasts = taken.groupBy("s").agg(F.max(F.struct(order_of().alias("last"), "held")).alias("x")).select("s", "x.last", "x.held")
     goal = goal.join(edges.select("s", F.col("p").alias("part")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     return goal.join(lasts, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "epochs", "part", "last"
+        "source", "source_size", "target", "epochs", "part", "last", "held"
     )
 
 
@@ -109,41 +115,88 @@ def order_of() -> Column:
     return F.struct("key", F.col("doc_id").isNull().alias("last"), "doc_id", "size")
 
 
+def _tied() -> Column:
+    """Whether a row equals the sample's last document, of whose rows only some may be taken."""
+    return F.coalesce(order_of() == F.col("g.last"), F.lit(False))
+
+
 def copies_of(ranges: int = RANGES) -> Column:
-    """How often a document is taken, after the join with ``plan`` as struct ``g``."""
+    """How often a document is taken, after the join with ``plan`` as struct ``g``; tied rows need ``nth``."""
     part = range_of(ranges)
-    sampled = (part < F.col("g.part")) | ((part == F.col("g.part")) & (order_of() <= F.col("g.last")))
+    last = (order_of() < F.col("g.last")) | (_tied() & (F.col("nth") <= F.col("g.held")))
+    sampled = (part < F.col("g.part")) | ((part == F.col("g.part")) & last)
     return F.when(F.col("size") == 0, 0).otherwise(
         F.col("g.epochs") + F.when(F.coalesce(sampled, F.lit(False)), 1).otherwise(0)
     ).cast("long")
 
 
 def _with_plan(rows: DataFrame, plans: DataFrame) -> DataFrame:
+    """``rows`` with their source's plan as struct ``g``."""
+    g = plans.select(F.col("source").alias("g_source"), F.struct("source_size", "target", "epochs", "part", "last", "held").alias("g"))
+    mine = F.col("source").eqNullSafe(F.col("g_source"))
+    if plans.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(g), mine, "left")
     # a source may hold any share of the rows: its one row is repeated per salt, its documents are dealt over the salts
-    g = plans.select(
-        F.col("source").alias("g_source"), F.struct("source_size", "target", "epochs", "part", "last").alias("g"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("g_salt"),
-    )
+    g = g.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    return rows.join(g, F.col("source").eqNullSafe(F.col("g_source")) & (salt == F.col("g_salt")), "left")
+    return rows.join(g, mine & (salt == F.col("g_salt")), "left")
+
+
+def _numbered(ties: DataFrame) -> DataFrame:
+    """Tied rows (with ``h``) with nth, their number in their source by ``h``.
+
+    Rows of one ``h`` are equal and numbered in blocks, those of a task, so no source or document is one group.
+    """
+    rows = cut(ties.withColumn("block", F.spark_partition_id()))
+    block = ["g_source", "h", "block"]
+    counts = rows.groupBy(*block).agg(F.count("*").alias("k"))
+    before = Window.partitionBy("g_source").orderBy("h", "block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select(
+        F.col("g_source").alias("o_source"), F.col("h").alias("o_h"), F.col("block").alias("o_block"),
+        F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"),
+    )
+    own = F.row_number().over(Window.partitionBy(*block).orderBy("h"))
+    same = F.col("g_source").eqNullSafe(F.col("o_source")) & (F.col("h") == F.col("o_h")) & (F.col("block") == F.col("o_block"))
+    return rows.withColumn("own", own).join(ahead, same).withColumn("nth", F.col("ahead") + F.col("own")).drop(
+        "own", "ahead", "block", "o_source", "o_h", "o_block"
+    )
+
+
+def placed(rows: DataFrame, tied: DataFrame, plans: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``rows`` (source, doc_id, size, key, h) with ``g`` and copies, how often each is taken.
+
+    ``tied`` has the same rows, or those of them that have a source's last doc_id at least.
+    """
+    ties = _numbered(_with_plan(tied, plans).filter(_tied()))
+    others = _with_plan(rows, plans).filter(~_tied()).withColumn("nth", F.lit(None).cast("long"))
+    if "g_salt" in others.columns:
+        others, ties = others.drop("g_salt"), ties.drop("g_salt")
+    return others.unionByName(ties).withColumn("copies", copies_of(ranges))
 
 
 def op9(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     rows = cut(keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "size", "key"))
-    return _with_plan(rows, plan(rows)).select(
+    plans = cut(plan(rows))
+    # rows of one document and size give equal results, whichever of them are taken
+    rows = rows.withColumn("h", F.lit(0).cast("long"))
+    return placed(rows, rows, plans).select(
         "doc_id", "size", F.col("g.source_size").alias("source_size"), F.col("g.target").alias("target"),
-        (copies_of() * F.col("size")).alias("taken"),
+        (F.col("copies") * F.col("size")).alias("taken"),
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Each row as often as the mix takes it."""
-    sized = keyed(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text"))
-    plans = plan(cut(sized.select("doc_id", "source", "size", "key")))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), copies_of()))
-    rows = _with_plan(sized.drop("text"), plans)
-    return rows.filter(copies_of() > 0).select("row", times.alias("time")).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text", F.xxhash64(*docs.columns).alias("h"))
+    plans = cut(plan(cut(keyed(rows.select("doc_id", "source", "text")).select("doc_id", "source", "size", "key"))))
+    lasts = plans.select(F.col("source").alias("l_source"), F.col("last.doc_id").alias("l_id"))
+    lasts = F.broadcast(lasts) if plans.count() <= FEW_SOURCES else lasts
+    same = F.col("source").eqNullSafe(F.col("l_source")) & F.col("doc_id").eqNullSafe(F.col("l_id"))
+    # words are counted for all rows once here, and again only for rows of the last documents
+    tied = keyed(rows.join(lasts, same, "left_semi")).drop("text")
+    found = placed(keyed(rows).drop("text"), tied, plans).filter(F.col("copies") > 0)
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""

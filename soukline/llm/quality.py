@@ -1,8 +1,11 @@
 """Quality rules with adaptive thresholds.
 
 Every text is measured once per pass. Integer measures go into histograms with logarithmic buckets (a quantile sketch:
-relative error at most 1/32, merged by adding counts) per language and source; fences come from the quartiles of the
-group's own sketch, of its language's where the group is small, and of all documents where that is small too.
+relative error at most 1/32, merged by adding counts) per language and source. A group's sketch has its language's added to it as if
+that were PRIOR rows more, and the language's has all documents' added likewise, so a large group goes by itself, a small
+one by its language, and nothing changes at a given size. A measure's fence is an upper quantile of the blended sketch
+and a multiple of its distance to the third quartile, or of an eighth of itself if that is more (likewise below, where low
+values are bad, too); there is no fixed cutoff and no constant slack.
 
 Defined results: a null or empty text has no words, fails the base rule and is not kept. Null lang or source are
 groups of their own. Repeated rows are measured one by one and count as often as they occur. An empty table gives an
@@ -19,18 +22,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from soukline.llm.common import cut
 from soukline.llm.words import SPACE, Texts, hashes, mix, slices, with_columns
 
 MIN_WORDS = 50
-MIN_GROUP = 200
-FENCE = 3
+PRIOR = 50
+NARROW = 8
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-# Measure: (numerator, denominator, scale, slack added beyond the fence, whether a low value is bad too).
+# Measure: (numerator, denominator, scale, upper quantile per mille, multiple of its distance to the third quartile,
+# whether a low value is bad too). Symbols are junk where nine of ten texts have none; repeated lines also occur in
+# good texts, so their fence lies farther out.
 MEASURES = {
-    "repeat_share": ("n_repeat_words", "n_words", 1000, 300, False),
-    "symbol_share": ("n_symbols", "word_chars", 1000, 50, False),
-    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 400, False),
-    "word_length": ("word_chars", "n_words", 100, 100, True),
+    "repeat_share": ("n_repeat_words", "n_words", 1000, 950, 1, False),
+    "symbol_share": ("n_symbols", "word_chars", 1000, 900, 3, False),
+    "dup_line_share": ("n_dup_lines", "n_lines", 1000, 990, 1, False),
+    "word_length": ("word_chars", "n_words", 100, 950, 2, True),
 }
 
 SYMBOL = np.zeros(256, dtype=bool)
@@ -84,7 +90,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def value_of(measure: str) -> Column:
-    top, bottom, scale, _, _ = MEASURES[measure]
+    top, bottom, scale, *_ = MEASURES[measure]
     return F.expr(f"CASE WHEN {bottom} > 0 THEN {scale} * {top} DIV {bottom} ELSE 0 END")
 
 
@@ -118,32 +124,51 @@ def sketches(counts: DataFrame) -> DataFrame:
 def fences(counts: DataFrame) -> DataFrame:
     """One row per (lang, source) with a low and a high fence for each measure.
 
-    A quartile is the lower edge of the first bucket that reaches it.
+    A quantile is the lower edge of the first bucket that reaches it in the blended sketch.
     """
-    merged = sketches(counts)
-    group = ["level", "lang", "source"]
-    w = Window.partitionBy(*group, "measure")
-    upto = merged.withColumn("upto", F.sum("n").over(w.orderBy("edge"))).withColumn("all", F.sum("n").over(w))
-    found = upto.groupBy(*group, "measure").agg(
-        F.min(F.when(F.expr("4 * upto >= `all`"), F.col("edge"))).alias("q1"),
-        F.min(F.when(F.expr("4 * upto >= 3 * `all`"), F.col("edge"))).alias("q3"),
-        F.max("all").alias("rows"),
+    merged = cut(sketches(counts))
+    order = Window.partitionBy("measure").orderBy("edge")
+    every = Window.partitionBy("measure")
+    # the sketch of all documents: a few hundred buckets a measure, whatever the input
+    whole = merged.filter("level = 0").select(
+        "measure", "edge", (F.sum("n").over(order).cast("double") / F.sum("n").over(every)).alias("above")
     )
-    columns = [F.max("rows").alias("rows")]
-    for m, (_, _, _, slack, low) in MEASURES.items():
-        spread = FENCE * (F.col("q3") - F.col("q1")) + slack
-        mine = F.col("measure") == m
-        columns.append(F.max(F.when(mine, F.col("q3") + spread)).alias(f"{m}_high"))
-        columns.append(F.max(F.when(mine, F.col("q1") - spread if low else F.lit(-1).cast("long"))).alias(f"{m}_low"))
-    rows = found.groupBy(*group).agg(*columns)
-    limits = [f"{m}_{side}" for m in MEASURES for side in ("high", "low")]
-    own = rows.filter("level = 2").select("lang", "source", F.struct("rows", *limits).alias("own"))
-    lang = rows.filter("level = 1").select(F.col("lang").alias("l"), F.struct("rows", *limits).alias("wide"))
-    whole = rows.filter("level = 0").select(F.struct("rows", *limits).alias("whole"))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("whole", whole.scalar())
-    pick = F.expr(f"CASE WHEN own.rows >= {MIN_GROUP} THEN own WHEN wide.rows >= {MIN_GROUP} THEN wide ELSE whole END")
-    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), pick.alias("f")).select(
-        "f_lang", "f_source", *[F.col(f"f.{c}").alias(c) for c in limits]
+    langs = _blended(merged.filter("level = 1"), ["lang"], whole.withColumn("lang", F.lit(None).cast("string")), [])
+    groups = _blended(merged.filter("level = 2"), ["lang", "source"], langs, ["lang"])
+    limits = []
+    for m, (_, _, _, high, times, low) in MEASURES.items():
+        def quantile(per_mille: int) -> Column:
+            return F.min(F.when((F.col("measure") == m) & (F.col("share") * 1000 >= per_mille), F.col("edge")))
+
+        up, down = quantile(high), quantile(1000 - high)
+        # equal or nearly equal texts leave no distance: an eighth of the quantile at least
+        above = F.greatest(up - quantile(750), F.floor(up / NARROW))
+        below = F.greatest(quantile(250) - down, F.floor(down / NARROW))
+        limits.append((up + times * above).alias(f"{m}_high"))
+        limits.append((down - times * below if low else F.lit(-1).cast("long")).alias(f"{m}_low"))
+    shares = groups.withColumnRenamed("above", "share")
+    return shares.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(*limits)
+
+
+def _blended(cells: DataFrame, keys: list[str], parent: DataFrame, shared: list[str]) -> DataFrame:
+    """keys, measure, edge, above: the share of a group's blended sketch up to each of the parent's buckets.
+
+    ``parent`` has measure, edge, above and, where ``shared``, its own keys.
+    """
+    groups = cells.groupBy(*keys, "measure").agg(F.sum("n").alias("rows"))
+    up = parent.select(*[F.col(k).alias(f"p_{k}") for k in shared], F.col("measure").alias("m"), F.col("edge").alias("e"), "above")
+    same = F.col("measure") == F.col("m")
+    for k in shared:
+        same = same & F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    # without keys of its own the parent has a few hundred rows
+    grid = groups.join(up if shared else F.broadcast(up), same)
+    own = cells.select(*[F.col(k).alias(f"o_{k}") for k in keys], F.col("measure").alias("o_m"), F.col("edge").alias("o_e"), "n")
+    hit = (F.col("m") == F.col("o_m")) & (F.col("e") == F.col("o_e"))
+    for k in keys:
+        hit = hit & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(*keys, "measure").orderBy("e")).cast("double")
+    return grid.join(own, hit, "left").select(
+        *keys, "measure", F.col("e").alias("edge"), ((upto + PRIOR * F.col("above")) / (F.col("rows") + float(PRIOR))).alias("above")
     )
 
 
@@ -212,27 +237,36 @@ cells AS (
     CASE WHEN v < 64 THEN v ELSE v - v % (1::BIGINT << (length(bin(v)) - 6)) END AS edge
   FROM (SELECT lang, source, unnest([1, 2, 3, 4]) AS m, unnest([v1, v2, v3, v4]) AS v FROM measures),
     (SELECT unnest([0, 1, 2]) AS level)),
-upto AS (
-  SELECT level, lang, source, m, edge, sum(rows) OVER (PARTITION BY level, lang, source, m ORDER BY edge) AS n,
-    sum(rows) OVER (PARTITION BY level, lang, source, m) AS total
-  FROM (SELECT level, lang, source, m, edge, count(*) AS rows FROM cells GROUP BY ALL)),
-quartiles AS (
-  SELECT level, lang, source, m, max(total) AS total, min(edge) FILTER (4 * n >= total) AS q1,
-    min(edge) FILTER (4 * n >= 3 * total) AS q3
-  FROM upto GROUP BY ALL),
+grouped AS (SELECT level, lang, source, m, edge, count(*) AS n FROM cells GROUP BY ALL),
+whole AS (
+  SELECT m, edge, sum(n) OVER (PARTITION BY m ORDER BY edge)::DOUBLE / sum(n) OVER (PARTITION BY m) AS above
+  FROM grouped WHERE level = 0),
+langs AS (
+  SELECT g.lang, g.m, w.edge, (sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.m ORDER BY w.edge)::DOUBLE + 50 * above)
+    / (g.total + 50::DOUBLE) AS above
+  FROM (SELECT lang, m, sum(n) AS total FROM grouped WHERE level = 1 GROUP BY ALL) g JOIN whole w USING (m)
+  LEFT JOIN grouped c ON c.level = 1 AND c.lang IS NOT DISTINCT FROM g.lang AND c.m = g.m AND c.edge = w.edge),
+shares AS (
+  SELECT g.lang, g.source, g.m, w.edge, 1000 * ((sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source, g.m ORDER BY w.edge)::DOUBLE
+    + 50 * above) / (g.total + 50::DOUBLE)) AS s
+  FROM (SELECT lang, source, m, sum(n) AS total FROM grouped WHERE level = 2 GROUP BY ALL) g
+  JOIN langs w ON w.lang IS NOT DISTINCT FROM g.lang AND w.m = g.m
+  LEFT JOIN grouped c ON c.level = 2 AND c.lang IS NOT DISTINCT FROM g.lang AND c.source IS NOT DISTINCT FROM g.source
+    AND c.m = g.m AND c.edge = w.edge),
+quantiles AS (
+  SELECT lang, source, m, min(edge) FILTER (s >= 50) AS q05, min(edge) FILTER (s >= 250) AS q25, min(edge) FILTER (s >= 750) AS q75,
+    min(edge) FILTER (s >= 900) AS q90, min(edge) FILTER (s >= 950) AS q95, min(edge) FILTER (s >= 990) AS q99
+  FROM shares GROUP BY ALL),
 limits AS (
-  SELECT level, lang, source, max(total) AS total,
-    max(q3 + 3 * (q3 - q1) + 300) FILTER (m = 1) AS h1, max(q3 + 3 * (q3 - q1) + 50) FILTER (m = 2) AS h2,
-    max(q3 + 3 * (q3 - q1) + 400) FILTER (m = 3) AS h3, max(q3 + 3 * (q3 - q1) + 100) FILTER (m = 4) AS h4,
-    max(q1 - 3 * (q3 - q1) - 100) FILTER (m = 4) AS l4
-  FROM quartiles GROUP BY ALL),
+  SELECT lang, source, max(q95 + 1 * greatest(q95 - q75, q95 // 8)) FILTER (m = 1) AS h1,
+    max(q90 + 3 * greatest(q90 - q75, q90 // 8)) FILTER (m = 2) AS h2,
+    max(q99 + 1 * greatest(q99 - q75, q99 // 8)) FILTER (m = 3) AS h3,
+    max(q95 + 2 * greatest(q95 - q75, q95 // 8)) FILTER (m = 4) AS h4,
+    max(q05 - 2 * greatest(q25 - q05, q05 // 8)) FILTER (m = 4) AS l4
+  FROM quantiles GROUP BY ALL),
 judged AS (
-  SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CASE WHEN a.total >= 200 THEN a WHEN b.total >= 200 THEN b ELSE z END AS f
-  FROM measures c
-  JOIN limits a ON a.level = 2 AND a.lang IS NOT DISTINCT FROM c.lang AND a.source IS NOT DISTINCT FROM c.source
-  JOIN limits b ON b.level = 1 AND b.lang IS NOT DISTINCT FROM c.lang
-  JOIN limits z ON z.level = 0),
+  SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, f
+  FROM measures c JOIN limits f ON f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source),
 reasons AS (
   SELECT *, CASE WHEN base_failed THEN 'base' WHEN v1 > f.h1 THEN 'repeat_share' WHEN v2 > f.h2 THEN 'symbol_share'
     WHEN v3 > f.h3 THEN 'dup_line_share' WHEN v4 > f.h4 OR v4 < f.l4 THEN 'word_length' END AS reject_reason

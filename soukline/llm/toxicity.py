@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from soukline.llm.common import first_by_hash
+from soukline.llm.common import first_by_hash, one_each
 from soukline.llm.words import BREAK, LOWER, Texts, hashes, mix, slices, with_columns
 
 BITS = 22
 PER_CLASS = 4000
 EPOCHS = 2
 RATE, SMOOTH, L1, L2 = 0.3, 1.0, 10.0, 1.0
-MAX_WEIGHTS = 1 << 20
+# A rare class weighs at most so much a row, or a handful of rows would drive the rates.
+MOST_WEIGHT = 4.0
 GAPS = (1, 2, 3)
 FOLDS, HELD_OUT = 5, 0
 
@@ -73,11 +74,9 @@ class Ftrl:
         self.n[ids] = n + slope * slope
 
     def model(self) -> tuple[np.ndarray, np.ndarray]:
-        """Coordinates and weights that are not zero, the heaviest MAX_WEIGHTS at most."""
+        """Coordinates and weights that are not zero; a few MB, and 50 MB if none of the 2 ** BITS were zero."""
         ids = np.flatnonzero(np.abs(self.z) > np.where(np.arange(len(self.z)) == 1 << BITS, 0, self.l1))
-        w = self.weights(ids)
-        top = np.sort(np.argsort(-np.abs(w), kind="stable")[:MAX_WEIGHTS])
-        return ids[top], w[top]
+        return ids, self.weights(ids)
 
 
 def _sigmoid(x):
@@ -89,17 +88,21 @@ def held_out():
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(label, weight, turn, ids): the learning rows; ``turn`` orders the stream, classes weigh the same in all."""
+    """(label, weight, pick, doc_id, ids): the learning rows, at most per_class of each label; ``pick`` orders the stream.
+
+    A chosen document that occurs several times is one row. Classes weigh the same in all, but for MOST_WEIGHT.
+    """
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     chosen = first_by_hash(marked, "label", "doc_id", per_class)
     every = Window.partitionBy("label")
     chosen = chosen.withColumn("weight", F.lit(per_class / 2) / F.count("*").over(every))
-    chosen = chosen.withColumn("weight", F.least("weight", F.lit(4.0)))
+    chosen = chosen.withColumn("weight", F.least("weight", F.lit(MOST_WEIGHT)))
     # at most per_class rows of each class
     rows = docs.select("doc_id", "text").join(
         F.broadcast(chosen.select(F.col("doc_id").alias("l_id"), "label", "weight", "pick")), F.col("doc_id") == F.col("l_id")
     )
+    rows = one_each(rows, ["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):

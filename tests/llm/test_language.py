@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from soukline.llm import language
+from soukline.llm.common import one_each
 from soukline.llm.words import Texts
 
 EN = "the house and river with some bread under this old bridge where they walk".split()
@@ -70,3 +71,13 @@ def test_odd_rows(odd, empty, documents):
     assert language.op7(empty).collect() == []
     none = documents([(1, "some text", None), (2, "more text", None)])
     assert {(r.lang_pred, r.score) for r in language.op7(none).collect()} == {("und", 0.0)}
+
+
+def test_a_repeated_document_is_one_learning_row(spark, documents, monkeypatch):
+    seen = []
+    rows = [(k, t, lang) for k, t, lang in corpus(40)]
+    docs = documents(rows + [rows[5]] * 2000 + [rows[6]] * 500)
+    monkeypatch.setattr(language, "one_each", lambda df, keys: seen.append((df.count(), one_each(df, keys))) or seen[-1][1])
+    language.train(docs, per_label=40)
+    before, after = seen[0]
+    assert before > 500 and after.count() == len({r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2})

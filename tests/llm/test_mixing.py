@@ -49,9 +49,9 @@ def test_targets_and_taken(documents):
 
 
 def test_ranges_do_not_change_the_sample(documents):
-    docs = mixing.keyed(documents(rows_for(500)).select("doc_id", "source", "text")).drop("text").cache()
+    docs = mixing.keyed(documents(rows_for(500)).select("doc_id", "source", "text")).selectExpr("doc_id", "source", "size", "key", "0L AS h").cache()
     taken = [
-        sorted(map(tuple, mixing._with_plan(docs, mixing.plan(docs, n)).select("doc_id", mixing.copies_of(n)).collect()))
+        sorted(map(tuple, mixing.placed(docs, docs, mixing.plan(docs, n), n).select("doc_id", "copies").collect()))
         for n in (1, 7, 1024)
     ]
     assert taken[0] == taken[1] == taken[2] and {n for _, n in taken[0]} == {0, 1, 2}
@@ -86,3 +86,19 @@ def test_odd_rows(odd, empty):
         taken[r.doc_id] += r.taken // r.size if r.size else 0
     assert dict(times) == {k: v for k, v in taken.items() if v}
     assert mixing.op9(empty).collect() == [] and mixing.mixed(empty).collect() == []
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_repeated_rows_are_taken_as_far_as_they_fit(documents, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    docs = documents([(1, "two words", "en", "a")] * 1000 + [(2, "word", "en", "a")] + [(3, "x y z", k, None) for k in ("en", "de", "fr")] * 5)
+    out = mixing.op9(docs).collect()
+    for source, ids in (("a", (1, 2)), (None, (3,))):
+        rows = [r for r in out if r.doc_id in ids]
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 3
+        assert all(r.taken <= 2 * r.size for r in rows)
+    taken = sorted((r.doc_id, r.taken // r.size) for r in out)
+    mix = mixing.mixed(docs).collect()
+    assert len(mix) == sum(n for _, n in taken)
+    # rows of one document that differ elsewhere: the same ones are taken in every run
+    assert sorted(map(str, mix)) == sorted(map(str, mixing.mixed(docs.repartition(7)).collect()))

@@ -59,3 +59,29 @@ def test_filter_keeps_columns_and_clean_rows(odd, empty):
     assert kept.columns == odd.columns
     assert {r.doc_id for r in kept.collect()} >= {20, 21, 22, None}
     assert quality.keep_good(empty).collect() == [] and quality.op10(empty).collect() == []
+
+
+def fence_of(docs, lang, source):
+    rows = quality.fences(quality.measured(docs.select("text", "lang", "source"), ["lang", "source"])).collect()
+    return {(r.f_lang, r.f_source): r for r in rows}[lang, source]
+
+
+def test_fences_do_not_jump_at_any_group_size(documents):
+    bulk = [(k, clean(k), "en", "news") for k in range(300)]
+    highs = []
+    for n in (195, 199, 200, 201, 205):
+        some = [(1000 + k, clean(k) + " #" * (k % 40), "en", "forum") for k in range(n)]
+        highs.append(fence_of(documents(bulk + some), "en", "forum").symbol_share_high)
+    assert max(highs) - min(highs) <= 0.1 * max(highs)
+
+
+def test_groups_of_different_texts_have_different_fences(documents):
+    def page(k, marks, repeats):
+        return clean(k) + " #" * marks + "\n" + "again and again\n" * repeats
+
+    rows = [(k, page(k, 10 + k % 30, 1 + k % 6), "en", "forum") for k in range(600)]
+    rows += [(1000 + k, page(k % 600, k % 20 == 0, 1), "en", "news") for k in range(5000)]
+    docs = documents(rows)
+    forum, news = fence_of(docs, "en", "forum"), fence_of(docs, "en", "news")
+    assert forum.symbol_share_high > 2 * news.symbol_share_high
+    assert forum.dup_line_share_high > 2 * news.dup_line_share_high

@@ -54,3 +54,11 @@ def test_odd_rows(spark, odd, empty):
     assert len(out) == odd.count() and len({r.score for r in out if r.doc_id in (1, 2, 3)}) == 1
     assert toxicity.op1(empty, labels).collect() == []
     assert {r.score for r in toxicity.op1(odd, labels.filter("toxic = 1")).collect()} == {0.0}
+
+
+def test_a_repeated_document_is_one_learning_row(spark, documents):
+    rows = [(k, clean(k)) for k in range(30)]
+    docs = documents(rows + [(3, clean(3))] * 3000 + [(3, "other text")])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, per_class=4).collect()
+    assert len(got) <= 8 and len({r.doc_id for r in got}) == len(got)
