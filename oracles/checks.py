@@ -172,4 +172,34 @@ ORACLES = {
     "s6_named_views": sql("SELECT order_status, count(*) AS orders FROM b_orders JOIN b_customers USING (customer_id) GROUP BY 1"),
     "s8_monthly_refresh": sql("SELECT purchase_month, count(*) AS rows, sum(total_value)::DOUBLE AS value FROM fact GROUP BY 1"),
     "s9_daily_landing": "SELECT year(ts)::INT AS year, month(ts)::INT AS month, day(ts)::INT AS day, count(*) AS events FROM events GROUP BY ALL",
+    "s5_bucketed_sales": sql("""SELECT * FROM (
+      SELECT 'state' AS dimension, customer_state AS name, count(*) AS items, sum(total_value)::DOUBLE AS value
+        FROM i JOIN o_done USING (order_id) JOIN (SELECT customer_unique_id, arg_max(customer_state, (bought, order_id)) AS customer_state
+          FROM b_orders JOIN b_customers USING (customer_id) GROUP BY 1) ON customer_unique_id = (
+            SELECT customer_unique_id FROM b_customers c WHERE c.customer_id = o_done.customer_id) GROUP BY ALL
+      UNION ALL SELECT 'category_name', coalesce(product_category_name_english, p2.product_category_name, 'unknown'), count(*), sum(total_value)::DOUBLE
+        FROM i JOIN o_done USING (order_id) JOIN b_products p2 USING (product_id)
+          LEFT JOIN b_translation tr ON tr.product_category_name = p2.product_category_name GROUP BY ALL)"""),
+    "s8_refreshed_months": sql("""SELECT purchase_month, count(*) AS orders, sum(order_total_value)::DOUBLE AS value
+      FROM o_done JOIN amount USING (order_id) GROUP BY 1"""),
+    "z8_checked_write": sql("""SELECT measure, counted, CASE WHEN measure = 'quarantined' THEN counted END AS stored, kept, true AS order_id_near_unique FROM (
+      SELECT unnest([{measure: 'rows', counted: count(*)}, {measure: 'quarantined', counted: count(*) FILTER (a OR b OR c OR d OR e OR f)},
+        {measure: 'order_id not null', counted: count(*) FILTER (a)}, {measure: 'order_purchase_timestamp not null', counted: count(*) FILTER (b)},
+        {measure: 'order_delivered_customer_date not null', counted: count(*) FILTER (c)}, {measure: 'customer_id in customer_id', counted: count(*) FILTER (d)},
+        {measure: 'delivered as promised', counted: count(*) FILTER (e)}, {measure: 'carrier within a week', counted: count(*) FILTER (f)}], recursive := true),
+        count(*) FILTER (NOT (a OR b OR c OR d OR e OR f)) AS kept
+      FROM (SELECT order_id IS NULL AS a, bought IS NULL AS b, arrived IS NULL AS c, k IS NULL AND x.customer_id IS NOT NULL AS d,
+          coalesce(arrived > promised, false) AS e, coalesce(date_diff('day', bought, handed) > 7, false) AS f
+        FROM b_orders x LEFT JOIN (SELECT DISTINCT customer_id AS k FROM b_customers) ON k = x.customer_id))"""),
+    "a2_customers_by_state_check": sql("""SELECT customer_state, count(DISTINCT customer_unique_id) AS customers, true AS within
+      FROM po JOIN amount USING (order_id) GROUP BY 1"""),
+    "a2_customers_by_month_check": sql("""SELECT purchase_month, count(DISTINCT customer_unique_id) AS customers, true AS within
+      FROM po JOIN amount USING (order_id) GROUP BY 1"""),
+    "p12_order_value_check": sql("SELECT customer_state, count(*) AS orders, true AS within FROM po JOIN amount USING (order_id) GROUP BY 1"),
+    "a1_place_rollup": sql("""SELECT customer_state, customer_city, CASE grouping(customer_state) + grouping(customer_city) WHEN 0 THEN 'city' WHEN 1 THEN 'state' ELSE 'all' END AS level,
+      count(*) AS orders, count(DISTINCT customer_unique_id) AS customers, sum(order_total_value)::DOUBLE AS value
+      FROM po JOIN amount USING (order_id) GROUP BY ROLLUP (customer_state, customer_city)"""),
+    "a1_calendar_rollup": sql("""SELECT purchase_year, purchase_month, CASE grouping(purchase_year) + grouping(purchase_month) WHEN 0 THEN 'month' WHEN 1 THEN 'year' ELSE 'all' END AS level,
+      count(*) AS orders, count(DISTINCT customer_unique_id) AS customers, sum(order_total_value)::DOUBLE AS value
+      FROM po JOIN amount USING (order_id) GROUP BY ROLLUP (purchase_year, purchase_month)"""),
 }

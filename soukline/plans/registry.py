@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soukline.operators import cleaning, marts, measures, quality, rollups, star
+from soukline.operators import cleaning, marts, measures, quality, rollups, star, summaries
 from soukline.plans import explore, growth, lifecycle, live, modelling, storage, trading
 from soukline.sources.tables import Tables
 
@@ -225,6 +225,15 @@ STORAGE: dict[str, Query] = {
     "s5_star_tables": storage.star_tables,
     "s6_named_views": storage.named_views,
     "s6_mart_views": storage.mart_views,
+    "s5_bucketed_sales": storage.bucketed_sales,
+    "s8_refreshed_months": storage.refreshed_months,
+    "z8_checked_write": storage.checked_write,
+    "a2_customers_by_state_check": lambda t: summaries.distinct_check(t, summaries.order_cells(t), ["customer_state"]),
+    "a2_customers_by_month_check": lambda t: summaries.distinct_check(t, summaries.order_cells(t), ["purchase_month"]),
+    "p12_order_value_check": lambda t: summaries.quantile_check(t, summaries.order_cells(t), ["customer_state"]),
+    "a2_summaries_beside_exact": lambda t: summaries.exact_and_estimated(t, summaries.order_cells(t), ["customer_state"]),
+    "a1_place_rollup": summaries.place_rollup,
+    "a1_calendar_rollup": summaries.calendar_rollup,
     "s8_monthly_refresh": storage.monthly_refresh,
     "s9_daily_landing": lambda t: storage.daily_landing(t.scan("events")),
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from soukline.functions import clock
 from soukline.operators import cleaning, marts, rollups, star
 from soukline.session import cut, scratch_path
-from soukline.sources import readers, sinks
+from soukline.sources import guarded, readers, sinks
 from soukline.sources.tables import SCHEMAS, Tables
 
 
@@ -175,3 +176,81 @@ def daily_landing(events: DataFrame) -> DataFrame:
     return events.sparkSession.read.parquet(path).groupBy("year", "month", "day").agg(
         F.count(F.lit(1)).alias("events")
     )
+
+
+def bucketed_sales(t: Tables, buckets: int = 8) -> DataFrame:
+    """The fact and two dimensions stored in buckets of their key, joined and summed: no join shuffles."""
+    spark = t.items.sparkSession
+    path = scratch_path(spark, "buckets")
+    database = "souk_" + path.rsplit("-", 1)[1]
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{path}'")
+    people = star.dim_customer(t, one_row_per_person=True).select("customer_key", "state")
+    guarded.write_bucketed(people, f"{database}.dim_customer", "customer_key", buckets)
+    guarded.write_bucketed(star.dim_product(t).select("product_key", "category_name"), f"{database}.dim_product", "product_key", buckets)
+    fact = cut(star.fact_sales(t).select("customer_key", "product_key", "total_item_value"))
+    for key in ("customer", "product"):
+        guarded.write_bucketed(fact, f"{database}.fact_by_{key}", f"{key}_key", buckets)
+    totals = cut(_bucketed_totals(spark, database))
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    return totals
+
+
+def bucketed_joins(spark, database: str) -> dict[str, DataFrame]:
+    """The fact joined to each dimension, both sides in the same buckets."""
+    joins = {}
+    for key, column in (("customer", "state"), ("product", "category_name")):
+        fact, dim = spark.table(f"{database}.fact_by_{key}"), spark.table(f"{database}.dim_{key}")
+        joins[column] = fact.join(dim, f"{key}_key")
+    return joins
+
+
+def _bucketed_totals(spark, database: str) -> DataFrame:
+    out = None
+    for column, joined in bucketed_joins(spark, database).items():
+        part = joined.groupBy(F.col(column).alias("name")).agg(
+            F.count(F.lit(1)).alias("items"), F.sum("total_item_value").cast("double").alias("value")
+        ).withColumn("dimension", F.lit(column))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def refreshed_months(t: Tables) -> DataFrame:
+    """Monthly figures of purchases that land in two batches; the second rewrites only the months it brings rows for."""
+    spark, path = t.items.sparkSession, scratch_path(t.items.sparkSession, "months")
+    amounts = rollups.delivered_amounts(t).select("order_id", "purchase_month", "order_total_value")
+    # what the ingestion's log holds: the last month and corrections to one order in a hundred of the first come later
+    last = amounts.select(F.max("purchase_month")).scalar()
+    first = amounts.select(F.min("purchase_month")).scalar()
+    late = (F.col("purchase_month") == last) | ((F.col("purchase_month") == first) & (F.pmod(F.crc32(F.col("order_id").cast("binary")), F.lit(100)) == 0))
+    log = cut(amounts.withColumn("batch", F.when(late, 1).otherwise(0)))
+
+    def figures(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("purchase_month").agg(
+            F.count(F.lit(1)).alias("orders"), F.sum("order_total_value").cast("double").alias("value"),
+            F.max("batch").alias("last_batch"),
+        )
+
+    guarded.refresh_changed(figures(log.filter("batch = 0")), guarded.changed_months(log.filter("batch = 0"), -1, F.col("purchase_month")), path)
+    guarded.refresh_changed(figures(log), guarded.changed_months(log, 0, F.col("purchase_month")), path)
+    schema = "orders long, value double, last_batch int, purchase_month date"
+    return spark.read.schema(schema).parquet(path).select("purchase_month", "orders", "value")
+
+
+def checked_write(t: Tables) -> DataFrame:
+    """Orders written once with their tests: what the write counted, beside what is in the two parts."""
+    spark, path = t.items.sparkSession, scratch_path(t.items.sparkSession, "checked")
+    arrived, promised = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
+    rules = guarded.Rules(
+        required=("order_id", "order_purchase_timestamp", "order_delivered_customer_date"),
+        keys=(("customer_id", t.customers, "customer_id"),),
+        tests=(("delivered as promised", F.coalesce(arrived <= promised, F.lit(True))),
+               ("carrier within a week", F.coalesce(clock.calendar_days(F.col("order_delivered_carrier_date"), F.col("order_purchase_timestamp")) <= 7, F.lit(True)))),
+        unique=("order_id",),
+    )
+    told = guarded.write_checked(t.orders, path, rules)
+    rows = [(k, int(v)) for k, v in told.items() if not k.endswith("different")]
+    counted = spark.createDataFrame(rows, "measure string, counted long")
+    parts = guarded.quarantine(spark, path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(guarded.FAULT).alias("measure"), F.col("n").alias("stored"))
+    kept = guarded.good_rows(spark, path).agg(F.count(F.lit(1)).alias("n"))
+    near = F.lit(abs(told["order_id different"] - told["rows"]) <= 0.05 * told["rows"] + 1)
+    return counted.join(parts, "measure", "left").withColumn("kept", kept.scalar()).withColumn("order_id_near_unique", near)
