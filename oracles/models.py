@@ -31,10 +31,25 @@ ORACLES = {
             f"{rnd(f'coalesce(({c} - (SELECT avg({c}) FROM cf)) / nullif((SELECT stddev_pop({c}) FROM cf), 0), 0)', 6)} AS z_{c}" for c in COLUMNS
         ) + " FROM cf", ORDER_REVIEW, PERSON_REVIEW, FILLED),
     "k3_kmeans_check": sql("SELECT count(*) AS customers, 4::BIGINT AS clusters, 0::BIGINT AS misplaced FROM life"),
-    "k6_forest_check": sql(f"""SELECT count(*) AS tested, sum(is_late)::BIGINT AS late, 0::BIGINT AS outside, 1.0::DOUBLE AS importance FROM (
+    "k6_forest_check": sql(f"""SELECT count(*) AS tested, sum(is_late)::BIGINT AS late, 0::BIGINT AS outside, 1.0::DOUBLE AS importance,
+      true AS accuracy_agrees, true AS votes_agree, true AS area_agrees FROM (
       SELECT is_late, row_number() OVER (PARTITION BY is_late ORDER BY {KEY.format('order_id')}, order_id) AS k,
       count(*) OVER (PARTITION BY is_late) AS n FROM po) WHERE k <= ceil(n * 0.3::DOUBLE)"""),
-    "k12_audience_check": "SELECT 0::BIGINT AS repeated, 0::BIGINT AS strangers",
+    "k12_audience_check": sql("""SELECT count(*) AS customers, true AS parted, 0::BIGINT AS repeated, 0::BIGINT AS misplaced, 0::BIGINT AS strangers
+      FROM repeat_rows""", ORDER_REVIEW, PROFILE, REPEAT),
+    "k2_elbow_check": sql(f"""SELECT k::INT AS k, customers, {rnd('squares', 3)} AS squares, true AS cost_is_inside, true AS falls FROM
+      (SELECT count(*) AS customers, {" + ".join(f"count(*) * (stddev_pop({c}) > 0)::INT" for c in COLUMNS)} AS squares FROM cf),
+      (SELECT unnest(range(2, 8)) AS k)""", ORDER_REVIEW, PERSON_REVIEW, FILLED),
+    "k7_lifetime_value_check": sql(f"""SELECT count(*) AS tested, {rnd('avg(total_spent)', 4)} AS mean_value, true AS error_agrees, true AS r2_agrees, 0::BIGINT AS outside
+      FROM (SELECT total_spent, row_number() OVER (ORDER BY {KEY.format('customer_unique_id')}, customer_unique_id) AS k, count(*) OVER () AS n
+      FROM repeat_rows) WHERE k <= ceil(n * 0.3::DOUBLE)""", ORDER_REVIEW, PROFILE, REPEAT),
+    "k13_scored_campaign_check": sql(f"""SELECT cs AS control_size, cr AS control_repeats, ts AS treatment_size, tr AS treatment_repeats,
+      greatest(0, tr - cr) AS incremental_repeat_purchases, {rnd('greatest(0, tr - cr) * m')} AS incremental_revenue,
+      true AS offers_follow, true AS cost_follows, true AS profit_follows FROM (
+      SELECT count(*) FILTER (NOT t) AS cs, count(*) FILTER (NOT t AND repeat_customer_flag = 1) AS cr, count(*) FILTER (t) AS ts,
+        count(*) FILTER (t AND repeat_customer_flag = 1) AS tr, sum(total_spent)::DOUBLE / count(*) AS m
+      FROM (SELECT *, row_number() OVER (ORDER BY {KEY.format('customer_unique_id')}, customer_unique_id) > floor(count(*) OVER () / 2) AS t
+        FROM repeat_rows))""", ORDER_REVIEW, PROFILE, REPEAT),
     "k4_encoded_features": sql("SELECT customer_unique_id, [" + ", ".join(f"coalesce({c}::DOUBLE, 0)" for c in REPEAT_NUMBERS) + "]"
       + "".join(f""" || list_transform((SELECT list(DISTINCT {c} ORDER BY {c}) FROM repeat_rows WHERE {c} IS NOT NULL),
         lambda v: (v IS NOT DISTINCT FROM {c})::INT::DOUBLE) || [({c} IS NULL)::INT::DOUBLE, 0]""" for c in REPEAT_NAMES)

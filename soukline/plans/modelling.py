@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soukline.functions import numbers
@@ -62,22 +63,108 @@ def kmeans_check(t: Tables, k: int = 4) -> DataFrame:
     )
 
 
+def _squares(columns: list[str]) -> Column:
+    out = F.lit(0.0)
+    for c in columns:
+        out = out + F.col(c) * F.col(c)
+    return out
+
+
+def elbow_check(t: Tables, starts: int = 2) -> DataFrame:
+    """For each k the customers, the sum of squares inside and between the clusters, and whether the cost reported is that inside.
+
+    Inside is recomputed from the stored assignment: squares about each cluster's own mean. Inside and between add up to
+    the squares of the scaled features, whatever the fit, only if every customer is assigned once. ``falls`` tells that more
+    clusters never cost more.
+    """
+    scaled = ["z_" + c for c in learning.SEGMENT_COLUMNS]
+    vectors = cut(_vectors(t).select("customer_unique_id", "features", *scaled))
+    models = learning.best_kmeans(vectors, list(range(2, 8)), starts)
+    rows, before = None, None
+    for k, model in models.items():
+        placed = cut(model.transform(vectors))
+        per = placed.groupBy("prediction").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(_squares(scaled)).alias("all"), *[F.avg(c).alias(c) for c in scaled]
+        )
+        cost = float(model.summary.trainingCost)
+        inside = F.sum(F.col("all") - F.col("n") * _squares(scaled))
+        told = per.agg(F.sum("n").alias("customers"), inside.alias("inside"), F.sum(F.col("n") * _squares(scaled)).alias("between")).select(
+            F.lit(k).alias("k"), "customers", rounded(F.col("inside") + F.col("between"), 3).alias("squares"),
+            # centres settle within a tolerance of the means
+            (F.abs(F.col("inside") - cost) <= 0.01 * F.lit(cost) + 1e-6).alias("cost_is_inside"),
+            F.lit(before is None or cost <= before * 1.02).alias("falls"),
+        )
+        before = cost
+        rows = told if rows is None else rows.unionByName(told)
+    return rows
+
+
 def forest_check(t: Tables) -> DataFrame:
-    """Of the delay model: tested rows and late ones among them, scores outside 0 to 1, and the sum of importances."""
+    """Of the delay model: tested rows and late ones among them, scores outside 0 to 1 and the sum of importances.
+
+    And whether the area under the curve and the accuracy that are reported are those that follow from the stored scores.
+    """
     fitted = learning.fit_delay(lifecycle.delivery_risk_features(t))
     weight = fitted.importances().agg(rounded(F.sum("value"), 3)).scalar()
+    scored = cut(fitted.scored.select("label", "score", "prediction"))
+    area = learning.auc(scored, "label", "score").first().auc
+    evaluated = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(scored)
+    report = {r["class"]: r.recall for r in learning.classification_report(scored, "label", "prediction").collect()}
+    hits = F.count_if(F.col("label") == F.col("prediction")) / F.count(F.lit(1))
     outside = F.count_if((F.col("score") < 0) | (F.col("score") > 1) | F.col("score").isNull())
-    return fitted.scored.agg(
-        F.count(F.lit(1)).alias("tested"), F.sum("label").cast("bigint").alias("late"), outside.alias("outside")
-    ).withColumn("importance", weight)
+    return scored.agg(
+        F.count(F.lit(1)).alias("tested"), F.sum("label").cast("bigint").alias("late"), outside.alias("outside"),
+        (F.abs(hits - report["accuracy"]) < 1e-5).alias("accuracy_agrees"),
+        # forests vote for the class whose score is one half or more
+        (F.count_if((F.col("score") > 0.5 + 1e-9) != (F.col("prediction") == 1)) <= F.count_if(F.abs(F.col("score") - 0.5) < 1e-9)).alias("votes_agree"),
+    ).withColumn("importance", weight).withColumn("area_agrees", F.lit(area is not None and abs(area - evaluated) < 1e-4))
+
+
+def lifetime_value_check(t: Tables) -> DataFrame:
+    """Of the lifetime value model: tested rows, their mean value, whether error and R2 follow from the stored predictions.
+
+    ``inside`` tells that no prediction leaves the range of the values, as means of leaves cannot.
+    """
+    rows = cut(lifecycle.repeat_features(t))
+    fitted = learning.fit_lifetime_value(rows, trees=50)
+    scored = cut(fitted.scored.select("label", "prediction"))
+    told = learning.regression_report(scored, "label", "prediction").first()
+    spread = F.var_pop("label") * F.count(F.lit(1))
+    left = F.sum((F.col("label") - F.col("prediction")) * (F.col("label") - F.col("prediction")))
+    span = rows.agg(F.min("total_spent").alias("lo"), F.max("total_spent").alias("hi")).first()
+    return scored.agg(
+        F.count(F.lit(1)).alias("tested"), rounded(F.avg("label"), 4).alias("mean_value"),
+        (F.abs(F.avg(F.abs(F.col("label") - F.col("prediction"))) - told.mae) < 1e-3).alias("error_agrees"),
+        (F.abs(F.lit(1.0) - left / spread - told.r2) < 1e-4).alias("r2_agrees"),
+        F.count_if(~F.col("prediction").between(span.lo - 1e-6, span.hi + 1e-6)).alias("outside"),
+    )
+
+
+def _propensity(t: Tables, trees: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The customers with their features, and each one's score of buying again."""
+    rows = cut(lifecycle.repeat_features(t))
+    fitted = learning.fit_repeat(rows, trees)
+    scores = learning.score(fitted.model, rows.na.fill(0, subset=learning.REPEAT_NUMBERS))
+    return rows, cut(scores.select("customer_unique_id", "score"))
 
 
 def audience_check(t: Tables) -> DataFrame:
-    """Members of the low-propensity audience, as a share of customers in whole percent, and members that are no customers."""
-    members = cut(propensity_audience(t).select("customer_unique_id"))
-    people = lifecycle.repeat_features(t).select("customer_unique_id")
-    return members.agg(F.count(F.lit(1)).alias("members"), F.countDistinct("customer_unique_id").alias("different")).select(
-        (F.col("members") - F.col("different")).alias("repeated"),
+    """Customers scored, members of the audience twice or that are no customers, and members on the wrong side of the threshold.
+
+    ``parted`` tells that audience and the others together are all customers.
+    """
+    rows, scores = _propensity(t, 50)
+    members = cut(scores.filter(F.col("score") < 0.15))
+    others = scores.filter(F.col("score") >= 0.15).select(F.count(F.lit(1))).scalar()
+    people = rows.select("customer_unique_id")
+    counted = members.agg(
+        F.count(F.lit(1)).alias("members"), F.countDistinct("customer_unique_id").alias("different"),
+        F.count_if(F.col("score").isNull() | (F.col("score") < 0) | (F.col("score") >= 0.15)).alias("misplaced"),
+    )
+    customers = people.select(F.count(F.lit(1))).scalar()
+    return counted.select(
+        customers.alias("customers"), (F.col("members") + others == customers).alias("parted"),
+        (F.col("members") - F.col("different")).alias("repeated"), "misplaced",
         members.join(people, "customer_unique_id", "left_anti").select(F.count(F.lit(1))).scalar().alias("strangers"),
     )
 
@@ -140,3 +227,32 @@ def campaign(t: Tables) -> DataFrame:
     return learning.campaign_report(
         learning.assign_arms(people, "customer_unique_id"), "score", "repeat_customer_flag", "total_spent"
     )
+
+
+def _scored_campaign(t: Tables, trees: int) -> tuple[DataFrame, DataFrame]:
+    rows, scores = _propensity(t, trees)
+    people = rows.select("customer_unique_id", "repeat_customer_flag", numbers.money(F.col("total_spent")).alias("total_spent"))
+    outcomes = cut(learning.assign_arms(people.join(scores, "customer_unique_id"), "customer_unique_id"))
+    return outcomes, learning.campaign_report(outcomes, "score", "repeat_customer_flag", "total_spent")
+
+
+def scored_campaign(t: Tables) -> DataFrame:
+    """The campaign by the repeat model's score: treated customers that are unlikely to buy again are offered the coupon."""
+    return _scored_campaign(t, 200)[1]
+
+
+def scored_campaign_check(t: Tables) -> DataFrame:
+    """Arms and repeats, which hold for any model, and whether offers, costs and profit follow from the stored scores."""
+    outcomes, report = _scored_campaign(t, 50)
+    offered = (F.col("arm") == "treatment") & (F.col("score") <= 0.15)
+    again = outcomes.agg(
+        F.count_if(offered).alias("o"), F.count_if(offered & (F.col("repeat_customer_flag") == 1)).alias("r"),
+        F.avg(F.col("total_spent").cast("double")).alias("m"),
+    ).select(F.struct("o", "r", "m")).scalar()
+    x = F.col("x")
+    return report.withColumn("x", again).select(
+        "control_size", "control_repeats", "treatment_size", "treatment_repeats", "incremental_repeat_purchases", "incremental_revenue",
+        ((F.col("targeted_customers") == x["o"]) & (F.col("redeemed_coupons") == x["r"])).alias("offers_follow"),
+        (F.abs(F.col("total_campaign_cost") - 15.0 * x["r"]) < 0.01).alias("cost_follows"),
+        (F.abs(F.col("net_profit") - F.col("incremental_repeat_purchases") * x["m"] + 15.0 * x["r"]) < 0.02).alias("profit_follows"),
+    )

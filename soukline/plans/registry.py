@@ -243,6 +243,10 @@ MODELS: dict[str, Query] = {
     "k2_kmeans_elbow": modelling.kmeans_elbow,
     "k3_customer_segments": modelling.customer_segments,
     "k3_kmeans_profiles": modelling.kmeans_profiles,
+    "k2_elbow_check": modelling.elbow_check,
+    "k7_lifetime_value_check": modelling.lifetime_value_check,
+    "k13_campaign_by_score": modelling.scored_campaign,
+    "k13_scored_campaign_check": modelling.scored_campaign_check,
     "k3_kmeans_check": modelling.kmeans_check,
     "k6_forest_check": modelling.forest_check,
     "k12_audience_check": modelling.audience_check,
