@@ -35,6 +35,10 @@ ORACLES = {
       true AS accuracy_agrees, true AS votes_agree, true AS area_agrees FROM (
       SELECT is_late, row_number() OVER (PARTITION BY is_late ORDER BY {KEY.format('order_id')}, order_id) AS k,
       count(*) OVER (PARTITION BY is_late) AS n FROM po) WHERE k <= ceil(n * 0.3::DOUBLE)"""),
+    "k6_balanced_subsample_check": sql(f"""SELECT count(*) AS tested, sum(is_late)::BIGINT AS late, 0::BIGINT AS outside, 12::INT AS even_trees,
+      true AS draws, true AS ranks FROM (
+      SELECT is_late, row_number() OVER (PARTITION BY is_late ORDER BY {KEY.format('order_id')}, order_id) AS k,
+      count(*) OVER (PARTITION BY is_late) AS n FROM po) WHERE k <= ceil(n * 0.3::DOUBLE)"""),
     "k12_audience_check": sql("""SELECT count(*) AS customers, true AS parted, 0::BIGINT AS repeated, 0::BIGINT AS misplaced, 0::BIGINT AS strangers
       FROM repeat_rows""", ORDER_REVIEW, PROFILE, REPEAT),
     "k2_elbow_check": sql(f"""SELECT k::INT AS k, customers, {rnd('squares', 3)} AS squares, true AS cost_is_inside, true AS falls FROM

@@ -256,3 +256,27 @@ def scored_campaign_check(t: Tables) -> DataFrame:
         (F.abs(F.col("total_campaign_cost") - 15.0 * x["r"]) < 0.01).alias("cost_follows"),
         (F.abs(F.col("net_profit") - F.col("incremental_repeat_purchases") * x["m"] + 15.0 * x["r"]) < 0.02).alias("profit_follows"),
     )
+
+
+def balanced_delay_check(t: Tables, trees: int = 12) -> DataFrame:
+    """Of the delay model with balanced subsamples: tested rows, late ones, trees whose classes weigh the same, draws that differ.
+
+    ``ranks`` tells that the scores order late orders no worse than chance.
+    """
+    rows = cut(lifecycle.delivery_risk_features(t))
+    _, scored = learning.fit_balanced(rows, "order_id", "is_late", learning.DELAY_NUMBERS, learning.DELAY_NAMES, trees, 8)
+    scored = cut(scored.select("label", "score"))
+    train = learning.split_rows(rows.select("order_id", "is_late"), "order_id", "is_late").filter("is_test = 0")
+    totals = learning.draw_totals(train, "order_id", "is_late", trees)
+    weights = [
+        (F.sum(F.when(F.col("is_late") == 1, w)) / F.sum(F.when(F.col("is_late") == 0, w))).alias(f"w{j}")
+        for j in range(trees) for w in [learning.tree_weight("order_id", "is_late", j, totals)]
+    ]
+    even = train.agg(*weights).select(F.size(F.filter(F.array(*[f"w{j}" for j in range(trees)]), lambda w: F.abs(w - 1) < 1e-9))).scalar()
+    area = learning.auc(scored, "label", "score").first().auc
+    return scored.agg(
+        F.count(F.lit(1)).alias("tested"), F.sum("label").cast("bigint").alias("late"),
+        F.count_if(~F.col("score").between(0, 1)).alias("outside"),
+    ).withColumn("even_trees", even).withColumn("draws", F.lit(len({tuple(t[j] for t in totals.values()) for j in range(trees)}) > 1)).withColumn(
+        "ranks", F.lit(area is not None and area >= 0.45)
+    )

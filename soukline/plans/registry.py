@@ -248,6 +248,7 @@ MODELS: dict[str, Query] = {
     "k13_campaign_by_score": modelling.scored_campaign,
     "k13_scored_campaign_check": modelling.scored_campaign_check,
     "k3_kmeans_check": modelling.kmeans_check,
+    "k6_balanced_subsample_check": modelling.balanced_delay_check,
     "k6_forest_check": modelling.forest_check,
     "k12_audience_check": modelling.audience_check,
     "k4_encoded_features": modelling.encoded_features,

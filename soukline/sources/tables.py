@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from soukline.functions.numbers import to_cents
 
+# The times of an order.
 ORDER_TIMES = [
     "order_purchase_timestamp",
     "order_approved_at",
@@ -23,6 +24,7 @@ def _schema(**columns: str) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in columns.items())
 
 
+# Public column names and types of the base tables.
 SCHEMAS: dict[str, str] = {
     "customers": _schema(
         customer_id="string", customer_unique_id="string", customer_zip_code_prefix="string",

@@ -100,3 +100,21 @@ def test_classification_report_by_hand(spark):
 def test_regression_report_by_hand(spark):
     df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5)], "y double, p double")
     assert tuple(learning.regression_report(df, "y", "p").first()) == (0.3333, 0.75, 3)
+
+
+def test_every_tree_has_its_own_draw_with_even_classes(spark, delay_rows):
+    rows = delay_rows.withColumn("label", F.col("is_late").cast("double"))
+    totals = learning.draw_totals(rows, "order_id", "label", 6)
+    assert len({tuple(t[j] for t in totals.values()) for j in range(6)}) > 1
+    for j in range(6):
+        w = learning.tree_weight("order_id", "label", j, totals)
+        sums = {r.label: r.s for r in rows.groupBy("label").agg(F.sum(w).alias("s")).collect()}
+        assert sums[0.0] == pytest.approx(sums[1.0])
+    big = spark.range(20000).select(F.col("id").cast("string").alias("k"))
+    mean = big.agg(F.avg(learning.tree_draw("k", 3)).alias("m"), F.var_pop(learning.tree_draw("k", 3)).alias("v")).first()
+    assert mean.m == pytest.approx(1, abs=0.03) and mean.v == pytest.approx(1, abs=0.06)
+
+
+def test_balanced_forest_learns(delay_rows):
+    _, scored = learning.fit_balanced(delay_rows, "order_id", "is_late", learning.DELAY_NUMBERS, learning.DELAY_NAMES, 6, 4)
+    assert learning.auc(scored, "label", "score").first().auc == 1.0 and scored.count() == 72
