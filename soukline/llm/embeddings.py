@@ -1,10 +1,12 @@
 """Embedding near-duplicates by a distributed cover tree and its dual traversal.
 
 Cosine >= 0.98 of unit vectors is a chord of at most REACH. Equal vectors (same label) are one class first, so copies
-cost nothing. Per label and dimension the classes form a tree: a node with more than LEAF_ROWS classes gives way to at
-most FANOUT children whose centres are chosen farthest first from a bounded sample of the node, until half the radius or
-FANOUT is reached (so radii need not halve, and levels are not nested);
-each class goes to the nearest centre. Every node keeps its true covering radius. The dual traversal starts with each
+cost nothing. Per label and dimension the classes form a cover tree over the radii 2, 1, 1/2, 1/4, ...: a node of
+radius r, the least of these that covers its classes, has children of radius r / 2. The levels are nested (the first child
+has the node's own centre), children's centres are more than r / 2 apart, and every class of a child is within r / 2 of its
+centre. Centres are found farthest first in a bounded sample of the node; classes that these leave uncovered give further
+centres in ROUNDS rounds. A node that FANOUT centres do not cover has no structure at this scale, and stays a leaf, like
+one of at most LEAF_ROWS classes. Every node keeps its true covering radius. The dual traversal starts with each
 root paired with itself and, level by level, drops pairs of nodes whose covering balls are more than REACH apart, takes
 pairs that lie within REACH as a whole (counts only, no distances), and replaces the rest by the pairs of their
 children. Pairs of leaves are compared vector by vector in one matrix product per pair of blocks, which leaves counts
@@ -33,10 +35,13 @@ from soukline.llm.common import connected, cut
 COSINE = 0.98
 REACH = math.sqrt(2 - 2 * COSINE)
 SLACK = 1e-9
-LEAF_ROWS = 1024
-FANOUT = 16
-SAMPLE = 512
+LEAF_ROWS = 2048
+FANOUT = 256
+SAMPLE = 4096
+ROUNDS = 3
 LEVELS = 12
+# Rows of a node that meet its centres in one task.
+TASK_ROWS = 8192
 
 NODE = "node string, parent string, centre array<double>, radius double, size long, weight long, leaf boolean"
 
@@ -74,43 +79,111 @@ def _unit(column: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def _net(points: np.ndarray, fanout: int) -> np.ndarray:
-    """Numbers of centres: farthest first, until all points are within half of the first centre's radius."""
-    picked = [0]
-    gap = np.linalg.norm(points - points[0], axis=1)
-    goal = gap.max() / 2
-    while len(picked) < fanout and gap.max() > goal:
-        picked.append(int(gap.argmax()))
-        gap = np.minimum(gap, np.linalg.norm(points - points[picked[-1]], axis=1))
+def _net(centre: np.ndarray, points: np.ndarray, goal: float, fanout: int, first: bool) -> np.ndarray | None:
+    """Centres, more than ``goal`` apart, that leave no point farther than ``goal``: farthest first; None if over ``fanout``.
+
+    The node's own centre is the first of them in the first round; later rounds have points that no centre covers.
+    """
+    picked = [centre if first else points[0]]
+    gap = np.linalg.norm(points - picked[0], axis=1)
+    while len(gap) and gap.max() > goal:
+        if len(picked) == fanout:
+            return None
+        picked.append(points[int(gap.argmax())])
+        gap = np.minimum(gap, np.linalg.norm(points - picked[-1], axis=1))
     return np.array(picked)
 
 
-def _assigned(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """(cid, node, unit, away): each class with the nearest centre of its node as its new node."""
+def _nets(pending: DataFrame, fanout: int, turn: int) -> DataFrame:
+    """(node, size, centres) of each node of ``pending`` (node, cid, unit, goal, centre) that a net covers as far as a sample shows."""
+    sizes = pending.groupBy("node").agg(F.count("*").alias("size"))
+    # about SAMPLE classes of each node, by their digest; the digest spreads evenly
+    share = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    some = pending.join(sizes, "node").filter(share * F.col("size") <= SAMPLE)
+
+    def choose(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("cid")
+        head = sample.slice(0, 1).to_pylist()[0]
+        net = _net(np.array(head["centre"]), _unit(sample.column("unit")), head["goal"], fanout, turn == 0)
+        schema = pa.schema([("node", pa.string()), ("size", pa.int64()), ("centres", pa.list_(pa.list_(pa.float64())))])
+        found = [(head["node"], head["size"], net.tolist())] if net is not None else []
+        return pa.Table.from_pylist([dict(zip(schema.names, x, strict=True)) for x in found], schema=schema)
+
+    return some.groupBy("node").applyInArrow(choose, "node string, size long, centres array<array<double>>")
+
+
+ASSIGNED = "cid long, node string, unit array<double>, weight long, goal double, centre array<double>, child int, away double"
+
+
+def _assigned(pending: DataFrame, nets: DataFrame) -> DataFrame:
+    """ASSIGNED: each class with its nearest centre's number and distance; child is null where that is over the goal.
+
+    A node's centres come once before its classes in a sorted stream, per task; large nodes are dealt over several tasks.
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col("size") / TASK_ROWS)).cast("int")
+    none = F.lit(None)
+    rows = pending.join(nets.select("node", "size"), "node").select(
+        "node", F.pmod(F.xxhash64("cid", F.lit(2)), salts).cast("int").alias("salt"), F.lit(1).alias("side"), "cid", "unit", "weight",
+        "goal", "centre", none.cast("array<array<double>>").alias("centres"),
+    )
+    heads = nets.select(
+        "node", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("side"), none.cast("long").alias("cid"),
+        none.cast("array<double>").alias("unit"), none.cast("long").alias("weight"), none.cast("double").alias("goal"),
+        none.cast("array<double>").alias("centre"), "centres",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = np.zeros((0, 0))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes, parts = np.array(batch.column(1).to_pylist()), []
-            for node in np.unique(nodes):
-                at = np.flatnonzero(nodes == node)
-                piece = batch.take(pa.array(at))
-                nets = piece.column(3)[0].as_py()
-                points = np.array(nets, dtype=np.float64)
-                unit = _unit(piece.column(2))
-                gaps = np.sqrt(np.maximum(0, 2 - 2 * unit @ points.T))
-                near = gaps.argmin(axis=1)
-                names = [f"{node}.{k}" for k in near]
-                away = np.linalg.norm(unit - points[near], axis=1)
-                parts.append(pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(names, pa.string()), piece.column(2), pa.array(away), piece.column(4)],
-                    names=["cid", "node", "unit", "away", "weight"],
-                ))
-            yield from parts
-
-    joined = rows.join(centres, "node").select("cid", "node", "unit", "centres", "weight")
-    return joined.mapInArrow(run, "cid long, node string, unit array<double>, away double, weight long")
+            side = batch.column(2).to_numpy()
+            # a run ends before each head
+            ends = [*np.flatnonzero(side == 0).tolist(), batch.num_rows]
+            begin = 0
+            for end in ends:
+                piece = batch.slice(begin, end - begin)
+                begin = end + 1
+                if piece.num_rows:
+                    unit = _unit(piece.column(4))
+                    gaps = np.sqrt(np.maximum(0, 2 - 2 * unit @ points.T))
+                    near = gaps.argmin(axis=1)
+                    away = np.linalg.norm(unit - points[near], axis=1)
+                    child = pa.array(near.astype(np.int32), mask=away > piece.column(6).to_numpy())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(piece.column(k) for k in (3, 0, 4, 5, 6, 7)), child, pa.array(away)],
+                        names=["cid", "node", "unit", "weight", "goal", "centre", "child", "away"],
+                    )
+                if end < batch.num_rows:
+                    points = np.array(batch.column(8)[end].as_py(), dtype=np.float64)
+
+    dealt = rows.union(heads).repartition("node", "salt").sortWithinPartitions("node", "salt", "side")
+    return dealt.mapInArrow(run, ASSIGNED)
+
+
+def _split(rows: DataFrame, fanout: int) -> tuple[DataFrame, DataFrame]:
+    """(children, centres): the classes of each node of ``rows`` that is covered whole, in its children, and these' centres.
+
+    ``rows`` has cid, node, unit, weight, goal and centre. Nodes that are not covered have no rows here.
+    """
+    pending, found, nets = rows, None, None
+    for turn in range(ROUNDS):
+        net = cut(_nets(pending, fanout, turn))
+        told = cut(_assigned(pending, net))
+        number = F.col("child") + turn * fanout
+        near = told.filter("child IS NOT NULL").withColumn("child", number)
+        points = net.select("node", F.posexplode("centres").alias("child", "point")).withColumn("child", number)
+        found = near if found is None else found.union(near)
+        nets = points if nets is None else nets.union(points)
+        pending = told.filter("child IS NULL").select("cid", "node", "unit", "weight", "goal", "centre")
+        if pending.isEmpty():
+            break
+    name = F.concat_ws(".", "node", "child")
+    # nodes of which some class has no centre: left over in the end, or dropped without a net
+    counts = found.groupBy("node").agg(F.count("*").alias("covered"))
+    whole = rows.groupBy("node").agg(F.count("*").alias("all")).join(counts, "node").filter("covered = all").select("node")
+    whole = cut(whole)
+    children = found.join(whole, "node", "left_semi").select("cid", name.alias("node"), "unit", "away", "weight")
+    centres = nets.join(whole, "node", "left_semi").select(name.alias("node"), F.col("point").alias("centre"))
+    return cut(children), centres
 
 
 def grow(found: DataFrame, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
@@ -128,42 +201,40 @@ def grow(found: DataFrame, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT) ->
     schema = "cid long, node string, unit array<double>, weight long"
     rows = found.select("cid", root.alias("node"), "embedding", "weight").mapInArrow(units, schema)
     rows = cut(rows.withColumn("away", F.lit(2.0)))
-    centres = cut(rows.groupBy("node").agg(F.min_by("unit", "cid").alias("centre")))
+    centres = rows.groupBy("node").agg(F.min_by("unit", "cid").alias("centre"))
     nodes, members = None, None
     for level in range(LEVELS + 1):
         stats = rows.groupBy("node").agg(
             F.max("away").alias("radius"), F.count("*").alias("size"), F.sum("weight").alias("weight")
         )
-        large = (F.col("size") > leaf_rows) & (F.col("radius") > SLACK) & F.lit(level < LEVELS)
+        large = (F.col("size") > leaf_rows) & (F.col("radius") > REACH / 4) & F.lit(level < LEVELS)
         parent = F.regexp_extract("node", r"^(.*)\.\d+$", 1)
         here = cut(
-            stats.join(centres, "node").select("node", parent.alias("parent"), "centre", "radius", "size", "weight", (~large).alias("leaf"))
+            stats.join(centres, "node").select("node", parent.alias("parent"), "centre", "radius", "size", "weight", large.alias("large"))
         )
+        open_nodes = here.filter("large")
+        if open_nodes.isEmpty():
+            split = None
+        else:
+            # half of the least of 2, 1, 1/2, ... that is no less than the true radius
+            goal = F.pow(F.lit(2.0), F.ceil(F.log2("radius") - SLACK)) / 2
+            split, next_centres = _split(
+                rows.join(open_nodes.select("node", "centre", goal.alias("goal")), "node")
+                .select("cid", "node", "unit", "weight", "goal", "centre"), fanout,
+            )
+        if split is not None:
+            inner = cut(split.select(F.regexp_extract("node", r"^(.*)\.\d+$", 1).alias("node")).distinct())
+            here = cut(here.join(inner.withColumn("split", F.lit(True)), "node", "left"))
+            leaf = F.col("split").isNull()
+        else:
+            leaf = F.lit(True)
+        here = here.select("node", "parent", "centre", "radius", "size", "weight", leaf.alias("leaf"))
         nodes = here if nodes is None else nodes.union(here)
-        open_nodes = here.filter("NOT leaf")
         done = rows.join(here.filter("leaf").select("node"), "node", "left_semi").select("cid", "node", "unit", "weight")
         members = done if members is None else members.union(done)
-        if open_nodes.isEmpty():
+        if split is None or split.isEmpty():
             break
-        rest = rows.join(open_nodes.select("node", "size"), "node")
-        # about SAMPLE classes of each open node, by their digest; the digest spreads evenly
-        share = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-        some = rest.filter(share * F.col("size") <= SAMPLE).select("node", "cid", "unit")
-
-        def choose(sample: pa.Table) -> pa.Table:
-            sample = sample.sort_by("cid")
-            points = _unit(sample.column("unit"))
-            net = points[_net(points, fanout)]
-            return pa.table(
-                {"node": [sample.column("node")[0].as_py()], "centres": [net.tolist()]},
-                schema=pa.schema([("node", pa.string()), ("centres", pa.list_(pa.list_(pa.float64())))]),
-            )
-
-        nets = cut(some.groupBy("node").applyInArrow(choose, "node string, centres array<array<double>>"))
-        rows = cut(_assigned(rest, nets))
-        centres = nets.select("node", F.posexplode("centres").alias("k", "centre")).select(
-            F.concat_ws(".", "node", "k").alias("node"), "centre"
-        )
+        rows, centres = split, next_centres
     return members, cut(nodes)
 
 

@@ -70,14 +70,39 @@ def test_odd_rows(spark):
     assert embeddings.op5(frame(spark, [])).collect() == []
 
 
-def test_every_radius_covers(spark):
-    rows = cloud(4, 100, 0.1)
-    found = embeddings.classes(frame(spark, rows))
-    members, nodes = embeddings.grow(found, 8, 4)
-    centre = {r.node: (np.array(r.centre), r.radius) for r in nodes.collect()}
-    held = members.collect()
-    assert len(held) == found.count()
+@pytest.mark.parametrize("spread, fanout", [(0.05, 8), (0.1, 64)])
+def test_levels_are_nested_halving_covering_and_apart(spark, spread, fanout):
+    rows = cloud(4, 200, spread)
+    found = embeddings.classes(frame(spark, rows)).cache()
+    members, nodes = embeddings.grow(found, 4, fanout)
+    held, tree = members.collect(), {r.node: r for r in nodes.collect()}
+    assert len(held) == found.count() == len({m.cid for m in held})
+    below = {}
     for m in held:
-        node = m.node
-        c, radius = centre[node]
-        assert np.linalg.norm(np.array(m.unit) - c) <= radius + 1e-12
+        unit = np.array(m.unit)
+        name = m.node
+        while name:  # covering, on every level above a class
+            r = tree[name]
+            assert np.linalg.norm(unit - np.array(r.centre)) <= (r.radius if name == m.node else 2 * r.radius) + 1e-9
+            below.setdefault(name, []).append(unit)
+            name = r.parent
+    for r in tree.values():
+        children = [c for c in tree.values() if c.parent == r.node]
+        assert bool(children) != r.leaf
+        if children:
+            half = 2.0 ** math.ceil(math.log2(r.radius) - 1e-9) / 2
+            assert all(c.radius <= half + 1e-9 for c in children)
+            centres = [np.array(c.centre) for c in children]
+            assert any(np.allclose(c, r.centre) for c in centres)  # nested
+            gaps = [np.linalg.norm(a - b) for k, a in enumerate(centres) for b in centres[:k]]
+            assert all(g > half - 1e-9 for g in gaps)  # apart
+    assert any(not r.leaf for r in tree.values())
+
+
+def test_a_node_without_structure_stays_a_leaf(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.normal(size=32)], 0) for k in range(120)]
+    _, nodes = embeddings.grow(embeddings.classes(frame(spark, rows)), 10, 16)
+    assert [(r.size, r.leaf) for r in nodes.collect()] == [(120, True)]
+    got = embeddings.linked(frame(spark, rows).select("vec_id", "embedding", "label"), leaf_rows=10, fanout=16)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows))
