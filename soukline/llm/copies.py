@@ -3,9 +3,17 @@
 Words are as in ``words``, A-Z lower-cased; a text's set holds its SHINGLE-word shingles. Texts with equal sets are one
 class. BANDS bands of ROWS minimum hashes each deal a class to buckets: two sets with similarity 0.8 miss each other in
 all of them with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-7, more similar ones less often. Buckets with the same
-members are one. A bucket is worked off with its members' sets: a growing frontier is compared with what is left, so
-only a spanning forest of the true links leaves it, never its pairs. A bucket is one task's work and holds the distinct
-classes of a group, without repeats.
+members are one. A bucket of at most BUCKET_ROWS classes is worked off with its members' sets: a growing frontier is compared
+with what is left, so only a spanning forest of the true links leaves it, never its pairs.
+
+Larger buckets are either groups of copies or texts with a common part. First each member is compared with its bucket's
+least one, by a join: that links a group of copies. Members that it does not link are open, and still have to meet the others
+of their bucket. All classes of buckets with open ones are dealt out anew by prefixes: with its shingles ordered from
+the rarest (among these classes) to the most frequent, a set of n shingles that is similar to another shares one of its
+first n - ceil(0.8 n) + 1 shingles with it, so these are its buckets, and a common part that is in many texts makes none.
+Buckets without an open class go. Large ones go through both steps ONCE_MORE times; what is large then is compared in pairs of
+a block of open classes and a block of all, of BUCKET_ROWS each. All of this is exact, and no task holds more than two
+blocks of sets.
 
 Defined results: a null or empty text has the empty set, and all empty sets are one class, linked to no other; a text of
 fewer words than SHINGLE has one shingle, all its words.
@@ -17,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from soukline.llm.common import connected, cut
 from soukline.llm.words import LOWER, Texts, hashes, mix, slices, with_columns
@@ -29,8 +38,10 @@ SHINGLE = 5
 NEAR = (4, 5)
 BANDS = 32
 ROWS = 4
-# Rows of two longs that are sent to every task; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 22
+BUCKET_ROWS = 512
+ONCE_MORE = 2
+# Rows of two longs that are sent to every task, 16 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 20
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -103,11 +114,8 @@ def signed(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, cls): the members of every bucket of ``classes`` (cls, bands) with two or more, each set of members once."""
-    rows = classes.select("cls", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x")).filter("n > 1")
-    once = cut(shared.groupBy("n", "x").agg(F.min("key").alias("key")).select("key"))
-    return rows.join(once, "key", "left_semi")
+    """(key, cls, open): the members of every bucket of ``classes`` (cls, bands) with two or more, each set of members once."""
+    return _once(classes.select("cls", F.explode("bands").alias("key"), F.lit(True).alias("open")))
 
 
 def near(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -142,7 +150,75 @@ def forest(ids: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]
     return a, b
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows (key, cls, open) of buckets with two members or more of which one is open, each set of members once."""
+    shared = rows.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.max("open").alias("some")
+    ).filter("n > 1 AND some")
+    once = cut(shared.groupBy("n", "x").agg(F.min("key").alias("key")).select("key"))
+    return rows.join(once, "key", "left_semi")
+
+
+def _stars(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b): the pairs (cls, centre) that are near."""
+    sets = pairs.join(held, "cls").join(held.toDF("centre", "centre_held"), "centre")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # names are not looked up: cls, held, centre, centre_held
+            mine, centres = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            hit = [
+                bool(near(np.frombuffer(c, dtype=np.uint64), [np.frombuffer(x, dtype=np.uint64)])[0])
+                for x, c in zip(mine, centres, strict=True)
+            ]
+            found = batch.filter(pa.array(hit, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(2)], names=["a", "b"])
+
+    return sets.select("cls", "held", "centre", "centre_held").mapInArrow(judge, "a long, b long")
+
+
+def _by_prefix(left: DataFrame, held: DataFrame) -> DataFrame:
+    """(key, cls, open): buckets of the classes ``left`` (cls, open) by the rarest shingles of their sets."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cls, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                values = np.frombuffer(raw, dtype=np.int64)
+                n = np.full(len(values), len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(values), cls)), pa.array(values), pa.array(n)], names=["cls", "key", "size"]
+                )
+
+    spelled = cut(held.join(left, "cls", "left_semi").select("cls", "held").mapInArrow(spell, "cls long, key long, size long"))
+    often = spelled.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # shingles that no other set has come first of all, and take their places without making a bucket
+    of_class = Window.partitionBy("cls")
+    place = F.row_number().over(of_class.orderBy("n", "key")) + F.col("size") - F.count("*").over(of_class)
+    up, down = NEAR
+    prefix = F.col("size") - F.ceil(F.col("size") * up / down) + 1
+    dealt = spelled.join(often, "key").withColumn("place", place).filter(F.col("place") <= prefix).select("key", "cls")
+    return _once(cut(dealt.join(left, "cls")))
+
+
+def _in_blocks(members: DataFrame, bucket_rows: int) -> DataFrame:
+    """(key, cls): large buckets as one for each pair of a block of open classes and a block of all."""
+    sizes = members.groupBy("key").agg(
+        F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts"), F.ceil(F.count_if("open") / bucket_rows).cast("int").alias("opens")
+    )
+    dealt = cut(members.join(sizes, "key"))
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("cls"), F.col(count)).cast("int")
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    every = dealt.select("key", "cls", own("parts").alias("block"), each("opens").alias("open_block"))
+    opened = dealt.filter("open").select("key", "cls", each("parts").alias("block"), own("opens").alias("open_block"))
+    return every.union(opened).select(F.xxhash64("key", "block", "open_block").alias("key"), "cls").distinct()
+
+
+def links(docs: DataFrame, classes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(a, b): edges between near classes. ``docs`` has h and text, ``classes`` cls, bands and h of one of its rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +237,30 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     near_few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = docs.join(near_few, "h").select("cls", "text").mapInArrow(read, "cls long, held binary")
     # rows that are equal in every column have one hash
-    held = texts.groupBy("cls").agg(F.first("held").alias("held"))
-    return members.join(held, "cls").groupBy("key").applyInArrow(work, "a long, b long")
+    held = cut(texts.groupBy("cls").agg(F.first("held").alias("held")))
+    ready, edges = None, None
+    for turn in range(ONCE_MORE + 1):
+        large = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).filter(F.col("n") > bucket_rows))
+        if large.isEmpty():
+            break
+        small = members.join(large, "key", "left_anti").select("key", "cls")
+        ready = small if ready is None else ready.union(small)
+        big = cut(members.join(large.select("key", "centre"), "key"))
+        if turn == ONCE_MORE:
+            members = _in_blocks(big, bucket_rows)
+            break
+        star = cut(_stars(big.filter("cls <> centre").select("cls", "centre").distinct(), held))
+        edges = star if edges is None else edges.union(star)
+        linked = star.select(F.col("a").alias("cls"), F.col("b").alias("centre"), F.lit(True).alias("near"))
+        marked = big.join(linked, ["cls", "centre"], "left").select("key", "cls", (F.col("near").isNull() & (F.col("cls") != F.col("centre"))).alias("open"))
+        marked = cut(marked)
+        unsettled = marked.filter("open").select("key").distinct()
+        left = marked.join(unsettled, "key", "left_semi").groupBy("cls").agg(F.max("open").alias("open"))
+        members = cut(_by_prefix(cut(left), held))
+    members = members.select("key", "cls")
+    rows = members if ready is None else ready.union(members)
+    found = rows.join(held, "cls").groupBy("key").applyInArrow(work, "a long, b long")
+    return found if edges is None else found.union(edges)
 
 
 def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:

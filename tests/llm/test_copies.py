@@ -1,7 +1,9 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from soukline.llm import copies, simhash
 from soukline.llm.words import Texts
@@ -70,3 +72,42 @@ def test_kept_rows_are_the_first_of_brute_force_groups(documents):
     kept = simhash.keep_first(documents(list(enumerate(texts)))).collect()
     groups = brute_groups(texts)
     assert sorted(r.doc_id for r in kept) == sorted(set(groups)) and len(set(groups)) < len(texts) - 20
+
+
+def roots_of(df, texts, bucket_rows):
+    rows = df.selectExpr("doc_id", "xxhash64(doc_id) AS h", "text")
+    signed = copies.signed(rows, ["doc_id", "h"]).cache()
+    classes = signed.groupBy("cls").agg(F.first("bands").alias("bands"), F.min("h").alias("h"))
+    linked = simhash.connected(copies.links(rows.select("h", "text"), classes, bucket_rows))
+    root = {r.node: r.root for r in linked.collect()}
+    found = {r.doc_id: root.get(r.cls, r.cls) for r in signed.collect()}
+    first = {}
+    return [first.setdefault(found[k], k) for k in range(len(texts))]
+
+
+def test_large_buckets_give_the_same_links(documents):
+    rng = random.Random(11)
+    # a group of copies of one text and, in the same buckets, texts that share three quarters and mostly do not link
+    base = clean(3, words=120)
+    texts = [edited(rng, base, rng.randrange(0, 3)) for _ in range(40)]
+    common = clean(4, words=300)
+    texts += [common + " " + clean(100 + k, 7, words=95) for k in range(40)]
+    texts += [edited(rng, texts[40 + k], 4) for k in range(0, 40, 5)]
+    texts += [edited(rng, base, 9) for _ in range(20)] + corpus(12)
+    want = brute_groups(texts)
+    df = documents([(k, t) for k, t in enumerate(texts)])
+    for bucket_rows in (3, 8, 512):
+        assert roots_of(df, texts, bucket_rows) == want
+
+
+def test_many_texts_of_one_template_are_no_quadratic_work(spark):
+    # 6,000 texts that share 300 of 400 words meet in most buckets and link with nothing
+    template = clean(1, words=300)
+    rows = spark.range(6000).selectExpr(
+        "id AS doc_id", f"concat('{template} ', array_join(transform(sequence(0, 99), k -> concat('u', id, '_', k)), ' ')) AS text"
+    )
+    start = time.perf_counter()
+    signed = rows.selectExpr("doc_id", "xxhash64(doc_id) AS h", "text")
+    classes = copies.signed(signed, ["doc_id", "h"]).groupBy("cls").agg(F.first("bands").alias("bands"), F.min("h").alias("h"))
+    assert copies.links(signed.select("h", "text"), copies.cut(classes)).count() == 0
+    assert time.perf_counter() - start < 150
