@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soukline.functions import clock, numbers
@@ -206,14 +206,25 @@ def order_profile(t: Tables, orders: DataFrame) -> DataFrame:
     sellers = t.sellers.select("seller_id", F.upper("seller_state").alias("seller_state"))
     items = t.item_cents.join(orders.select("order_id"), "order_id", "left_semi")
     lines = rollups.with_category(items, t, "left").join(sellers, "seller_id", "left")
-    # The mode keeps one counter per distinct category or state: catalogue-sized.
-    return lines.groupBy("order_id").agg(
+    # An order's lines meet once; what follows is sorted and summed where they are, in buffers of fixed size.
+    counted = (
+        lines.select("order_id", "category_english", "seller_state", "total_value", "price", "freight_value")
+        .repartition("order_id")
+        .withColumn("n_category", _rows().over(Window.partitionBy("order_id", "category_english")))
+        .withColumn("n_state", _rows().over(Window.partitionBy("order_id", "seller_state")))
+    )
+
+    def most(name: str, n: str) -> Column:
+        """The most frequent name; the smallest of several."""
+        return F.min(F.when(F.col(name).isNotNull(), F.struct((-F.col(n)).alias("n"), name)))[name]
+
+    return counted.groupBy("order_id").agg(
         _cents("total_value").alias("first_order_value"),
         _rows().alias("first_order_item_count"),
         ratio(_cents("price"), _rows()).alias("first_avg_item_price"),
         ratio(_cents("freight_value"), _rows()).alias("first_avg_freight"),
-        F.mode("category_english", deterministic=True).alias("product_category_name_english"),
-        F.mode("seller_state", deterministic=True).alias("seller_state"),
+        most("category_english", "n_category").alias("product_category_name_english"),
+        most("seller_state", "n_state").alias("seller_state"),
     )
 
 

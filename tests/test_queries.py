@@ -20,6 +20,7 @@ CHECKED = [
     "q15_days_to_review", "q20_top_sellers_per_state", "r5_second_purchase", "r7_rfm_value_segments",
     "r14_seller_concentration", "g4_clv_table", "g5_category_pairs", "g12_delivery_risk_features", "b11_leading_seller_share",
     "p17_sliced_report", "z1_profile_tables", "z8_schema_tests", "k5_stratified_split", "st3_winback_triggers",
+    "st2_overdue_orders", "st3_winback_band", "a1_place_rollup", "z8_checked_write",
 ]
 
 
@@ -37,7 +38,7 @@ def test_every_statement_belongs_to_a_query():
     assert without == {
         "k2_kmeans_elbow", "k3_customer_segments", "k3_kmeans_profiles", "k6_k8_repeat_model",
         "k6_k8_delay_model", "k7_k8_lifetime_value_model", "k12_propensity_audience",
-        "st2_scored_alerts",
+        "st2_scored_alerts", "k13_campaign_by_score", "a2_summaries_beside_exact",
     }
 
 
