@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from soukline.llm import toxicity
 from soukline.llm.words import Texts
@@ -62,3 +64,76 @@ def test_a_repeated_document_is_one_learning_row(spark, documents):
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id long, toxic int")
     got = toxicity.sample(docs, labels, per_class=4).collect()
     assert len(got) <= 8 and len({r.doc_id for r in got}) == len(got)
+
+
+M64 = (1 << 64) - 1
+
+
+def brute_mix(x):
+    x ^= x >> 32
+    x = x * 0xD6E8FEB86659FD93 & M64
+    x ^= x >> 29
+    x = x * 0xA3B195354A39B70D & M64
+    return x ^ x >> 32
+
+
+def brute_ids(text):
+    """Coordinates of a text, word by word."""
+    words, now = [], b""
+    for byte in (text or "").encode() + b" ":
+        if byte < 128 and not chr(byte).isalnum():
+            words += [now] * bool(now)
+            now = b""
+        else:
+            now += bytes([byte + 32 if 65 <= byte <= 90 else byte])
+    base = 0x9E3779B97F4A7C15
+    h = [brute_mix((sum((b + 1) * pow(base, k, 1 << 64) for k, b in enumerate(w)) + len(w)) & M64) for w in words]
+    out = {x >> 64 - toxicity.BITS for x in h}
+    for gap in toxicity.GAPS:
+        out |= {brute_mix((a * (2 * gap + 1) + b) & M64) >> 64 - toxicity.BITS for a, b in zip(h, h[gap:])}
+    return out
+
+
+def brute_learn(stream):
+    """Weights by coordinate after the stream of (ids, label, weight), one coordinate at a time."""
+    z, n = {}, {}
+    bias = 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == bias else toxicity.L1
+        live = math.copysign(max(abs(z.get(i, 0.0)) - l1, 0.0), z.get(i, 0.0))
+        return -live / ((toxicity.SMOOTH + math.sqrt(n.get(i, 0.0))) / toxicity.RATE + toxicity.L2)
+
+    for ids, label, importance in stream:
+        w = {i: weight(i) for i in [*ids, bias]}
+        slope = (1 / (1 + math.exp(-sum(w.values()))) - label) * importance
+        for i in w:
+            before = n.get(i, 0.0)
+            n[i] = before + slope * slope
+            z[i] = z.get(i, 0.0) + slope - (math.sqrt(n[i]) - math.sqrt(before)) / toxicity.RATE * w[i]
+    return {i: weight(i) for i in z}
+
+
+def test_query_equals_a_loop_in_plain_python(spark, documents):
+    bad, fine = "hate ugly stupid kill trash".split(), "river bread house bridge walk".split()
+    rows = []
+    for k in range(200):
+        words = [(bad if k % 3 == 0 else fine)[(k * 7 + j * j) % 5] + str((k + j) % 4) for j in range(25 + k % 9)]
+        rows.append((k, " ".join(words).title() + ("!? ünïcode" if k % 5 else "")))
+    rows += [(200, None), (201, ""), (202, "Une phrase, neuve: sans mots connus.")]
+    docs = documents(rows)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    picked = toxicity.sample(docs, labels)
+    orders = [F.xxhash64("pick", F.lit(turn)).alias(f"o{turn}") for turn in range(toxicity.EPOCHS)]
+    learning = picked.select("doc_id", "label", "weight", *orders).collect()
+    text = dict(rows)
+    assert {r.doc_id for r in learning} == {k for k in range(200) if not held(k)}
+    stream = [
+        (brute_ids(text[r.doc_id]), r.label, r.weight)
+        for turn in range(toxicity.EPOCHS) for r in sorted(learning, key=lambda r: (r[f"o{turn}"], r.doc_id))
+    ]
+    weights = brute_learn(stream)
+    bias = weights.get(1 << toxicity.BITS, 0.0)
+    for r in toxicity.op1(docs, labels).collect():
+        want = 1 / (1 + math.exp(-sum(weights.get(i, 0.0) for i in brute_ids(text[r.doc_id])) - bias))
+        assert abs(r.score - want) < 1e-4 and r.predicted == int(r.score >= 0.5) and r.held_out == held(r.doc_id)
