@@ -43,6 +43,8 @@ EVERY = 20
 BITS = 64
 SAMPLE = 8192
 PILOTS = 256
+# Components sent to every task for the floors, 8 MB; wide vectors are fewer.
+LOOK_VALUES = 1 << 20
 RADIUS_SHARE = 0.97
 BLOCK = 4096
 # Most probes per query and substring.
@@ -166,18 +168,19 @@ def _best(q: np.ndarray, order: np.ndarray, score: np.ndarray, n: int) -> np.nda
     return at[place < n]
 
 
+def _collected(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, codes and lengths of a few rows, for all tasks; what they need follows from the limit set on them."""
+    held = rows.select("dim", "embedding", "code").toArrow()
+    return _matrix(held.column("embedding"), width), held.column("code").to_numpy().view(np.uint64), held.column("dim").to_numpy()
+
+
 def radius(table: DataFrame, queries: DataFrame, model: Model) -> int:
     """Code bits within which RADIUS_SHARE of the true neighbours of at most PILOTS queries lie.
 
     ``table`` and ``queries`` have cid, dim, embedding and code.
     """
-    pilots = queries.orderBy(F.xxhash64("embedding"), "cid").limit(PILOTS).select("dim", "embedding", "code").collect()
     width = model.width
-    points = np.zeros((len(pilots), width))
-    for k, p in enumerate(pilots):
-        points[k, : p.dim] = p.embedding
-    codes = np.array([p.code for p in pilots], dtype=np.int64).view(np.uint64)
-    dims = np.array([p.dim for p in pilots])
+    points, codes, dims = _collected(queries.orderBy(F.xxhash64("embedding"), "cid").limit(PILOTS), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: tuple[np.ndarray, ...] = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
@@ -203,16 +206,12 @@ def radius(table: DataFrame, queries: DataFrame, model: Model) -> int:
 
 
 def floored(asked: DataFrame, table: DataFrame, reach: int, width: int, top: int) -> DataFrame:
-    """``asked`` and floor: the ``top``-th best score among at most SAMPLE rows within ``reach``; no result lies below it.
+    """``asked`` and floor: the ``top``-th best score among a few rows (at most SAMPLE) within ``reach``; no result lies below it.
 
     Null where so few lie within ``reach``. What blocks would tell in vain, they then leave out.
     """
-    looked = table.orderBy(F.xxhash64("embedding"), "cid").limit(SAMPLE).select("dim", "embedding", "code").collect()
-    points = np.zeros((len(looked), width))
-    for k, p in enumerate(looked):
-        points[k, : p.dim] = p.embedding
-    codes = np.array([p.code for p in looked], dtype=np.int64).view(np.uint64)
-    dims = np.array([p.dim for p in looked])
+    few = min(SAMPLE, max(PILOTS, LOOK_VALUES // width))
+    points, codes, dims = _collected(table.orderBy(F.xxhash64("embedding"), "cid").limit(few), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
