@@ -6,9 +6,9 @@ all of them with probability (1 - 0.8 ** ROWS) ** BANDS, below 1e-7, more simila
 members are one. A bucket of at most BUCKET_ROWS classes is worked off with its members' sets: a growing frontier is compared
 with what is left, so only a spanning forest of the true links leaves it, never its pairs.
 
-Larger buckets are either groups of copies or texts with a common part. First each member is compared with its bucket's
-least one, by a join: that links a group of copies. Members that it does not link are open, and still have to meet the others
-of their bucket. All classes of buckets with open ones are dealt out anew by prefixes: with its shingles ordered from
+Larger buckets are either groups of copies or texts with a common part. First each member is compared with PIVOTS members of
+its bucket, by a join, which connects a group of copies. Members outside a bucket's largest connected part are open: they
+still have to meet the others. All classes of buckets with open ones are dealt out anew by prefixes: with its shingles ordered from
 the rarest (among these classes) to the most frequent, a set of n shingles that is similar to another shares one of its
 first n - ceil(0.8 n) + 1 shingles with it, so these are its buckets, and a common part that is in many texts makes none.
 Buckets without an open class go. Large ones go through both steps ONCE_MORE times; what is large then is compared in pairs of
@@ -40,6 +40,7 @@ BANDS = 32
 ROWS = 4
 BUCKET_ROWS = 512
 ONCE_MORE = 2
+PIVOTS = 8
 # Rows of two longs that are sent to every task, 16 MB; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
@@ -159,6 +160,22 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(once, "key", "left_semi")
 
 
+def _pivots(members: DataFrame) -> DataFrame:
+    """(cls, centre): each member of a bucket with each of its pivots, PIVOTS members that come first by a hash."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls"), "cls"))
+    some = members.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("key", F.col("cls").alias("centre"))
+    return members.join(some, "key").filter("cls <> centre").select("cls", "centre").distinct()
+
+
+def _unsettled(members: DataFrame, together: DataFrame) -> DataFrame:
+    """(key, cls, open): buckets whose members are not all connected; open are those outside the largest connected part."""
+    placed = members.select("key", "cls").join(together.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    placed = cut(placed.select("key", "cls", F.coalesce("root", "cls").alias("root")))
+    parts = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    return placed.join(main, "key").select("key", "cls", (F.col("root") != F.col("main")).alias("open"))
+
+
 def _stars(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """(a, b): the pairs (cls, centre) that are near."""
     sets = pairs.join(held, "cls").join(held.toDF("centre", "centre_held"), "centre")
@@ -239,24 +256,27 @@ def links(docs: DataFrame, classes: DataFrame, bucket_rows: int = BUCKET_ROWS) -
     # rows that are equal in every column have one hash
     held = cut(texts.groupBy("cls").agg(F.first("held").alias("held")))
     ready, edges = None, None
+    together = None
     for turn in range(ONCE_MORE + 1):
-        large = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).filter(F.col("n") > bucket_rows))
+        if together is not None:
+            members = cut(_unsettled(members, together))
+        large = cut(members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows).select("key"))
         if large.isEmpty():
             break
         small = members.join(large, "key", "left_anti").select("key", "cls")
         ready = small if ready is None else ready.union(small)
-        big = cut(members.join(large.select("key", "centre"), "key"))
+        big = cut(members.join(large, "key"))
         if turn == ONCE_MORE:
             members = _in_blocks(big, bucket_rows)
             break
-        star = cut(_stars(big.filter("cls <> centre").select("cls", "centre").distinct(), held))
+        star = cut(_stars(_pivots(big), held))
         edges = star if edges is None else edges.union(star)
-        linked = star.select(F.col("a").alias("cls"), F.col("b").alias("centre"), F.lit(True).alias("near"))
-        marked = big.join(linked, ["cls", "centre"], "left").select("key", "cls", (F.col("near").isNull() & (F.col("cls") != F.col("centre"))).alias("open"))
-        marked = cut(marked)
-        unsettled = marked.filter("open").select("key").distinct()
-        left = marked.join(unsettled, "key", "left_semi").groupBy("cls").agg(F.max("open").alias("open"))
-        members = cut(_by_prefix(cut(left), held))
+        together = connected(edges)
+        left = cut(_unsettled(big, together).groupBy("cls").agg(F.max("open").alias("open")))
+        if left.isEmpty():
+            members = big.limit(0)
+            break
+        members = cut(_by_prefix(left, held))
     members = members.select("key", "cls")
     rows = members if ready is None else ready.union(members)
     found = rows.join(held, "cls").groupBy("key").applyInArrow(work, "a long, b long")
