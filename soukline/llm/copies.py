@@ -11,7 +11,7 @@ its bucket, by a join, which connects a group of copies. Members outside a bucke
 still have to meet the others. All classes of buckets with open ones are dealt out anew by prefixes: with its shingles ordered from
 the rarest (among these classes) to the most frequent, a set of n shingles that is similar to another shares one of its
 first n - ceil(0.8 n) + 1 shingles with it, so these are its buckets, and a common part that is in many texts makes none.
-Buckets without an open class go. Large ones go through both steps ONCE_MORE times; what is large then is compared in pairs of
+Buckets without an open class go. (Both steps may be repeated, ONCE_MORE times in all.) What is large then is compared in pairs of
 a block of open classes and a block of all, of BUCKET_ROWS each. All of this is exact, and no task holds more than two
 blocks of sets.
 
@@ -39,7 +39,7 @@ NEAR = (4, 5)
 BANDS = 32
 ROWS = 4
 BUCKET_ROWS = 512
-ONCE_MORE = 2
+ONCE_MORE = 1
 PIVOTS = 8
 # Rows of two longs that are sent to every task, 16 MB; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 20
