@@ -12,8 +12,8 @@ still have to meet the others. All classes of buckets with open ones are dealt o
 the rarest (among these classes) to the most frequent, a set of n shingles that is similar to another shares one of its
 first n - ceil(0.8 n) + 1 shingles with it, so these are its buckets, and a common part that is in many texts makes none.
 Buckets without an open class go. (Both steps may be repeated, ONCE_MORE times in all.) What is large then is compared in pairs of
-a block of open classes and a block of all, of BUCKET_ROWS each. All of this is exact, and no task holds more than two
-blocks of sets.
+a block of open classes and a block of all, of BLOCK_ROWS each. All of this is exact, and no task holds more than
+BUCKET_ROWS sets. (Splitting costs shuffles of sets; a bucket within the bound is less work whole.)
 
 Defined results: a null or empty text has the empty set, and all empty sets are one class, linked to no other; a text of
 fewer words than SHINGLE has one shingle, all its words.
@@ -38,7 +38,8 @@ SHINGLE = 5
 NEAR = (4, 5)
 BANDS = 32
 ROWS = 4
-BUCKET_ROWS = 512
+BUCKET_ROWS = 4096
+BLOCK_ROWS = 512
 ONCE_MORE = 1
 PIVOTS = 8
 # Rows of two longs that are sent to every task, 16 MB; more are joined by a shuffle.
@@ -267,7 +268,7 @@ def links(docs: DataFrame, classes: DataFrame, bucket_rows: int = BUCKET_ROWS) -
         ready = small if ready is None else ready.union(small)
         big = cut(members.join(large, "key"))
         if turn == ONCE_MORE:
-            members = _in_blocks(big, bucket_rows)
+            members = _in_blocks(big, min(bucket_rows, BLOCK_ROWS))
             break
         star = cut(_stars(_pivots(big), held))
         edges = star if edges is None else edges.union(star)
