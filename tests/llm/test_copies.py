@@ -109,5 +109,5 @@ def test_many_texts_of_one_template_are_no_quadratic_work(spark):
     start = time.perf_counter()
     signed = rows.selectExpr("doc_id", "xxhash64(doc_id) AS h", "text")
     classes = copies.signed(signed, ["doc_id", "h"]).groupBy("cls").agg(F.first("bands").alias("bands"), F.min("h").alias("h"))
-    assert copies.links(signed.select("h", "text"), copies.cut(classes)).count() == 0
+    assert copies.links(signed.select("h", "text"), copies.cut(classes), 512).count() == 0
     assert time.perf_counter() - start < 150
