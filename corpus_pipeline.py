@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; near are texts whose five-word shingles have a Jaccard similarity of 0.8."""
+    """One document of each group stays, by SimHash; near are texts with a Jaccard similarity of 0.8 of their five-word shingles."""
     prepared(spark)
     return simhash.keep_first(docs)
 

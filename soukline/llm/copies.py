@@ -15,6 +15,9 @@ Buckets without an open class go. (Both steps may be repeated, ONCE_MORE times i
 a block of open classes and a block of all, of BLOCK_ROWS each. All of this is exact, and no task holds more than
 BUCKET_ROWS sets. (Splitting costs shuffles of sets; a bucket within the bound is less work whole.)
 
+Links that are known beforehand (``known``, the pipeline's by SimHash) count from the start: only buckets that they leave
+unconnected are looked at, and only their open members are compared with pivots.
+
 Defined results: a null or empty text has the empty set, and all empty sets are one class, linked to no other; a text of
 fewer words than SHINGLE has one shingle, all its words.
 """
@@ -92,7 +95,10 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
 
 def keys(texts: Texts) -> dict[str, np.ndarray | pa.Array]:
     """cls (the class of each text's set) and bands (its keys; none for an empty set)."""
-    sets = _sets(texts)
+    return keys_of(_sets(texts))
+
+
+def keys_of(sets: list[np.ndarray]) -> dict[str, np.ndarray | pa.Array]:
     some = [k for k, s in enumerate(sets) if len(s)]
     found = _bands([sets[k] for k in some]).view(np.int64) if some else np.zeros((0, BANDS), np.int64)
     sizes = np.zeros(len(sets) + 1, dtype=np.int32)
@@ -162,10 +168,10 @@ def _once(rows: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame) -> DataFrame:
-    """(cls, centre): each member of a bucket with each of its pivots, PIVOTS members that come first by a hash."""
+    """(cls, centre): each open member of a bucket with each of its pivots, PIVOTS members that come first by a hash."""
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls"), "cls"))
     some = members.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("key", F.col("cls").alias("centre"))
-    return members.join(some, "key").filter("cls <> centre").select("cls", "centre").distinct()
+    return members.filter("open").join(some, "key").filter("cls <> centre").select("cls", "centre").distinct()
 
 
 def _unsettled(members: DataFrame, together: DataFrame) -> DataFrame:
@@ -236,27 +242,45 @@ def _in_blocks(members: DataFrame, bucket_rows: int) -> DataFrame:
     return every.union(opened).select(F.xxhash64("key", "block", "open_block").alias("key"), "cls").distinct()
 
 
-def links(docs: DataFrame, classes: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): edges between near classes. ``docs`` has h and text, ``classes`` cls, bands and h of one of its rows."""
+def _held(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, held): the sets of the classes ``wanted`` (cls, h); ``docs`` has h and text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             held = pa.array([s.tobytes() for s in _sets(texts)], pa.binary())
             yield with_columns(batch, ["cls"], held=held)
 
+    # the planner does not see how few rows these are, and would deal out every text
+    near_few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = docs.join(near_few, "h").select("cls", "text").mapInArrow(read, "cls long, held binary")
+    # rows that are equal in every column have one hash
+    return cut(texts.groupBy("cls").agg(F.first("held").alias("held")))
+
+
+def checked(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): those of the ``pairs`` (cls, centre) of classes that are near. The other tables are as for ``links``."""
+    some = pairs.select("cls").union(pairs.select("centre")).distinct()
+    return _stars(pairs, _held(docs, cut(classes.join(some, "cls", "left_semi").select("cls", "h"))))
+
+
+def links(
+    docs: DataFrame, classes: DataFrame, bucket_rows: int = BUCKET_ROWS, known: DataFrame | None = None
+) -> DataFrame:
+    """(a, b): edges between near classes, ``known`` (a, b) among them.
+
+    ``docs`` has h and text, ``classes`` cls, bands and h of one of its rows.
+    """
+
     def work(bucket: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, dtype=np.uint64) for x in bucket.column("held").to_pylist()]
         a, b = forest(bucket.column("cls").to_pylist(), sets)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     members = cut(buckets(classes))
-    wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "h"))
-    # the planner does not see how few rows these are, and would deal out every text
-    near_few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.join(near_few, "h").select("cls", "text").mapInArrow(read, "cls long, held binary")
-    # rows that are equal in every column have one hash
-    held = cut(texts.groupBy("cls").agg(F.first("held").alias("held")))
-    ready, edges = None, None
+    if known is not None:
+        members = cut(_unsettled(members, connected(known)))
+    held = _held(docs, cut(classes.join(members.select("cls").distinct(), "cls", "left_semi").select("cls", "h")))
+    ready, edges = None, known
     together = None
     for turn in range(ONCE_MORE + 1):
         if together is not None:
@@ -289,9 +313,3 @@ def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     classes = cut(rows.groupBy("cls").agg(F.first("bands").alias("bands"), F.min("h").alias("h")))
     return connected(links(docs.select("h", "text"), classes)).select(F.col("node").alias("cls"), "root")
 
-
-def rooted(docs: DataFrame) -> DataFrame:
-    """(root, x) of every class of ``docs`` (doc_id, h, text): x is its first row (last, doc_id, h), nulls last."""
-    rows = cut(signed(docs, ["doc_id", "h"]))
-    first = rows.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("x"))
-    return first.join(roots(docs, rows), "cls", "left").select(F.coalesce("root", "cls").alias("root"), "x")

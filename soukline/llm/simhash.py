@@ -11,8 +11,12 @@ Defined results: a null or empty text has fingerprint zero and is linked like an
 one shingle. Repeated rows have equal fingerprints. A null doc_id takes part; a component's id is its least doc_id that
 is not null. An empty table gives an empty result.
 
-SHINGLE and MAX_BITS are op2's contract. ``keep_first``, the pipeline's stage, goes by the general rule instead: five-word
-shingles and a Jaccard similarity of 0.8 (``copies``). It returns its input's columns only, whatever their names.
+SHINGLE and MAX_BITS are op2's contract. ``keep_first``, the pipeline's stage, goes by the general rule instead: near are
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 (``copies``). A set has PRINTS fingerprints of 64
+bits, each searched as above: two segments, balls of radius 1, the semi-join, then distances over all 64 bits. A bucket's
+first member proposes those within REACH bits of it, and the exact similarity decides. A pair at 0.8 differs in 10 of 64
+bits on average, so some pairs have no segment within 1 bit; for these ``copies`` works off what the links found leave
+unconnected, and no link is lost. ``keep_first`` returns its input's columns only, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +28,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soukline.llm import copies
 from soukline.llm.common import connected, cut
-from soukline.llm.words import slices, with_columns
+from soukline.llm.words import mix, slices, with_columns
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 BUCKET_ROWS = 2048
 SPLITS = 4
+PRINTS = 4
+# Two sets of similarity 0.8 differ in a bit with probability arccos(8 / 9) / pi = 0.15; unrelated ones in half of them.
+REACH = 13
 _CHUNK = 1 << 15
+_SEEDS = mix(np.arange(1, PRINTS + 1, dtype=np.uint64))
 
 
 def fingerprint(raw: bytes) -> int:
@@ -47,12 +56,16 @@ def fingerprint(raw: bytes) -> int:
         hashed = [digest(b" ".join(words), SEED)]
     else:
         hashed = [digest(b" ".join(x), SEED) for x in zip(words, words[1:], words[2:], strict=False)]
-    values = np.array(hashed, dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
+    return int(_majority(np.array(hashed, dtype="<u8").reshape(-1, 1))[0])
+
+
+def _majority(values: np.ndarray) -> np.ndarray:
+    """Per column of 64-bit values, the bits that are set in over half of them."""
+    ones = np.zeros(64 * values.shape[1], dtype=np.int64)
     for at in range(0, len(values), _CHUNK):
-        part = values[at: at + _CHUNK].view(np.uint8).reshape(-1, 8)
+        part = values[at: at + _CHUNK].view(np.uint8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(values), bitorder="little").tobytes(), "little")
+    return np.packbits(2 * ones > len(values), bitorder="little").view("<u8")
 
 
 def fingerprints(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -71,15 +84,9 @@ def _segment(n: int):
     return F.shiftrightunsigned("fp", 32 * n).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
-def buckets(distinct: DataFrame) -> DataFrame:
-    """(key, rest, fp): the rows of every bucket with a table entry and at least one other row.
-
-    ``rest`` has the bits that the key does not fix.
-    """
-    table = distinct.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("seg"), _segment(n).alias("val")) for n in (0, 1)
-    ])).alias("x")).select("x.seg", "x.val", "fp")
-    bits = F.sequence(F.lit(0), F.lit(31))
+def _meeting(table: DataFrame, width: int) -> DataFrame:
+    """(seg, val, fp): ``table`` and the balls around its values, ``width`` bits wide, where an entry meets another row."""
+    bits = F.sequence(F.lit(0), F.lit(width - 1))
     one = F.lit(1).cast("long")
     probes = (
         table.select("seg", "val", "fp", F.explode(bits).alias("bit"))
@@ -91,7 +98,18 @@ def buckets(distinct: DataFrame) -> DataFrame:
     hits = cut(probes.join(keys, ["seg", "val"], "left_semi"))
     shared = keys.groupBy("seg", "val").count().filter("count > 1").select("seg", "val")
     alive = hits.select("seg", "val").union(shared).distinct()
-    rows = hits.union(table.join(alive, ["seg", "val"], "left_semi"))
+    return hits.union(table.join(alive, ["seg", "val"], "left_semi"))
+
+
+def buckets(distinct: DataFrame) -> DataFrame:
+    """(key, rest, fp): the rows of every bucket with a table entry and at least one other row.
+
+    ``rest`` has the bits that the key does not fix.
+    """
+    table = distinct.select("fp", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("seg"), _segment(n).alias("val")) for n in (0, 1)
+    ])).alias("x")).select("x.seg", "x.val", "fp")
+    rows = _meeting(table, 32)
     rest = F.when(F.col("seg") == 0, F.lit(-1 << 32)).otherwise(F.lit((1 << 32) - 1)).cast("long")
     return rows.select(F.concat_ws(":", "seg", "val").alias("key"), rest.alias("rest"), "fp")
 
@@ -182,14 +200,83 @@ def op2(docs: DataFrame) -> DataFrame:
     )
 
 
+def set_prints(values: np.ndarray) -> np.ndarray:
+    """The PRINTS fingerprints of a set of shingle hashes."""
+    return _majority(mix(values[:, None] ^ _SEEDS))
+
+
+def signed(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """``carry``, cls and bands as in ``copies``, and prints (none for an empty set) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, "text"):
+            sets = copies._sets(texts)
+            prints = pa.array([set_prints(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            yield with_columns(batch, carry, **copies.keys_of(sets), prints=prints)
+
+    schema = copies.with_keys(docs.select(*carry).schema)
+    return docs.mapInArrow(run, schema.add("prints", T.ArrayType(T.LongType())))
+
+
+def _near_prints(prints: DataFrame) -> DataFrame:
+    """(word, a, b): fingerprints of one ``word`` (columns word, fp) that meet in a bucket and are within REACH bits.
+
+    In a bucket one member meets all others, and of those that it meets in all its buckets a fingerprint keeps the one that
+    comes first by a hash, so there are never more rows than fingerprints.
+    """
+    table = prints.select("fp", F.explode(F.array(*[
+        F.struct((2 * F.col("word") + n).alias("seg"), _segment(n).alias("val")) for n in (0, 1)
+    ])).alias("x")).select("x.seg", "x.val", "fp")
+    rows = cut(_meeting(table, 32))
+    centres = rows.groupBy("seg", "val").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).alias("x"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp")))
+    met = rows.join(centres, ["seg", "val"]).filter(apart.between(1, REACH))
+    word = F.floor(F.col("seg") / 2).cast("int").alias("word")
+    return met.groupBy(word, F.col("fp").alias("a")).agg(F.min("x").alias("x")).select("word", "a", F.col("x.fp").alias("b"))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(cls, centre): the pairs of ``classes`` (cls, prints) that some fingerprint proposes."""
+    marked = classes.select("cls", F.posexplode("prints").alias("word", "fp"))
+    least = cut(marked.groupBy("word", "fp").agg(F.min("cls").alias("least")))
+    equal = marked.join(least, ["word", "fp"]).select("cls", F.col("least").alias("centre"))
+    near = _near_prints(least.select("word", "fp"))
+    met = (
+        near.join(least.toDF("word", "a", "cls"), ["word", "a"]).join(least.toDF("word", "b", "centre"), ["word", "b"])
+        .select("cls", "centre")
+    )
+    both = equal.union(met).filter("cls <> centre")
+    return both.select(F.greatest("cls", "centre").alias("cls"), F.least("cls", "centre").alias("centre")).distinct()
+
+
+def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between near classes by their fingerprints. ``docs`` has h and text, ``classes`` cls, prints and h."""
+    return copies.checked(docs, classes, cut(candidates(classes)))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies (``copies``): that of the least doc_id (nulls last), ties by the row's hash."""
+    """One row of each group of near copies: that of the least doc_id (nulls last), ties by the row's hash."""
     mine = F.xxhash64(*docs.columns)
     rows = docs.select(F.struct("*").alias("row"), "doc_id", mine.alias("h"))
-    first = (
-        copies.rooted(docs.select("doc_id", "text", mine.alias("h"))).groupBy("root").agg(F.min("x").alias("x"))
-        .select(F.col("x.doc_id").alias("k_id"), F.col("x.h").alias("k_h"))
+    texts = docs.select("doc_id", "text", mine.alias("h"))
+    marked = cut(signed(texts, ["doc_id", "h"]))
+    classes = cut(marked.groupBy("cls").agg(
+        F.first("bands").alias("bands"), F.first("prints").alias("prints"), F.min("h").alias("h")
+    ))
+    held = texts.select("h", "text")
+    roots = connected(copies.links(held, classes, known=cut(near_links(held, classes))))
+    sizes = marked.groupBy("cls", "doc_id", "h").agg(F.count("*").alias("n"))
+    of_class = sizes.groupBy("cls").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "n")).alias("x")
+    )
+    rooted = of_class.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    first = cut(
+        rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("x").alias("x"))
+        .select(F.col("x.doc_id").alias("k_id"), F.col("x.h").alias("k_h"), F.col("x.n").alias("k_n"))
     )
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
-    # rows that are equal in every column are one row
-    return kept.groupBy("k_id", "k_h").agg(F.first("row").alias("row")).select("row.*")
+    few = F.broadcast if first.count() <= copies.BROADCAST_ROWS else lambda df: df
+    here = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h"))
+    once = rows.join(few(first.filter("k_n = 1")), here)
+    # rows that are equal in every column are one row; only these are dealt out
+    again = rows.join(few(first.filter("k_n > 1")), here).groupBy("k_id", "k_h").agg(F.first("row").alias("row"))
+    return once.select("row.*").union(again.select("row.*"))

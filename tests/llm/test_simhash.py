@@ -3,8 +3,10 @@ import random
 import numpy as np
 import xxhash
 
-from soukline.llm import simhash
-from soukline.llm.common import connected
+from pyspark.sql import functions as F
+
+from soukline.llm import copies, simhash
+from soukline.llm.common import connected, cut
 
 from .conftest import clean, odd_rows
 
@@ -89,3 +91,42 @@ def test_one_row_of_each_group_stays(odd, empty, documents):
     assert simhash.keep_first(empty).collect() == [] and simhash.op2(empty).collect() == []
     copies = documents([(k, clean(1)) for k in range(60)] + [(100 + k, clean(k + 2)) for k in range(20)])
     assert sorted(r.doc_id for r in simhash.keep_first(copies).collect()) == [0, *range(100, 120)]
+
+
+def shingle_set(text):
+    words = text.split()
+    return {tuple(words[k: k + 5]) for k in range(len(words) - 4)}
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"x{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_links_by_fingerprints_are_near_and_miss_few(documents):
+    rng = random.Random(3)
+    texts = [clean(k, 5, words=200) for k in range(60)]
+    texts += [edited(rng, t, 1 + k // 50) for k, t in enumerate(texts)] + ["", "a b", "a c"]
+    docs = documents(list(enumerate(texts))).selectExpr("doc_id", "doc_id AS h", "text")
+    signed = cut(simhash.signed(docs, ["doc_id", "h"]))
+    classes = cut(signed.groupBy("cls").agg(F.first("bands").alias("bands"), F.first("prints").alias("prints"), F.min("h").alias("h")))
+    number = {r.cls: r.doc_id for r in signed.collect()}
+    got = {tuple(sorted((number[r.a], number[r.b]))) for r in simhash.near_links(docs, classes).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = {
+        (a, b) for b in range(len(texts)) for a in range(b)
+        if sets[a] | sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    }
+    assert got <= want and len(want) > 40 and len(got) >= 0.9 * len(want)
+
+
+def test_near_copies_go_by_fingerprints_alone(documents, monkeypatch):
+    # no buckets of minimum hashes: what goes is found by SimHash
+    monkeypatch.setattr(copies, "buckets", lambda classes: classes.selectExpr("cls AS key", "cls", "true AS open").limit(0))
+    rng = random.Random(4)
+    texts = [clean(1, 5, words=300)] + [edited(rng, clean(1, 5, words=300), 1) for _ in range(100)]
+    texts += [clean(k, 5, words=300) for k in range(2, 22)]
+    kept = simhash.keep_first(documents(list(enumerate(texts)))).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(101, len(texts))]
