@@ -35,30 +35,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b of type long); root is the least node of the component.
 
-    Alternating large-star and small-star rounds. Each round keeps at most one row per edge, reads no node's
-    neighbours as one group (minimum, then join) and is cut in the shared folder. Self-loops and repeated edges do
-    no harm; no edges, no rows.
+    Alternating large-star and small-star rounds. Each round keeps at most one row per edge, and holds no node's
+    neighbours as one group (minimum, then join); the edges to a node's lesser neighbours meet in one task, as rows of
+    two longs. Both tables of a round are cut in the shared folder. The rounds end when each node has one neighbour, a
+    lesser one, or only greater ones: these are stars around least nodes. Self-loops and repeated edges do no harm; no
+    edges, no rows.
     """
     now = cut(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    mark = _mark(now)
-    while mark[0]:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = now.select(F.col("b").alias("k"), F.col("a").alias("other")).join(least, "k").select("other", "m")
-        large = large.select(F.col("other").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(small, "a")
-        now = cut(
-            joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-            .union(small.select("a", F.col("m").alias("b"))).distinct()
+    while True:
+        nodes = cut(
+            now.selectExpr("inline(array(struct(a, b), struct(b AS a, a AS b)))").groupBy("a")
+            .agg(F.min("b").alias("m"), F.max("b").alias("most"))
+            .select(F.col("a").alias("node"), F.least("a", "m").alias("root"), F.expr("m > a OR m = most").alias("done"))
         )
-        before, mark = mark, _mark(now)
-        if mark == before:
-            break
-    roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+        if nodes.filter("NOT done").isEmpty():
+            return nodes.select("node", "root")
+        large = now.join(nodes, now.b == nodes.node).select("a", F.col("root").alias("b")).repartition("a").distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        now = cut(large.join(small, "a").select(F.expr("if(b = m, a, b)").alias("a"), F.col("m").alias("b")))
 
 
 def first_by_hash(rows: DataFrame, by: str, key: str, n: int) -> DataFrame:
@@ -78,8 +74,3 @@ def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key: that of the least hash of its text, ties by the text; the limit is met before rows are dealt out."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"), "text"))
     return rows.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return row.n, row.x

@@ -168,8 +168,8 @@ def _once(rows: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame) -> DataFrame:
-    """(cls, centre): each open member of a bucket with each of its pivots, PIVOTS members that come first by a hash."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls"), "cls"))
+    """(cls, centre): each open member of a bucket with each of its pivots, its PIVOTS least members (a class is a hash)."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("cls"))
     some = members.withColumn("place", place).filter(F.col("place") <= PIVOTS).select("key", F.col("cls").alias("centre"))
     return members.filter("open").join(some, "key").filter("cls <> centre").select("cls", "centre").distinct()
 
@@ -272,6 +272,8 @@ def links(
     """
 
     def work(bucket: pa.Table) -> pa.Table:
+        # a link's centre is its lesser class, here as elsewhere, so that a class has few lesser ones
+        bucket = bucket.sort_by("cls")
         sets = [np.frombuffer(x, dtype=np.uint64) for x in bucket.column("held").to_pylist()]
         a, b = forest(bucket.column("cls").to_pylist(), sets)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})

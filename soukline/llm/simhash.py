@@ -14,7 +14,7 @@ is not null. An empty table gives an empty result.
 SHINGLE and MAX_BITS are op2's contract. ``keep_first``, the pipeline's stage, goes by the general rule instead: near are
 texts whose sets of five-word shingles have a Jaccard similarity of 0.8 (``copies``). A set has PRINTS fingerprints of 64
 bits, each searched as above: two segments, balls of radius 1, the semi-join, then distances over all 64 bits. A bucket's
-first member proposes those within REACH bits of it, and the exact similarity decides. A pair at 0.8 differs in 10 of 64
+member of the least class proposes those within REACH bits of it, and the exact similarity decides. A pair at 0.8 differs in 10 of 64
 bits on average, so some pairs have no segment within 1 bit; for these ``copies`` works off what the links found leave
 unconnected, and no link is lost. ``keep_first`` returns its input's columns only, whatever their names.
 """
@@ -84,19 +84,23 @@ def _segment(n: int):
     return F.shiftrightunsigned("fp", 32 * n).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
-def _meeting(table: DataFrame, width: int) -> DataFrame:
-    """(seg, val, fp): ``table`` and the balls around its values, ``width`` bits wide, where an entry meets another row."""
+def _hits(table: DataFrame, width: int) -> DataFrame:
+    """The balls around the values of ``table`` (seg, val and more), ``width`` bits wide, where they meet an entry of it."""
     bits = F.sequence(F.lit(0), F.lit(width - 1))
     one = F.lit(1).cast("long")
     probes = (
-        table.select("seg", "val", "fp", F.explode(bits).alias("bit"))
+        table.select("*", F.explode(bits).alias("bit"))
         .withColumn("flip", F.call_function("shiftleft", one, F.col("bit")))
         .filter(F.col("val").bitwiseAND(F.col("flip")) != 0)
-        .select("seg", F.col("val").bitwiseXOR(F.col("flip")).alias("val"), "fp")
+        .withColumn("val", F.col("val").bitwiseXOR(F.col("flip"))).select(*table.columns)
     )
-    keys = table.select("seg", "val")
-    hits = cut(probes.join(keys, ["seg", "val"], "left_semi"))
-    shared = keys.groupBy("seg", "val").count().filter("count > 1").select("seg", "val")
+    return cut(probes.join(table.select("seg", "val"), ["seg", "val"], "left_semi").select(*table.columns))
+
+
+def _meeting(table: DataFrame, width: int) -> DataFrame:
+    """(seg, val, fp): ``table`` and the balls around its values, ``width`` bits wide, where an entry meets another row."""
+    hits = _hits(table, width)
+    shared = table.groupBy("seg", "val").count().filter("count > 1").select("seg", "val")
     alive = hits.select("seg", "val").union(shared).distinct()
     return hits.union(table.join(alive, ["seg", "val"], "left_semi"))
 
@@ -219,34 +223,28 @@ def signed(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _near_prints(prints: DataFrame) -> DataFrame:
-    """(word, a, b): fingerprints of one ``word`` (columns word, fp) that meet in a bucket and are within REACH bits.
+    """(cls, centre): fingerprints of one ``word`` (columns word, fp, cls) that meet in a bucket and are within REACH bits.
 
-    In a bucket one member meets all others, and of those that it meets in all its buckets a fingerprint keeps the one that
-    comes first by a hash, so there are never more rows than fingerprints.
+    In a bucket the member of the least class meets all others, and of those that it meets in all its buckets a fingerprint
+    keeps the least (a class is a hash), so there are never more rows than fingerprints.
     """
-    table = prints.select("fp", F.explode(F.array(*[
+    table = prints.select("fp", "cls", F.explode(F.array(*[
         F.struct((2 * F.col("word") + n).alias("seg"), _segment(n).alias("val")) for n in (0, 1)
-    ])).alias("x")).select("x.seg", "x.val", "fp")
-    rows = cut(_meeting(table, 32))
-    centres = rows.groupBy("seg", "val").agg(F.min(F.struct(F.xxhash64("fp").alias("h"), "fp")).alias("x"))
+    ])).alias("x")).select("x.seg", "x.val", "fp", "cls")
+    rows = _hits(table, 32).union(table)
+    centres = rows.groupBy("seg", "val").agg(F.min(F.struct("cls", "fp")).alias("x"), F.count("*").alias("n")).filter("n > 1")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("x.fp")))
-    met = rows.join(centres, ["seg", "val"]).filter(apart.between(1, REACH))
-    word = F.floor(F.col("seg") / 2).cast("int").alias("word")
-    return met.groupBy(word, F.col("fp").alias("a")).agg(F.min("x").alias("x")).select("word", "a", F.col("x.fp").alias("b"))
+    met = rows.join(centres.drop("n"), ["seg", "val"]).filter(apart.between(1, REACH))
+    return met.groupBy(F.floor(F.col("seg") / 2), "cls").agg(F.min("x.cls").alias("centre")).select("cls", "centre")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(cls, centre): the pairs of ``classes`` (cls, prints) that some fingerprint proposes."""
+    """(cls, centre): the pairs of ``classes`` (cls, prints) that some fingerprint proposes; the centre is the lesser class."""
     marked = classes.select("cls", F.posexplode("prints").alias("word", "fp"))
-    least = cut(marked.groupBy("word", "fp").agg(F.min("cls").alias("least")))
-    equal = marked.join(least, ["word", "fp"]).select("cls", F.col("least").alias("centre"))
-    near = _near_prints(least.select("word", "fp"))
-    met = (
-        near.join(least.toDF("word", "a", "cls"), ["word", "a"]).join(least.toDF("word", "b", "centre"), ["word", "b"])
-        .select("cls", "centre")
-    )
-    both = equal.union(met).filter("cls <> centre")
-    return both.select(F.greatest("cls", "centre").alias("cls"), F.least("cls", "centre").alias("centre")).distinct()
+    least = cut(marked.groupBy("word", "fp").agg(F.min("cls").alias("cls"), F.count("*").alias("n")))
+    several = least.filter("n > 1").select("word", "fp", F.col("cls").alias("centre"))
+    equal = marked.join(several, ["word", "fp"]).select("cls", "centre").filter("cls <> centre")
+    return equal.union(_near_prints(least.drop("n"))).distinct()
 
 
 def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
