@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soukline.functions.numbers import ratio, rounded, surrogate_key
-from soukline.operators import ranking
+from soukline.operators import lloyd, ranking
 from soukline.session import cut
 
 # The features of the models, in their order.
@@ -70,24 +69,17 @@ def scaled_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return assembler.transform(standardise(df, columns))
 
 
-def best_kmeans(
-    vectors: DataFrame, ks: list[int], starts: int = 10, seed: int = 42, parallel: int = 8
-) -> dict[int, KMeansModel]:
-    """For each k the lowest-cost model of several seeds; the fits share the cluster.
+def best_kmeans(vectors: DataFrame, ks: list[int], starts: int = 10, seed: int = 42) -> dict[int, lloyd.Clustering]:
+    """For each k the lowest-cost clustering of several starts; all of them move in the same passes.
 
     Centres count as settled once none moves by more than 0.01 deviations.
     """
-    def fit(job: tuple[int, int]) -> KMeansModel:
-        k, start = job
-        return KMeans(k=k, seed=seed + start, maxIter=300, tol=0.01).fit(features)
-
     jobs = [(k, start) for k in ks for start in range(starts)]
-    features = vectors.select("features").persist()
+    blocks = lloyd.packed(vectors).persist()
     try:
-        with ThreadPoolExecutor(parallel) as pool:
-            models = list(pool.map(fit, jobs))
+        models = lloyd.fits(blocks, jobs, seed, moves=300, tol=0.01)
     finally:
-        features.unpersist()
+        blocks.unpersist()
     best = {}
     for (k, start), model in zip(jobs, models):
         rank = (model.summary.trainingCost, start)
