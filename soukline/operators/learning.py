@@ -14,12 +14,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soukline.functions.numbers import ratio, rounded, surrogate_key
-from soukline.operators import lloyd, ranking
+from soukline.operators import forest, lloyd, ranking
 from soukline.session import cut
 
 # The features of the models, in their order.
@@ -137,57 +136,45 @@ def balanced_weight(df: DataFrame, label: str) -> DataFrame:
 
 @dataclass
 class Fitted:
-    model: PipelineModel
+    model: forest.Forest
     scored: DataFrame  # the test rows with prediction and, for classes, score
 
     def importances(self, top: int | None = None) -> DataFrame:
         return importances(self.model, self.scored, top)
 
 
-def _fit(rows: DataFrame, key: str, label: str, numbers: list[str], names: list[str], estimator, classes: bool) -> Fitted:
+def _fit(
+    rows: DataFrame, key: str, label: str, numbers: list[str], names: list[str], trees: int, depth: int, seed: int, classes: bool
+) -> Fitted:
     prepared = rows.na.fill(0, subset=numbers).withColumn("label", F.col(label).cast("double"))
     parted = split_rows(prepared, key, label if classes else None)
     train, test = parted.filter(F.col("is_test") == 0), parted.filter(F.col("is_test") == 1)
+    weights = None
     if classes:
-        train = balanced_weight(train, "label")
-    train = spread(train, key).persist()
-    try:
-        # The encoder sees every row, as one-hot columns are made before the split.
-        encoding = encoder(numbers, names).fit(parted)
-        forest = estimator.fit(encoding.transform(train))
-    finally:
-        train.unpersist()
-    model = PipelineModel(stages=[*encoding.stages, forest])
+        # One row per class of the target.
+        found = balanced_weight(train.select("label"), "label").groupBy("label").agg(F.min("weight").alias("weight"))
+        weights = {r.label: r.weight for r in found.collect()}
+    # The encoder sees every row, as one-hot columns are made before the split.
+    encoding = encoder(numbers, names).fit(parted)
+    model = forest.fit(train, key, encoding, numbers, names, trees, depth, seed, weights)
     return Fitted(model, score(model, test))
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: forest.Forest, df: DataFrame) -> DataFrame:
     """Prediction, and the probability of class 1 as ``score`` for classifiers."""
-    out = model.transform(df)
-    if "probability" in out.columns:
-        out = out.withColumn("score", vector_to_array("probability")[1])
-    return out
+    return model.transform(df)
 
 
 def fit_repeat(rows: DataFrame, trees: int = 200, depth: int = 12, seed: int = 42) -> Fitted:
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", maxMemoryInMB=1024, cacheNodeIds=True
-    )
-    return _fit(rows, "customer_unique_id", "repeat_customer_flag", REPEAT_NUMBERS, REPEAT_NAMES, forest, True)
+    return _fit(rows, "customer_unique_id", "repeat_customer_flag", REPEAT_NUMBERS, REPEAT_NAMES, trees, depth, seed, True)
 
 
 def fit_lifetime_value(rows: DataFrame, trees: int = 200, depth: int = 12, seed: int = 42) -> Fitted:
-    forest = RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all", maxMemoryInMB=1024, cacheNodeIds=True
-    )
-    return _fit(rows, "customer_unique_id", "total_spent", REPEAT_NUMBERS, REPEAT_NAMES, forest, False)
+    return _fit(rows, "customer_unique_id", "total_spent", REPEAT_NUMBERS, REPEAT_NAMES, trees, depth, seed, False)
 
 
 def fit_delay(rows: DataFrame, trees: int = 200, depth: int = 10, seed: int = 42) -> Fitted:
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", maxMemoryInMB=1024, cacheNodeIds=True
-    )
-    return _fit(rows, "order_id", "is_late", DELAY_NUMBERS, DELAY_NAMES, forest, True)
+    return _fit(rows, "order_id", "is_late", DELAY_NUMBERS, DELAY_NAMES, trees, depth, seed, True)
 
 
 # Balanced subsamples: every tree has its own draw of the rows, and weights that balance the classes of that draw.
@@ -260,15 +247,15 @@ def fit_balanced(
             fitted = list(pool.map(fit, range(trees)))
     finally:
         train.unpersist()
-    forest = BalancedForest(encoding, fitted)
-    return forest, forest.score(parted.filter("is_test = 1"))
+    balanced = BalancedForest(encoding, fitted)
+    return balanced, balanced.score(parted.filter("is_test = 1"))
 
 
-def importances(model: PipelineModel, transformed: DataFrame, top: int | None = None) -> DataFrame:
+def importances(model: forest.Forest, transformed: DataFrame, top: int | None = None) -> DataFrame:
     """Feature names from the vector column's metadata with their importance."""
     attributes = transformed.schema["features"].metadata["ml_attr"]["attrs"]
     names = {a["idx"]: a["name"] for group in attributes.values() for a in group}
-    weights = model.stages[-1].featureImportances
+    weights = model.featureImportances
     ranked = sorted(
         ((names[i], round(float(weights[i]), 6)) for i in range(weights.size)), key=lambda p: (-p[1], p[0])
     )
@@ -333,7 +320,7 @@ def regression_report(scored: DataFrame, label: str, prediction: str) -> DataFra
 
 def classifier_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
     """Test metrics and leading importances of one classifier as name, value rows."""
-    scored = cut(fitted.scored)
+    scored = cut(fitted.scored.select(label, "prediction", "score"))
     report = classification_report(scored, label, "prediction")
     flat = report.select(F.explode(F.array(*[
         F.struct(F.concat("class", F.lit(f" {m}")).alias("name"), F.col(m).cast("double").alias("value"))
@@ -345,7 +332,7 @@ def classifier_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
 
 
 def regressor_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
-    report = regression_report(cut(fitted.scored), label, "prediction")
+    report = regression_report(cut(fitted.scored.select(label, "prediction")), label, "prediction")
     flat = report.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("name"), F.col(m).cast("double").alias("value")) for m in ("mae", "r2", "rows")
     ])).alias("x")).select("x.*")
@@ -355,7 +342,7 @@ def regressor_summary(fitted: Fitted, label: str, top: int = 25) -> DataFrame:
 
 # --- use of the scores ------------------------------------------------------
 
-def low_propensity_audience(model: PipelineModel, people: DataFrame, below: float = 0.15) -> DataFrame:
+def low_propensity_audience(model: forest.Forest, people: DataFrame, below: float = 0.15) -> DataFrame:
     """Customers whose score of buying again lies under the threshold."""
     return score(model, people).filter(F.col("score") < below).select("customer_unique_id", "score")
 

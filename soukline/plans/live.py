@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soukline.functions.numbers import ratio, rounded
 from soukline.operators import learning, rollups
+from soukline.operators.forest import Forest
 from soukline.plans import lifecycle
 from soukline.plans.growth import late_by_state
 from soukline.session import scratch_path
@@ -63,7 +63,7 @@ def late_alerts(t: Marketplace) -> DataFrame:
     return jobs.read_batches(t.spark, path).drop(jobs.BATCH)
 
 
-def _scored(t: Marketplace) -> tuple[PipelineModel, DataFrame, DataFrame]:
+def _scored(t: Marketplace) -> tuple[Forest, DataFrame, DataFrame]:
     """The delay model of the delivered orders, the open orders' features, and the alerts of a stream of them."""
     path = scratch_path(t.spark, "scored")
     model = learning.fit_delay(lifecycle.delivery_risk_features(t)).model

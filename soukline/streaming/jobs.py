@@ -7,12 +7,12 @@ failure replaces itself and nothing is counted twice.
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soukline.functions import numbers
 from soukline.operators import learning
+from soukline.operators.forest import Forest
 from soukline.session import shared_dir
 
 BATCH = "batch"
@@ -106,7 +106,7 @@ def late_delivery_alerts(orders: DataFrame, places: DataFrame, risk: DataFrame,
     )
 
 
-def scored_alerts(features: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
+def scored_alerts(features: DataFrame, model: Forest, threshold: float = 0.5) -> DataFrame:
     """The delay classifier applied to a stream of order features."""
     filled = features.na.fill(0, subset=learning.DELAY_NUMBERS)
     return learning.score(model, filled).filter(F.col("score") >= threshold).select("order_id", "score")
