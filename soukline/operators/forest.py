@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BINS = 32  # of a number, as Spark's forests have
-ROWS = 1 << 15  # rows of a block
+ROWS = 1 << 17  # rows of a block
 SHARED = 64 << 20  # bytes of binned rows that are broadcast
 HELD = 96 << 20  # bytes of histograms that a task holds
 ACCURACY = 10_000
@@ -106,12 +106,9 @@ class Trees:
 
     def route(self, tree: int, codes: np.ndarray, rows: np.ndarray, levels: int) -> np.ndarray:
         """The place in its level that each row reaches."""
-        n, flat, tests = codes.shape[1], codes.reshape(-1), self.tests[tree]
         node = np.zeros(len(rows), np.int64)
         for _ in range(levels):
-            test = tests.take(node)
-            code = flat.take((test >> 32) * n + rows)
-            node = 2 * node + 1 + ((code >= ((test >> 16) & 0xFFFF)) & (code <= (test & 0xFFFF)))
+            node = moved(self.tests[tree], codes, node, rows)
         return node - ((1 << levels) - 1)
 
 
@@ -224,37 +221,57 @@ def _mixed(sums: np.ndarray, plan: Plan) -> np.ndarray:
     return (sums > 0).all(axis=1) if plan.classes else sums[:, 0] > 1
 
 
-def histograms(plan: Plan, grown: Growing, codes: np.ndarray, label: np.ndarray, rows: np.ndarray, w: np.ndarray,
-               place: np.ndarray, totals: np.ndarray, sums: np.ndarray) -> None:
-    """Adds the drawn rows of a block, at their places in the level, to what is in the open nodes and their bins."""
-    slot = grown.slots.take(place)
+@dataclass
+class Sample:
+    """The rows of a block that a tree drew, and how often."""
+
+    codes: np.ndarray
+    label: np.ndarray
+    drawn: np.ndarray
+
+    @classmethod
+    def of(cls, codes: np.ndarray, label: np.ndarray, drawn: np.ndarray) -> Sample:
+        rows = np.flatnonzero(drawn)
+        return cls(codes.take(rows, axis=1), label.take(rows), drawn.take(rows).astype(np.float64))
+
+
+def moved(tests: np.ndarray, codes: np.ndarray, node: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The children, in heap order, that rows at inner nodes go to."""
+    test = tests.take(node)
+    code = codes.reshape(-1).take((test >> 32) * codes.shape[1] + rows)
+    return 2 * node + 1 + ((code >= ((test >> 16) & 0xFFFF)) & (code <= (test & 0xFFFF)))
+
+
+def histograms(plan: Plan, grown: Growing, sample: Sample, place: np.ndarray, totals: np.ndarray, sums: np.ndarray) -> None:
+    """Adds the rows, at their places in the level, to what is in the open nodes and their bins."""
+    slot, codes, y, weights = grown.slots.take(place).astype(np.int64), sample.codes, sample.label, sample.drawn
     if (slot < 0).any():
         here = np.flatnonzero(slot >= 0)
-        slot, rows, w = slot[here], rows[here], w[here]
-    slot = slot.astype(np.int64)
-    y = label.take(rows)
-    weights = w.astype(np.float64)
+        slot, codes, y, weights = slot[here], codes.take(here, axis=1), y[here], weights[here]
     sided = None if plan.classes else weights * y
 
     def add(target: np.ndarray, at: np.ndarray, pick: np.ndarray | None) -> None:
-        size = target.shape[0] * (target.shape[1] if target.ndim > 2 else 1)
-        u, v = (weights, y) if pick is None else (weights[pick], y[pick])
+        shape = target.shape[:-1]
+        size = math.prod(shape)
+        u = weights if pick is None else weights[pick]
         if plan.classes:
-            target += np.bincount(at * 2 + v, u, 2 * size).reshape(target.shape)
+            at *= 2
+            at += y if pick is None else y[pick]
+            target += np.bincount(at, u, 2 * size).reshape(target.shape)
         else:
-            target[..., 0] += np.bincount(at, u, size).reshape(target.shape[:-1])
-            target[..., 1] += np.bincount(at, sided if pick is None else sided[pick], size).reshape(target.shape[:-1])
+            target[..., 0] += np.bincount(at, u, size).reshape(shape)
+            target[..., 1] += np.bincount(at, sided if pick is None else sided[pick], size).reshape(shape)
 
-    add(totals, slot, None)
-    allowed = grown.drawn if plan.classes else None
+    add(totals, slot.copy(), None)
     starts = plan.starts
     for f, bins in enumerate(plan.bins):
         pick = None
         if plan.classes and f < plan.numbers:
-            pick = np.flatnonzero(allowed[:, f].take(slot))  # few nodes draw a number
+            pick = np.flatnonzero(grown.drawn[:, f].take(slot))  # few nodes draw a number
             if len(pick) == 0:
                 continue
-        at = (slot if pick is None else slot[pick]) * bins + codes[f].take(rows if pick is None else rows[pick])
+        at = (slot if pick is None else slot[pick]) * bins
+        at += codes[f] if pick is None else codes[f].take(pick)
         add(sums[:, starts[f]: starts[f + 1]], at, pick)
 
 
@@ -275,20 +292,17 @@ def grow(plan: Plan, tree: int, blocks: list) -> Growing:
     out = Growing(plan, tree)
     held = []
     for codes, label, keys in blocks:
-        w = next(draws(keys, [tree], plan.seed))
-        rows = np.flatnonzero(w)
-        held.append((codes, label, rows, w[rows], np.zeros(len(rows), np.int32)))
+        sample = Sample.of(codes, label, next(draws(keys, [tree], plan.seed)))
+        held.append((sample, np.zeros(len(sample.label), np.int32)))
     while not out.done:
         totals, sums = _empty(plan, out)
-        for codes, label, rows, w, place in held:
-            histograms(plan, out, codes, label, rows, w, place, totals, sums)
+        for sample, place in held:
+            histograms(plan, out, sample, place, totals, sums)
         base = (1 << out.level) - 1
         out.split(totals, sums)
         if not out.done:
-            for codes, _, rows, _, place in held:
-                test = out.tests.take(base + place)
-                code = codes.reshape(-1).take((test >> 32) * codes.shape[1] + rows)
-                place[:] = 2 * place + ((code >= ((test >> 16) & 0xFFFF)) & (code <= (test & 0xFFFF)))
+            for sample, place in held:
+                place[:] = moved(out.tests, sample.codes, place + base, np.arange(len(place))) - (2 * base + 1)
     return out
 
 
@@ -326,9 +340,9 @@ def _level(blocks: DataFrame, plan: Plan, group: list[Growing]) -> list[Growing]
             for row in batch.to_pylist():
                 codes, label, keys = _arrays(row, plan)
                 for g, (totals, sums), w in zip(trees, held, draws(keys, [g.tree for g in trees], plan.seed)):
-                    rows = np.flatnonzero(w)
-                    place = Trees(g.tests[None], g.values[None], g.weights).route(0, codes, rows, g.level)
-                    histograms(plan, g, codes, label, rows, w[rows], place, totals, sums)
+                    sample = Sample.of(codes, label, w)
+                    place = Trees(g.tests[None], g.values[None], g.weights).route(0, sample.codes, np.arange(len(sample.label)), g.level)
+                    histograms(plan, g, sample, place, totals, sums)
         for g, (totals, sums) in zip(trees, held):
             data = np.concatenate([totals.reshape(-1), sums[drawn_bins(g)].reshape(-1)])
             yield pa.RecordBatch.from_arrays([pa.array([g.tree], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["tree", "sums"])
@@ -466,13 +480,23 @@ def fit(train: DataFrame, key: str, encoding: PipelineModel, numbers: list[str],
     plan = Plan(tuple(sizes), len(numbers), trees, depth, seed, classes, weights)
     kind = np.uint16 if max(sizes) > 256 else np.uint8
 
+    def block(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        data = [_coded(columns[:-2], ends, kind).tobytes(), columns[-2].astype(np.float64).tobytes(), columns[-1].astype(np.int64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([d], pa.binary()) for d in data], ["codes", "label", "keys"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             for at in range(0, batch.num_rows, ROWS):
-                some = [c[at: at + ROWS] for c in columns]
-                data = [_coded(some[:-2], ends, kind).tobytes(), some[-2].astype(np.float64).tobytes(), some[-1].astype(np.int64).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.binary()) for d in data], ["codes", "label", "keys"])
+                held.append([c[at: at + ROWS] for c in columns])
+                rows += len(held[-1][0])
+                if rows >= ROWS // 2:
+                    yield block(held)
+                    held, rows = [], 0
+        if held:
+            yield block(held)
 
     spark = train.sparkSession
     blocks = rows.mapInArrow(pack, "codes binary, label binary, keys binary").repartition(spark.sparkContext.defaultParallelism).persist()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soukline.session import shared_dir
+from soukline.session import shared_dir, stored
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
@@ -25,14 +25,13 @@ def range_blocks(df: DataFrame, *order: Column | str) -> DataFrame:
     """Adds __block (ordered partition number) and __pos (row number inside it)."""
     shared_dir(df.sparkSession)
     at = F.monotonically_increasing_id()
-    return (
+    return stored(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("__at", at)
         .withColumn("__block", F.shiftright("__at", _ROW_BITS))
         .withColumn("__pos", F.col("__at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
         .drop("__at")
-        .checkpoint()
     )
 
 

@@ -304,9 +304,10 @@ def delivery_risk_features(t: Tables, status: str = "delivered") -> DataFrame:
         .join(totals, "order_id", "left")
         .join(main_payment(t).drop("payment_value"), "order_id", "left")
     )
-    traits = first_orders(t).select(
+    # stored before the orders are joined, so that its shuffles are given back first
+    traits = cut(first_orders(t).select(
         "customer_unique_id", "product_category_name_english", "seller_state", "first_order_value", "first_order_item_count"
-    )
+    ))
     counted = ["order_total_value", "order_item_count", "avg_item_price", "avg_freight",
                "payment_installments", "first_order_value", "first_order_item_count"]
     named = ["payment_type", "customer_state", "seller_state", "product_category_name_english"]

@@ -10,7 +10,7 @@ from soukline.operators import learning, rollups
 from soukline.operators.forest import Forest
 from soukline.plans import lifecycle
 from soukline.plans.growth import late_by_state
-from soukline.session import scratch_path
+from soukline.session import scratch_path, shuffles_freed
 from soukline.sources.marketplace import SOURCES, Marketplace
 from soukline.streaming import jobs, stateful
 
@@ -68,7 +68,8 @@ def _scored(t: Marketplace) -> tuple[Forest, DataFrame, DataFrame]:
     path = scratch_path(t.spark, "scored")
     model = learning.fit_delay(lifecycle.delivery_risk_features(t)).model
     rows = lifecycle.delivery_risk_features(t, "shipped").drop("is_late")
-    rows.write.parquet(f"{path}/open")
+    with shuffles_freed(t.spark):
+        rows.write.parquet(f"{path}/open")
     stream = t.spark.readStream.schema(rows.schema).parquet(f"{path}/open")
     jobs.write_batches(jobs.scored_alerts(stream, model), path)
     alerts = jobs.read_batches(t.spark, path).drop(jobs.BATCH)

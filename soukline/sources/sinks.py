@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from soukline.session import shuffles_freed
 from soukline.sources.tables import TIMESTAMP_FORMAT
 
 
 def write_stage(frames: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
     for name, df in frames.items():
         writer = df.write.mode("overwrite")
-        if fmt == "csv":
-            writer.option("header", True).option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(f"{root}/{name}")
-        else:
-            writer.parquet(f"{root}/{name}")
+        with shuffles_freed(df.sparkSession):
+            if fmt == "csv":
+                writer.option("header", True).option("timestampNTZFormat", TIMESTAMP_FORMAT).csv(f"{root}/{name}")
+            else:
+                writer.parquet(f"{root}/{name}")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
