@@ -82,7 +82,8 @@ def _staged(frames: dict[str, DataFrame], label: str) -> dict[str, DataFrame]:
 
 def output_manifest(t: Tables) -> DataFrame:
     """All cleaned and derived outputs stored, with the rows of each."""
-    return _manifest(_staged({f"clean_{k}": v for k, v in cleaned_frames(t).items()} | derived_frames(t), "outputs"))
+    # the derived ones first: their shuffles are the largest, and then stand beside few outputs
+    return _manifest(_staged(derived_frames(t) | {f"clean_{k}": v for k, v in cleaned_frames(t).items()}, "outputs"))
 
 
 def lifecycle_from_stage(t: Tables) -> DataFrame:
