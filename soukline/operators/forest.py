@@ -455,7 +455,8 @@ class Forest:
                         out[at: at + 8192] += values[t].take(trees.route(t, codes, rows, depth))
                 yield pd.Series(out / plan.trees)
 
-        told_by = F.pandas_udf(mean, "double")(*[F.col(c).cast("double") for c in _inputs(self.numbers, self.names)])
+        # A filter on the score would otherwise be moved below it and compute it once more.
+        told_by = F.pandas_udf(mean, "double").asNondeterministic()(*[F.col(c).cast("double") for c in _inputs(self.numbers, self.names)])
         out = self.encoding.transform(df)
         if not plan.classes:
             return out.withColumn("prediction", told_by)

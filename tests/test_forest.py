@@ -123,3 +123,10 @@ def test_one_class_and_no_rows(rows):
     assert [r.score for r in same.scored.select("score").distinct().collect()] == [1.0]
     with pytest.raises(ValueError):
         learning.fit_delay(rows.limit(0), trees=2, depth=2)
+
+
+def test_a_filter_on_the_score_computes_it_once(rows):
+    model = learning.fit_delay(rows, trees=2, depth=2).model
+    kept = learning.score(model, rows).filter(F.col("score") >= 0.5).select("order_id", "score")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
